@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smframe.llm import bpe, mixing, sharding, token_counts
+from smframe.llm import bpe, fingerprints, mixing, quality, secrets, sharding, token_counts
 from smframe.llm.common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranking = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, ranking).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -22,11 +32,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.VOCABULARY))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op7_token_counts": op7_token_counts, "op10_bpe": op10_bpe}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op7_token_counts": op7_token_counts, "op9_fingerprints": op9_fingerprints, "op10_bpe": op10_bpe}
 
 ORACLE = {
     "op4_mixing": """
