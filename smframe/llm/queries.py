@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smframe.llm import bpe, fingerprints, mixing, quality, secrets, sharding, token_counts
+from smframe.llm import bpe, fingerprints, mixing, ngram_join, quality, secrets, sharding, token_counts
 from smframe.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.VOCABULARY))
 
@@ -40,7 +44,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op7_token_counts": op7_token_counts, "op9_fingerprints": op9_fingerprints, "op10_bpe": op10_bpe}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_token_counts": op7_token_counts, "op9_fingerprints": op9_fingerprints, "op10_bpe": op10_bpe}
 
 ORACLE = {
     "op4_mixing": """
