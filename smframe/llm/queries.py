@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smframe.llm import bpe, fingerprints, mixing, ngram_join, quality, secrets, sharding, token_counts
+from smframe.llm import bpe, fingerprints, lattice, line_dedup, mixing, ngram_join, quality, secrets, sharding, token_counts
 from smframe.llm.common import table
 
 
@@ -20,6 +21,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, ranking).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.VOCABULARY))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
@@ -44,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_token_counts": op7_token_counts, "op9_fingerprints": op9_fingerprints, "op10_bpe": op10_bpe}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_token_counts": op7_token_counts, "op8_embeddings": op8_embeddings, "op9_fingerprints": op9_fingerprints, "op10_bpe": op10_bpe, "pipeline": pipeline}
 
 ORACLE = {
     "op4_mixing": """
