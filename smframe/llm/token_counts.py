@@ -11,6 +11,7 @@ Null and empty texts have no tokens. Rows are independent: no shuffle, and ties
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,7 @@ class Counter:
     """Counts tokens of texts piece by piece; remembers up to `remembered` pieces."""
 
     def __init__(self, path: str, remembered: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,11 +46,10 @@ class Counter:
     def pieces(self, text: str) -> tuple[list[str], list[int]]:
         """The coarse pieces of text, which holds no special token, and the tokens of each."""
         found = COARSE.findall(text)
-        if new := {*found} - self.n.keys():
+        if new := [p for p in {*found} if p not in self.n]:
             if len(self.n) + len(new) > self.remembered:
                 self.n.clear()
-                new = {*found}
-            new = list(new)
+                new = [*{*found}]
             self.n.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
         return found, [*map(self.n.__getitem__, found)]
 
