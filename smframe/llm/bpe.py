@@ -11,6 +11,7 @@ Null and empty texts have no tokens; ties, repeated rows and extra columns are c
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
+#: ASCII letters and bytes beyond ASCII: between two of these there never is a certain cut.
+UNCUT = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 
 
 def _classes() -> np.ndarray:
@@ -65,43 +68,64 @@ def cut_bytes(raw: bytes, cuts: np.ndarray) -> list[bytes]:
 
 
 class FragmentCoder:
-    """Encodes and decodes texts fragment by fragment; remembers up to `remembered` fragments."""
+    """Encodes and decodes texts fragment by fragment; remembers up to `remembered` words and as many fragments."""
 
-    def __init__(self, path: str, remembered: int = 150_000):
+    def __init__(self, path: str, remembered: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cuts, self.remembered = certain_cuts(self.tokenizer), remembered
-        self.ids: dict[bytes, str] = {}
-        self.out: dict[bytes, str] = {}
-        self.piece_ids: dict[bytes, list[int]] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.ids) + len(words) > self.remembered:
-            self.ids.clear(), self.out.clear(), self.piece_ids.clear()
-        pieces = {w: cut_bytes(w, self.cuts) for w in words}
-        new = [p for p in {p for ps in pieces.values() for p in ps} if p not in self.piece_ids]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self.piece_ids[p] = e.ids
-        token = self.tokenizer.id_to_token
-        for w, ps in pieces.items():
-            ids = [i for p in ps for i in self.piece_ids[p]]
-            self.ids[w], self.out[w] = " ".join(map(str, ids)), " ".join(map(token, ids))
+        vocabulary = self.tokenizer.get_vocab()
+        self.names = [""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.names[i] = token
+        self.numbers = [*map(str, range(len(self.names)))]
+        #: Of a word, and of a fragment: its ids and its decoded tokens, each joined by spaces.
+        self.words: dict[bytes, tuple[str, str]] = {}
+        self.fragments: dict[bytes, tuple[str, str]] = {}
+
+    def _cut(self, word: bytes) -> list[bytes]:
+        if not word.translate(None, UNCUT):
+            return [word]
+        head = word[:-1]
+        if not head.translate(None, UNCUT):
+            return [head, word[-1:]] if head and self.cuts[head[-1], word[-1]] else [word]
+        return cut_bytes(word, self.cuts)
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut = [self._cut(w) for w in words]
+        if len(self.words) + len(words) > self.remembered:
+            self.words.clear()
+        if len(self.fragments) > self.remembered:
+            self.fragments.clear()
+        new = [f for f in {f for fs in cut for f in fs} if f not in self.fragments]
+        for f, e in zip(new, self.tokenizer.encode_batch_fast([f.decode("utf-8", "surrogatepass") for f in new], add_special_tokens=False)):
+            ids = e.ids
+            self.fragments[f] = (" ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids]))
+        for w, fs in zip(words, cut):
+            if len(fs) == 1:
+                self.words[w] = self.fragments[fs[0]]
+            else:
+                parts = [x for f in fs if (x := self.fragments[f])[0]]
+                self.words[w] = (" ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]))
 
     def code(self, text: str, block: int = 1 << 22) -> tuple[str, str]:
         """(ids joined by spaces, decoded text). White space is a certain cut, so a long text is taken in blocks of words."""
         ids, out, words = [], [], text.encode("utf-8", "surrogatepass").split()
         for k in range(0, len(words), block):
             part = words[k : k + block]
-            if new := {*part} - self.ids.keys():
+            rows = [*map(self.words.get, part)]
+            if None in rows:
+                new = [*{w for w, r in zip(part, rows) if r is None}]
+                if len(self.words) + len(new) > self.remembered:
+                    new = [*{*part}]  # the memory is cleared first
                 self._learn(new)
-                new = {*part} - self.ids.keys()  # a cleared memory may lack what was known before
-                if new:
-                    self._learn(new)
-            ids += [x for w in part if (x := self.ids[w])]
-            out += [x for w in part if (x := self.out[w])]
+                rows = [*map(self.words.__getitem__, part)]
+            ids += [r[0] for r in rows if r[0]]
+            out += [r[1] for r in rows if r[0]]
         return " ".join(ids), " ".join(out)
 
 
