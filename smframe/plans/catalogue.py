@@ -1,4 +1,6 @@
 """Every query over the reference's own operators, with its SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from smframe.plans import waveform_queries
+
+QUERIES: dict = {**waveform_queries.QUERIES}
+ORACLE: dict[str, str] = {**waveform_queries.ORACLE}
