@@ -112,12 +112,10 @@ def pgv_fft(spark, sf):
     return w.integrated(traces(spark, sf).select("trace_id", "x"), DT).select("trace_id", r6(arrays.max_abs(F.col("velocity")), 1e3).alias("pgv"))
 
 
-@query(inverse(f"-im * (2 * {PI} * k / 0.64)", f"re * (2 * {PI} * k / 0.64)") + " SELECT trace_id, i::INT AS i, round(y, 5) + 0.0 AS y FROM y")
+@query(inverse(f"-im * (2 * {PI} * k / 0.64)", f"re * (2 * {PI} * k / 0.64)") + " SELECT trace_id, i::INT AS i, round(y, 4) + 0.0 AS y FROM y")
 def differentiate_fft(spark, sf):
-    return exploded(w.differentiated(traces(spark, sf).select("trace_id", "x"), DT), "derivative", "y").withColumn("y", F.round("y", 5) + 0.0)
-
-
-GAIN = "sqrt(1 + pow(5.0 / (k / 0.64), 10)) / sqrt(1 + pow((k / 0.64) / 20.0, 10))"
+    d = w.differentiated(traces(spark, sf).select("trace_id", "x"), DT).select("trace_id", F.posexplode("derivative").alias("i", "v"))
+    return d.select("trace_id", "i", (F.round("v", 4) + F.lit(0.0)).alias("y"))
 
 
 @query(inverse("re / (sqrt(1 + pow(5.0 / (k / 0.64), 10)) * sqrt(1 + pow((k / 0.64) / 20.0, 10)))", "im / (sqrt(1 + pow(5.0 / (k / 0.64), 10)) * sqrt(1 + pow((k / 0.64) / 20.0, 10)))") + " SELECT trace_id, i::INT AS i, round(y, 6) + 0.0 AS y FROM y")

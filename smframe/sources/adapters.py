@@ -31,8 +31,8 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """station, channel, event_id, ts, t (seconds), x: unevenly sampled series by user and event type."""
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("station"), F.col("event_type").alias("channel"), "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("t"), F.col("value").alias("x"), "props")
+    e, ts = table(spark, sf_dir, "events"), F.col("ts").cast("timestamp")
+    return e.select(F.col("user_id").alias("station"), F.col("event_type").alias("channel"), "event_id", ts.alias("ts"), (F.unix_micros(ts) / 1e6).alias("t"), F.col("value").alias("x"), "props")
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
