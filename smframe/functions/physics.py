@@ -91,3 +91,20 @@ def glob(pattern: str) -> str:
     import re
 
     return "(?i)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
+
+
+def finite_fault_km(mag: Column) -> Column:
+    """The distance added for a finite fault of that magnitude."""
+    small, large = mag - 5.744, mag - 7.744
+    log = F.when(small < 0, 0.7497 + 0.43 * small).when(large < 0, 0.7497 + 0.43 * small - 0.04875 * small * small).otherwise(1.4147 + 0.235 * large)
+    return F.pow(F.lit(10.0), log)
+
+
+def spectral_id(kind: str, period: Column, damping: Column) -> Column:
+    """The name of a spectral metric: SA(T=1.0000, D=5.000)."""
+    return F.format_string(kind + "(T=%.4f, D=%.3f)", period, damping * 100)
+
+
+def period_of(name: Column) -> Column:
+    """The number of seconds that a spectral metric's name holds; null where it holds none."""
+    return F.regexp_extract(name, r"(\d+(?:\.\d+)?)", 1).try_cast("double")

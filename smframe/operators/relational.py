@@ -176,3 +176,51 @@ def signal_end(d: DataFrame, method: str, vmin: float = 1.0, floor: float = 120.
     if method == "source_path":
         return F.col("split") + 1 / physics.brune_f0(physics.moment(F.col("magnitude")), stress_drop) + dur0 + dur1 * F.col("dist_km")
     raise ValueError(f"unknown method {method}")
+
+
+def travel_times(pairs: DataFrame, grid: DataFrame, step_deg: float, step_km: float) -> DataFrame:
+    """pairs (degrees, depth_km) with `seconds`, bilinear in a grid (i, j, t) at i * step_deg and j * step_km; null outside it.
+
+    The four corners meet the grid by equi-joins on cell numbers; negative depths count as 0.
+    """
+    z = F.greatest(F.col("depth_km"), F.lit(0.0))
+    d = pairs.withColumn("_i", F.floor(F.col("degrees") / step_deg)).withColumn("_j", F.floor(z / step_km))
+    d = d.withColumn("_u", F.col("degrees") / step_deg - F.col("_i")).withColumn("_v", z / step_km - F.col("_j"))
+    for a in (0, 1):
+        for b in (0, 1):
+            g = grid.select((F.col("i") - a).alias("_i"), (F.col("j") - b).alias("_j"), F.col("t").alias(f"_t{a}{b}"))
+            d = d.join(g, ["_i", "_j"], "left")
+    u, v = F.col("_u"), F.col("_v")
+    t = F.col("_t00") * (1 - u) * (1 - v) + F.col("_t10") * u * (1 - v) + F.col("_t01") * (1 - u) * v + F.col("_t11") * u * v
+    return d.withColumn("seconds", t).select(*pairs.columns, "seconds")
+
+
+def align(traces: DataFrame, keys: list[str], dt: float) -> DataFrame:
+    """Traces (start seconds, x) of a record cut to what all of them cover: from the latest start to the earliest end."""
+    w = Window.partitionBy(*keys)
+    end = F.col("start") + (F.size("x") - 1) * dt
+    d = traces.withColumn("_a", F.max("start").over(w)).withColumn("_b", F.min(end).over(w))
+    first, last = F.round((F.col("_a") - F.col("start")) / dt).cast("int"), F.round((F.col("_b") - F.col("start")) / dt).cast("int")
+    return d.withColumn("x", F.when(last >= first, F.slice("x", first + 1, last - first + 1)).otherwise(F.array().cast("array<double>"))).withColumn("start", F.col("_a")).drop("_a", "_b")
+
+
+def snr_check(snr: DataFrame, keys: list[str], threshold: float, low: Column, high: float) -> DataFrame:
+    """keys, least, failed: the least ratio (freq, snr) between low and high; an empty band counts as 0 and NaN never fails."""
+    inside = (F.col("freq") >= low) & (F.col("freq") <= high)
+    d = snr.groupBy(*keys).agg(F.min(F.when(inside & ~F.isnan("snr"), F.col("snr"))).alias("least"), F.coalesce(F.bool_or(inside & F.isnan("snr")), F.lit(False)).alias("_nan"))
+    d = d.withColumn("least", F.when(~F.col("_nan"), F.coalesce("least", F.lit(0.0))))
+    return d.select(*keys, "least", F.coalesce(F.col("least") < threshold, F.lit(False)).alias("failed"))
+
+
+def natural_rank(names: DataFrame, column: str) -> DataFrame:
+    """names with `rank`: by the text before the first number, then by that number, then by the whole name."""
+    number = F.regexp_extract(column, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    order = Window.orderBy(F.regexp_extract(column, r"^([^\d]*)", 1), number.asc_nulls_first(), column)
+    return names.withColumn("rank", F.row_number().over(order))  # column names: a short list
+
+
+def band_average(spec: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+    """The mean of value over freq between low and high, by trapezoids between the points inside."""
+    w = Window.partitionBy(*keys).orderBy("freq")
+    d = spec.where(F.col("freq").between(low, high)).withColumn("_f", F.lead("freq").over(w)).withColumn("_v", F.lead("value").over(w)).where("_f is not null")
+    return d.groupBy(*keys).agg((F.sum((F.col("value") + F.col("_v")) / 2 * (F.col("_f") - F.col("freq"))) / F.sum(F.col("_f") - F.col("freq"))).alias("mean"))

@@ -250,3 +250,55 @@ def clipping(df: DataFrame, keys: list[str], dt: float, max_amp: float = 6e6, pi
 
     d = df.select(*keys, arrays.let(without_tail(F.col("x")), all_of).alias("c")).select(*keys, "c.*")
     return d.select(*keys, "clip_max", "n_ping", (F.col("n_ping") > 0).alias("clip_ping"), "n_std", (F.col("n_std") > std_points).alias("clip_std"), "n_jerk", (F.col("n_jerk") > jerk_points).alias("clip_jerk"))
+
+
+# ---- rotated response, resampling ----------------------------------------------------------------------------
+
+
+def rotd_response(pairs: DataFrame, keys: list[str], periods: list[float], damping: float, dt: float, percentile: float = 50.0) -> DataFrame:
+    """keys, period, sd: the percentile over 0 to 180 degrees of the peak displacement of oscillators under the rotated traces.
+
+    The oscillator is linear, so both components' responses are found once and rotated, sample by sample for all
+    records of a batch and all periods together.
+    """
+    theta = np.deg2rad(np.arange(181))
+    turn = np.stack((np.cos(theta), np.sin(theta)))
+    a11, a12, a21, a22, b11, b12, b21, b22 = np.array([oscillator_step(p, damping, dt) for p in periods]).T
+
+    def peaks(x: np.ndarray) -> np.ndarray:
+        """(rows, 2, samples) to (rows, periods, 181)."""
+        d = np.zeros((len(x), 2, len(periods)))
+        v, most = np.zeros_like(d), np.zeros((len(x), len(periods), 181))
+        for k in range(1, x.shape[2]):
+            p, q = x[:, :, k - 1, None], x[:, :, k, None]
+            d, v = a11 * d + a12 * v + b11 * p + b12 * q, a21 * d + a22 * v + b21 * p + b22 * q
+            np.maximum(most, np.abs(np.swapaxes(d, 1, 2) @ turn), out=most)
+        return most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                xy = [(np.asarray(p.values, dtype=float), np.asarray(q.values, dtype=float)) for p, q in zip(part.column("x1"), part.column("x2"))]
+                for n in {len(p) for p, _ in xy}:
+                    at = [i for i, (p, _) in enumerate(xy) if len(p) == n]
+                    got = np.percentile(peaks(np.array([xy[i] for i in at])), percentile, axis=2)
+                    rows = part.take(pa.array(np.repeat(at, len(periods))))
+                    yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keys), pa.array(np.tile(periods, len(at))), pa.array(got.ravel())], [*keys, "period", "sd"])
+
+    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    return pairs.select(*keys, "x1", "x2").mapInArrow(run, f"{kinds}, period double, sd double")
+
+
+def lanczos(x: np.ndarray, dt: float, step: float, a: int) -> np.ndarray:
+    """x at multiples of step up to its last sample, with the kernel sinc(u) sinc(u / a) for |u| < a."""
+    t = np.arange(int(np.floor((len(x) - 1) * dt / step + 1e-9)) + 1) * (step / dt)
+    near = np.floor(t).astype(int)[:, None] + np.arange(1 - a, a + 1)[None, :]
+    u = t[:, None] - near
+    w = np.where(np.abs(u) < a, np.sinc(u) * np.sinc(u / a), 0.0)
+    ok = (near >= 0) & (near < len(x))
+    return (np.where(ok, x[np.clip(near, 0, len(x) - 1)], 0.0) * w).sum(1)
+
+
+def resampled(df: DataFrame, dt: float, step: float, a: int = 100) -> DataFrame:
+    return mapped(df, lambda x: [lanczos(x, dt, step, a)], ["resampled"])

@@ -1,6 +1,6 @@
 """Every query over the reference's own operators, with its SQL."""
 
-from smframe.plans import relational_queries, waveform_queries
+from smframe.plans import more_queries, relational_queries, waveform_queries
 
-QUERIES: dict = {**waveform_queries.QUERIES, **relational_queries.QUERIES}
-ORACLE: dict[str, str] = {**waveform_queries.ORACLE, **relational_queries.ORACLE}
+QUERIES: dict = {**waveform_queries.QUERIES, **relational_queries.QUERIES, **more_queries.QUERIES}
+ORACLE: dict[str, str] = {**waveform_queries.ORACLE, **relational_queries.ORACLE, **more_queries.ORACLE}
