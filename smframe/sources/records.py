@@ -1,4 +1,4 @@
-"""Text record formats read as DataFrames: K-NET and KiK-net, ESM, PEER AT2, NSMN.
+"""Text record formats read as DataFrames: K-NET and KiK-net, ESM, PEER AT2, NSMN, CWB.
 
 A file is one row (Spark's whole-text source); which format it has is a column, and header fields and samples are
 taken by JVM expressions. Files of no or of several formats have no trace and are reported by unreadable().
@@ -17,6 +17,7 @@ MARKS = {
     "knet": r"^Origin Time\s+\S+",
     "esm": r"^EVENT_NAME:",
     "at2": r"(?s)^[^\n]*\n[^\n]*\n[^\n]*\n\s*NPTS\s*=\s*\d+\s*,\s*DT\s*=",
+    "cwb": r"^#Earthquake Information",
     "nsmn": r"^STRONG GROUND MOTION RECORDS OF TURKIYE",
 }
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
@@ -105,7 +106,18 @@ def nsmn(d: DataFrame) -> DataFrame:
         F.get(spot, F.lit(0)).cast("double").alias("lat"), F.get(spot, F.lit(1)).cast("double").alias("lon"), F.coalesce(try_double(value(8)), F.lit(0.0)).alias("elevation"), F.lit("cm/s^2").alias("units"), F.lit("").alias("structure"), none.alias("lowcut"), none.alias("highcut"), x.alias("x"))
 
 
-READERS = {"knet": knet, "esm": esm, "at2": at2, "nsmn": nsmn}
+def cwb(d: DataFrame) -> DataFrame:
+    """22 header lines of #Key: value, then columns of time, up, north and east in cm/s^2; times are eight hours ahead."""
+    value = lambda key: F.trim(F.regexp_extract("text", f"(?m)^#{key}[^:\\n]*:(.*)$", 1))
+    rate = try_double(value("SampleRate"))
+    when = F.to_timestamp(F.substring(F.regexp_replace(value("StartTime"), r"[-T ]", "/"), 1, 19), "yyyy/MM/dd/HH:mm:ss") - F.expr("INTERVAL '8' HOUR")
+    d = d.withColumn("_v", numbers(after(F.col("lines"), 22))).withColumn("_k", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    none = F.lit(None).cast("double")
+    return d.select("path", F.lit("cwb").alias("format"), F.lit("TW").alias("network"), value("StationCode").alias("station"), F.lit("--").alias("location"), channel(rate, F.get(F.array(F.lit("Z"), F.lit("1"), F.lit("2")), F.col("_k") - 1)).alias("channel"), when.alias("start"), rate.alias("sampling_rate"),
+        try_double(value("StationLatitude")).alias("lat"), try_double(value("StationLongitude")).alias("lon"), F.lit(0.0).alias("elevation"), F.lit("cm/s^2").alias("units"), F.lit("").alias("structure"), none.alias("lowcut"), none.alias("highcut"), F.filter("_v", lambda v, i: i % 4 == F.col("_k")).alias("x"))
+
+
+READERS = {"knet": knet, "esm": esm, "at2": at2, "nsmn": nsmn, "cwb": cwb}
 
 
 def read(spark: SparkSession, path: str, formats: list[str] | None = None) -> DataFrame:

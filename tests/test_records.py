@@ -13,20 +13,31 @@ KNET = "\n".join(
 KEYS = {"EVENT_NAME": "X", "NETWORK": "HI", "STATION_CODE": "ARS", "STATION_LATITUDE_DEGREE": "37.6", "STATION_LONGITUDE_DEGREE": "22.7", "STATION_ELEVATION_M": "34", "STREAM": "HNZ", "SAMPLING_INTERVAL_S": "0.005", "DATE_TIME_FIRST_SAMPLE_YYYYMMDD_HHMMSS": "20190728_160919.870", "LOW_CUT_FREQUENCY_HZ": "0.1", "HIGH_CUT_FREQUENCY_HZ": "30"}
 ESM = "\n".join([f"{k}: {v}" for k, v in KEYS.items()] + [f"USER{i}: " for i in range(64 - len(KEYS))] + ["0.5", "-1.5e-1", ""])
 AT2 = "TITLE\nSomewhere, 1/1/2000, STA, HNE\nACCELERATION TIME SERIES IN UNITS OF G\nNPTS=   5, DT=   .0200 SEC,\n  .1000000E-01  .2 .3\n -.4 .5\n"
+CWB = "\n".join(
+    ["#Earthquake Information", "#StationCode: TAP001", "#StationLongitude(E): 121.5", "#StationLatitude(N): 24.9", "#StartTime(GMT+8): 2018/02/06-23:50:00.000", "#SampleRate(Hz): 200", *["#More: 1"] * 15, "#Data: 4F10.3", "     0.000    -1.000     2.000     3.000", "     0.005    -4.000     5.000     6.000", ""]
+)
+NSMN = "\n".join(["STRONG GROUND MOTION RECORDS OF TURKIYE", "PLACE : Bodrum", *["-"] * 4, "STATION ID : 4809", "COORDINATES : 37.03N - 27.43E", "ALTITUDE (m) : 6", "TYPE : X", "SERIAL : 1", "TIME : 20/07/2017 22:30:58.000000 (GMT)", "NUMBER OF DATA : 2", "INTERVAL : 0.01", *["-"] * 4, "  1.0  2.0  3.0", " -4.0 -5.0 -6.0", ""])
 
 
 @pytest.fixture(scope="module")
 def traces(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("records")
-    for name, text in {"a.NS": KNET.format("N-S"), "b.UD2": KNET.format("3"), "sub/c.ASC": ESM.replace("\n", "\r\n"), "d.AT2": AT2, "e.txt": "nothing"}.items():
+    for name, text in {"a.NS": KNET.format("N-S"), "b.UD2": KNET.format("3"), "sub/c.ASC": ESM.replace("\n", "\r\n"), "d.AT2": AT2, "f.cwb": CWB, "g.nsmn": NSMN, "e.txt": "nothing"}.items():
         (d / name).parent.mkdir(exist_ok=True)
         (d / name).write_text(text)
     return str(d)
 
 
 def test_every_format(spark, traces):
-    got = {r["path"].rpartition("/")[2]: r for r in records.read(spark, traces).collect()}
-    assert set(got) == {"a.NS", "b.UD2", "c.ASC", "d.AT2"}
+    rows = records.read(spark, traces).collect()
+    got = {r["path"].rpartition("/")[2]: r for r in rows}
+    assert set(got) == {"a.NS", "b.UD2", "c.ASC", "d.AT2", "f.cwb", "g.nsmn"}
+    three = {(r["format"], r["channel"]): r for r in rows if r["format"] in ("cwb", "nsmn")}
+    assert three[("cwb", "HNZ")]["x"] == [-1.0, -4.0] and three[("cwb", "HN2")]["x"] == [3.0, 6.0] and three[("cwb", "HN1")]["lat"] == 24.9
+    assert three[("nsmn", "HN1")]["x"] == [1.0, -4.0] and three[("nsmn", "HNZ")]["x"] == [3.0, -6.0]
+    n = three[("nsmn", "HN2")]
+    assert (n["lat"], n["lon"], n["elevation"], n["station"]) == (37.03, 27.43, 6.0, "4809") and n["start"] == datetime.datetime(2017, 7, 20, 22, 30, 58)
+    assert three[("cwb", "HNZ")]["start"] == datetime.datetime(2018, 2, 6, 15, 50)
     k = got["a.NS"]
     assert k["x"] == [2.0, 4.0, 6.0, 8.0, 10.0, 12.0, 14.0, 16.0, -18.0, 20.0] and k["channel"] == "HN1" and k["structure"] == "" and k["station"] == "ABC001"
     assert k["start"] == datetime.datetime(2008, 6, 13, 23, 44, 3) and k["sampling_rate"] == 100
@@ -47,4 +58,4 @@ def test_write_keeps_other_partitions(spark, traces, tmp_path):
     t = records.read(spark, traces).drop("path")
     records.write(t.withColumn("label", F.lit("a")), f"{tmp_path}/w", ["label"])
     records.write(t.limit(1).withColumn("label", F.lit("b")), f"{tmp_path}/w", ["label"])
-    assert {(r["label"], r["count"]) for r in spark.read.parquet(f"{tmp_path}/w").groupBy("label").count().collect()} == {("a", 4), ("b", 1)}
+    assert {(r["label"], r["count"]) for r in spark.read.parquet(f"{tmp_path}/w").groupBy("label").count().collect()} == {("a", 10), ("b", 1)}
