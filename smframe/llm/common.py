@@ -26,34 +26,43 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more: all that was made of them has been stored in turn."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id of edges (a, b): component is the smallest id that links reach.
 
-    Randomised contraction: each round maps every vertex to the neighbour (or itself) of least seeded hash and
-    replaces both ends of each edge, which removes a constant share of the vertices in expectation; only counts
-    reach the driver. Each map is written once, so a hot vertex meets its map in a join that Spark can split.
+    Randomised contraction: each round maps every vertex to the neighbour (or itself) of least seeded hash (at first
+    of least id, which folds stars at once), takes that step twice, and replaces both ends of each edge, which removes
+    a constant share of the vertices in expectation. Nothing but "are edges left" reaches the driver. Each map is written
+    once, so a hot vertex meets its map in a join that Spark can split.
     """
-    maps, e, vertices = [], stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct()), None
-    vertices = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
+    maps, e = [], stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
+    vertices = stored(e.select(F.col("a").alias("id")).union(e.select("b")).distinct())
     for turn in range(max_rounds):
         if e.isEmpty():
             break
         both = e.union(e.select("b", "a"))
-        key = lambda c: F.xxhash64(F.lit(turn), c)
-        near = both.groupBy("a").agg(F.min(key(F.col("b"))).alias("k"))
-        # the hash is a bijection-like order key; its owner is found again among the vertices by the same key
-        owners = both.select(F.col("a").alias("v")).distinct().select("v", key(F.col("v")).alias("k"))
-        near = near.select("a", F.least("k", key(F.col("a"))).alias("k"))
-        m = stored(near.join(owners, "k").groupBy("a").agg(F.min("v").alias("to")))
+        ranked = lambda c: F.struct((F.col(c) if turn == 0 else F.xxhash64(F.lit(turn), c)).alias("k"), F.col(c).alias("v"))
+        step = stored(both.groupBy("a").agg(F.min(ranked("b")).alias("n")).select("a", F.least(ranked("a"), F.col("n"))["v"].alias("to")))
+        m = stored(step.join(step.select(F.col("a").alias("to"), F.col("to").alias("_next")), "to").select("a", F.col("_next").alias("to")))
+        discard(step)
         maps.append(m)
-        e = stored(
+        used, e = e, stored(
             e.join(m.withColumnRenamed("to", "x"), "a").select("x", "b")
             .join(m.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
             .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
+        discard(used)
     else:
         raise RuntimeError("contraction did not end")
     at = vertices.select("id", F.col("id").alias("root"))
@@ -61,4 +70,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         at = at.join(m.select(F.col("a").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
     at = stored(at)
     least = stored(at.groupBy("root").agg(F.min("id").alias("component")))
-    return at.join(least, "root").select("id", "component")
+    out = stored(at.join(least, "root").select("id", "component"))
+    discard(e, vertices, at, least, *maps)
+    return out

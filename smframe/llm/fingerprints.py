@@ -135,10 +135,10 @@ def compare(docs: DataFrame) -> DataFrame:
 
     # one first and one last row for each partition
     w = Window.orderBy("part")
-    order = rows.where("first").select("part").withColumn("_to", F.lead("part").over(w))
-    lowest = rows.where("first").agg(F.min("part").alias("_low"))
+    lowest = F.min("part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    order = rows.where("first").select("part", F.coalesce(F.lead("part").over(w), lowest).alias("_to"))
     heads = rows.where("first").select(F.col("part").alias("_to"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fp"))
-    ends = rows.where("last").join(order, "part").join(lowest, F.lit(True)).withColumn("_to", F.coalesce("_to", "_low")).join(heads, "_to")
+    ends = rows.where("last").join(order, "part").join(heads, "_to")
 
     def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

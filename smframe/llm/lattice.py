@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smframe.llm.common import components, stored
+from smframe.llm.common import components, discard, stored
 
 #: The 240 shortest vectors of E8, where neighbouring lattice points lie: (+-1, +-1, 0...) and even sign changes of (1/2, ...).
 ROOTS = np.array(
@@ -138,6 +138,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int = 8, p
     links = met.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     found = components(met.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     info = stored(first.join(links, "id", "left").join(found, "id", "left").select("h", F.col("mult"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component")))
+    discard(first, coded, full, met, found)
     out = rows.select("vec_id", "h").join(info, "h", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("mult") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

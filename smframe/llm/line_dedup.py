@@ -2,8 +2,8 @@
 
 A line's shingles are the eight characters (fewer at its end) from each word's start, and from each character that
 follows eight or more of its word, so that every character is covered. Its signature is the least five hashes of
-the shingles; every pair of the five is a band, which a pair of lines at similarity 0.8 shares with a probability of
-0.99. Lines in one band are verified by exact Jaccard of their shingles: each against its band's least line, and,
+the shingles; every triple of the five is a band, which a pair of lines at similarity 0.8 shares with a probability
+of 0.94 at least, at 0.9 of 0.99. Lines in one band are verified by exact Jaccard of their shingles: each against its band's least line, and,
 where a band is left with several components, all pairs across these, in blocks of bounded size. Union-find over the
 links is distributed. One line of each component stays: its first by doc_id and position.
 
@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from smframe.llm.common import components, stored
+from smframe.llm.common import components, discard, stored
 
 ANCHORED = r"(?s)(?=((?<!\S)\S.{0,7}|(?<=\S{8})\S.{0,7}))"
 LEAST = 5
@@ -39,46 +39,59 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"\S")).withColumn("cid", F.xxhash64("line"))
 
 
+def band_of(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(F.lit("band"), a, b, c)
+
+
 def bands(sig: Column) -> Column:
-    """A hash of each pair of the signature, or of its only element."""
+    """A hash of each triple of the signature, or of all its elements where it has fewer (then only equal sets are similar enough)."""
     at = lambda i: F.get(sig, F.lit(i))
-    pairs = F.array(*(F.when(at(j).isNotNull(), F.xxhash64(F.lit("pair"), at(i), at(j))) for i, j in combinations(range(LEAST), 2)))
-    return F.when(F.size(sig) == 1, F.array(F.xxhash64(F.lit("one"), at(0)))).otherwise(F.filter(pairs, lambda x: x.isNotNull()))
+    triples = F.array(*(F.when(at(k).isNotNull(), band_of(at(i), at(j), at(k))) for i, j, k in combinations(range(LEAST), 3)))
+    return F.when(F.size(sig) < 3, F.array(F.xxhash64(F.lit("few"), at(0), at(1)))).otherwise(F.filter(triples, lambda x: x.isNotNull()))
+
+
+def fits(a: Column, b: Column, percent: int) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    return 100 * F.least(F.size(a), F.size(b)) >= percent * F.greatest(F.size(a), F.size(b))
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
-    """Whether 100 * intersection reaches percent * union of two sets of distinct elements; sizes are tested first."""
-    both = F.size(F.array_intersect(a, b))
-    fit = 100 * F.least(F.size(a), F.size(b)) >= percent * F.greatest(F.size(a), F.size(b))
-    return fit & (100 * both >= percent * (F.size(a) + F.size(b) - both))
+    """Whether 100 * intersection reaches percent * union of two sets of distinct elements: (100 + percent) * intersection reaches percent * both sizes."""
+    return fits(a, b, percent) & ((100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b)))
 
 
 def line_components(docs: DataFrame, percent: int = 80, block: int = 32) -> tuple[DataFrame, DataFrame]:
     """(occurrences, components): doc_id, rk, pos, cid of every line, and (id, component) of classes that have links."""
-    # with bands only for the first of equal lines within a document; across documents equal lines meet below by cid
     occ = stored(lines(docs).select("doc_id", "rk", "pos", "cid", F.slice(shingles(F.col("line")), 1, LEAST).alias("sig")))
-    banded = occ.groupBy("cid").agg(F.first("sig").alias("sig")).select("cid", F.explode(bands(F.col("sig"))).alias("band"))
-    banded = stored(banded)
-    shared = stored(banded.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "lo", "n"))
+    # each distinct line once, under a short number; written, so the numbers stay
+    kinds = stored(occ.groupBy("cid").agg(F.first("sig").alias("sig")).select(F.monotonically_increasing_id().alias("m"), "cid", "sig"))
+    banded = kinds.select("m", F.explode(bands(F.col("sig"))).alias("band"))
+    shared = stored(banded.groupBy("band").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "lo", "n"))
     seats = stored(banded.join(shared, "band"))
-    ids = seats.select("cid").distinct()
-    # the text of each class that shares a band, once
-    texts = lines(docs).select("cid", "line").join(ids, "cid", "left_semi").groupBy("cid").agg(F.min("line").alias("line"))
-    sets = stored(texts.select("cid", shingles(F.col("line")).alias("sh")))
-    pairs = seats.where("cid <> lo").select(F.col("cid").alias("a"), F.col("lo").alias("b")).distinct()
-    one, two = sets.select(F.col("cid").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("sh").alias("sb"))
+    # the shingles of each distinct line that shares a band, once
+    alive = stored(kinds.select("m", "cid").join(seats.select("m").distinct(), "m"))
+    texts = lines(docs).select("cid", "line").join(alive, "cid").groupBy("m").agg(F.min("line").alias("line"))
+    sets = stored(texts.select("m", shingles(F.col("line")).alias("sh")))
+    pairs = seats.where("m <> lo").select(F.col("m").alias("a"), F.col("lo").alias("b")).distinct()
+    one, two = sets.select(F.col("m").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("m").alias("b"), F.col("sh").alias("sb"))
     stars = stored(pairs.join(one, "a").join(two, "b").where(similar(F.col("sa"), F.col("sb"), percent)).select("a", "b"))
     found = components(stars)
 
-    named = seats.join(found, seats["cid"] == found["id"], "left").select("band", "cid", F.coalesce("component", "cid").alias("c"))
+    named = seats.join(found, seats["m"] == found["id"], "left").select("band", "m", F.coalesce("component", "m").alias("c"))
     open_ = stored(named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1 and n > 2").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rest = named.join(open_, "band").join(sets, "cid")
-    rest = stored(rest)
-    dealt = rest.withColumn("x", F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("blocks").cast("long")))
-    held = dealt.groupBy("band", "x").agg(F.collect_list(F.struct("cid", "c", "sh")).alias("others"))  # about `block` of them
-    hit = F.filter("others", lambda o: (o["cid"] < F.col("cid")) & (o["c"] != F.col("c")) & similar(o["sh"], F.col("sh"), percent))
-    more = rest.join(held, "band").select(F.col("cid").alias("a"), F.explode(F.transform(hit, lambda o: o["cid"])).alias("b"))
-    return occ, components(stars.union(more))
+    rest = stored(named.join(open_, "band").join(sets, "m"))
+    dealt = rest.withColumn("x", F.pmod(F.xxhash64(F.lit("block"), "m"), F.col("blocks").cast("long")))
+    held = stored(dealt.groupBy("band", "x").agg(F.collect_list(F.struct("m", "c", "sh")).alias("others")))  # about `block` of them
+    # a pair shares up to ten bands; it is verified in the one of its three least common hashes
+    common = lambda o: F.array_intersect(F.slice(o["sh"], 1, LEAST), F.slice("sh", 1, LEAST))
+    here = lambda o: band_of(*(F.get(common(o), F.lit(i)) for i in range(3))) == F.col("band")
+    hit = F.filter("others", lambda o: (o["m"] < F.col("m")) & (o["c"] != F.col("c")) & fits(o["sh"], F.col("sh"), percent) & here(o) & similar(o["sh"], F.col("sh"), percent))
+    more = rest.join(held, "band").select(F.col("m").alias("a"), F.explode(F.transform(hit, lambda o: o["m"])).alias("b"))
+    linked = components(stars.union(more))
+    named = kinds.select(F.col("m").alias("component"), F.col("cid").alias("c"))
+    out = stored(linked.join(kinds.select(F.col("m").alias("id"), "cid"), "id").join(named, "component").select(F.col("cid").alias("id"), F.col("c").alias("component")))
+    discard(kinds, shared, seats, alive, sets, stars, found, open_, rest, held, linked)
+    return occ, out
 
 
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -86,10 +99,11 @@ def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     occ, found = line_components(docs, percent)
     at = occ.select("doc_id", "rk", "pos", "cid")
     at = at.join(found, at["cid"] == found["id"], "left").select("doc_id", "rk", "pos", F.coalesce("component", "cid").alias("c"))
-    at = stored(at.distinct())
+    at = at_ = stored(at.distinct())
     first = stored(at.groupBy("c").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "f"))
     gone = at.join(first, "c").where(~F.struct("doc_id", "rk", "pos").eqNullSafe(F.col("f")))
     gone = stored(gone.groupBy("rk", "doc_id").agg(F.collect_set("pos").alias("_gone")).select(F.col("rk").alias("_rk"), F.col("doc_id").alias("_doc"), "_gone"))
+    discard(occ, found, at_, first)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     d = docs.withColumn("_k", row_key(docs))
     d = d.join(gone, (F.col("_k") == F.col("_rk")) & d["doc_id"].eqNullSafe(F.col("_doc")), "left")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smframe.llm.common import components, stored
+from smframe.llm.common import components, discard, stored
 
 U = np.uint64
 FULL = (1 << 64) - 1
@@ -187,19 +187,19 @@ def verified(members: DataFrame, docs: DataFrame, words: int, percent: int, bloc
     m = members.withColumn("cls", F.floor(F.log2(F.col("n").cast("double")) * 3).cast("int"))  # classes of verification: near a quarter wide
     per = m.groupBy("family", "cls").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
     per = per.withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
-    fam = stored(per.groupBy("family").agg(F.sum("total").alias("all"), F.sort_array(F.collect_list(F.struct("cls", "blocks", "least", "most"))).alias("parts")))  # a few dozen classes at most
-    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("mine.blocks").cast("long")).cast("int")
-    near = lambda p: (100 * F.least(p["most"], F.col("mine.most")) >= percent * F.greatest(p["least"], F.col("mine.least")))
+    per = stored(per)
+    fam = stored(per.groupBy("family").agg(F.sum("total").alias("all"), F.collect_list(F.struct("cls", "blocks", "least", "most")).alias("parts")))  # a few dozen classes at most
+    # written before the keys are made, so that each row's block is worked out once
+    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks").cast("long")).cast("int")
+    at = stored(m.join(per, ["family", "cls"]).select("id", "family", "cls", own.alias("own"), F.col("least").alias("lo"), F.col("most").alias("hi")).join(fam, "family").repartition("id"))
+    near = lambda p: (100 * F.least(p["most"], F.col("hi")) >= percent * F.greatest(p["least"], F.col("lo")))
     key = lambda c1, i, c2, j: F.struct(c1.alias("c1"), i.alias("i"), c2.alias("c2"), j.alias("j"))
 
     def keys(p):
         """The block pairs of one class that this row's block takes part in, smaller block first."""
-        other = F.sequence(F.lit(0), p["blocks"] - 1)
         first = lambda j: (F.col("cls") < p["cls"]) | ((F.col("cls") == p["cls"]) & (F.col("own") <= j))
-        return F.transform(other, lambda j: F.when(first(j), key(F.col("cls"), F.col("own"), p["cls"], j)).otherwise(key(p["cls"], j, F.col("cls"), F.col("own"))))
+        return F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda j: F.when(first(j), key(F.col("cls"), F.col("own"), p["cls"], j)).otherwise(key(p["cls"], j, F.col("cls"), F.col("own"))))
 
-    at = m.join(fam, "family").withColumn("mine", F.get(F.filter("parts", lambda p: p["cls"] == F.col("cls")), F.lit(0)))
-    at = at.withColumn("own", own)
     whole = F.array(key(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0)))
     at = at.withColumn("keys", F.when(F.col("all") <= block, whole).otherwise(F.flatten(F.transform(F.filter("parts", near), keys))))
     at = at.select("id", "family", "cls", "own", "keys")
@@ -237,7 +237,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 300_00
     words: a shingle's length; percent: the least 100 * intersection / union; block: shingles in one verification block.
     """
     t = stored(sets(docs, words, percent))
-    slim = t.select("doc_id", "n", "d1", "d2")
+    slim = stored(t.select("doc_id", "n", "d1", "d2"))
     full = t.where("n > 0 and doc_id is not null")
     rep = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
     copies = slim.where("n > 0 and doc_id is not null").join(rep, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -246,9 +246,12 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 300_00
     shared = stored(sig.groupBy("s").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("s", "least"))
     stars = sig.join(shared, "s").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     family = components(stars)
+    discard(t, shared)
     members = family.select("id", F.col("component").alias("family")).join(slim.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id")
-    links = verified(stored(members), docs, words, percent, block)
+    members = stored(members)
+    links = stored(verified(members, docs, words, percent, block))
     found = components(copies.union(links))
+    discard(rep, family, members, links)
     out = slim.join(found, slim["doc_id"] == found["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
