@@ -239,19 +239,23 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 300_00
     t = stored(sets(docs, words, percent))
     slim = stored(t.select("doc_id", "n", "d1", "d2"))
     full = t.where("n > 0 and doc_id is not null")
-    rep = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
+    # one row of each set, with its signatures: they are shuffled here once, and not again for each use
+    first = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
+    discard(t)
+    rep = first.select("d1", "d2", "n", "rep")
     copies = slim.where("n > 0 and doc_id is not null").join(rep, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = full.join(rep.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi")
-    sig = first.select(F.col("doc_id").alias("id"), F.explode("sig").alias("s"))
-    shared = stored(sig.groupBy("s").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("s", "least"))
-    stars = sig.join(shared, "s").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    sig = first.select(F.col("rep").alias("id"), F.explode("sig").alias("s"))
+    shared = sig.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
+    seats = stored(sig.join(shared, "s"))
+    least = seats.groupBy("s").agg(F.min("id").alias("least"))
+    stars = seats.join(least, "s").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     family = components(stars)
-    discard(t, shared)
+    discard(seats)
     members = family.select("id", F.col("component").alias("family")).join(slim.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id")
     members = stored(members)
     links = stored(verified(members, docs, words, percent, block))
     found = components(copies.union(links))
-    discard(rep, family, members, links)
+    discard(first, family, members, links)
     out = slim.join(found, slim["doc_id"] == found["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
