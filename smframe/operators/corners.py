@@ -11,17 +11,27 @@ from pyspark.sql import DataFrame
 from smframe.operators.waveform import butterworth_fd, integrate_fd, mapped
 
 
-def displacement(x: np.ndarray, dt: float) -> np.ndarray:
-    return integrate_fd(integrate_fd(x, dt), dt)
+def integrate_td(x: np.ndarray, dt: float) -> np.ndarray:
+    """The integral by trapezoids, from 0."""
+    return np.concatenate(([0.0], np.cumsum((x[1:] + x[:-1]) * (dt / 2)))) if len(x) else x
 
 
-def sixth_order(x: np.ndarray, dt: float) -> np.ndarray:
-    """x less the second derivative of a t^6 + ... + e t^2 fitted to its displacement."""
+def displacement(x: np.ndarray, dt: float, frequency: bool = True) -> np.ndarray:
+    integral = integrate_fd if frequency else integrate_td
+    return integral(integral(x, dt), dt)
+
+
+def sixth_order(x: np.ndarray, dt: float, frequency: bool = True) -> np.ndarray:
+    """x less the second derivative of a t^6 + ... + e t^2 fitted to its displacement.
+
+    The fitted drift starts at rest, as displacement in the time domain does; a frequency-domain one is periodic, so there
+    the corrected trace's displacement need not be smaller.
+    """
     t = np.arange(len(x)) * dt
     scale = max(t[-1], dt)
     u = t / scale  # keeps the fit well conditioned
     powers = np.arange(2, 7)
-    c, *_ = np.linalg.lstsq(u[:, None] ** powers, displacement(x, dt), rcond=None)
+    c, *_ = np.linalg.lstsq(u[:, None] ** powers, displacement(x, dt, frequency), rcond=None)
     return x - ((powers * (powers - 1) * c) * u[:, None] ** (powers - 2)).sum(1) / scale**2
 
 
@@ -85,8 +95,8 @@ def akaike_index(x: np.ndarray) -> int | None:
     return int(k[np.argmin(k * np.log(left) + m * np.log(right))])
 
 
-def corrected(df: DataFrame, dt: float) -> DataFrame:
-    return mapped(df, lambda x: [sixth_order(x, dt)], ["baseline"])
+def corrected(df: DataFrame, dt: float, frequency: bool = True) -> DataFrame:
+    return mapped(df, lambda x: [sixth_order(x, dt, frequency)], ["baseline"])
 
 
 def measured(df: DataFrame, **kernels) -> DataFrame:
