@@ -4,7 +4,7 @@ A line's shingles are the eight characters (fewer at its end) from each word's s
 follows eight or more of its word, so that every character is covered. Its signature is the least five hashes of
 the shingles; every triple of the five is a band, which a pair of lines at similarity 0.8 shares with a probability
 of 0.94 at least, at 0.9 of 0.99. Lines in one band are verified by exact Jaccard of their shingles: each against its band's least line, and,
-where a band is left with several components, all pairs across these, in blocks of bounded size. Union-find over the
+where a band is left with several components, all pairs across these, in blocks of bounded expected size. Union-find over the
 links is distributed. One line of each component stays: its first by doc_id and position.
 
 Lines are what newlines part; blank lines always stay. Null and empty texts pass unchanged. Rows that are equal in
@@ -78,14 +78,17 @@ def line_components(docs: DataFrame, percent: int = 80, block: int = 32) -> tupl
     found = components(stars)
 
     named = seats.join(found, seats["m"] == found["id"], "left").select("band", "m", F.coalesce("component", "m").alias("c"))
-    open_ = stored(named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1 and n > 2").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    # a pair across components has one end outside the band's largest: only those are dealt into the blocks that all meet
+    per = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    open_ = stored(per.where("k > 1 and n > 2").select("band", F.col("top.c").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("blocks")))
     rest = stored(named.join(open_, "band").join(sets, "m"))
-    dealt = rest.withColumn("x", F.pmod(F.xxhash64(F.lit("block"), "m"), F.col("blocks").cast("long")))
+    dealt = rest.where("c <> main").withColumn("x", F.pmod(F.xxhash64(F.lit("block"), "m"), F.col("blocks").cast("long")))
     held = stored(dealt.groupBy("band", "x").agg(F.collect_list(F.struct("m", "c", "sh")).alias("others")))  # about `block` of them
     # a pair shares up to ten bands; it is verified in the one of its three least common hashes
     common = lambda o: F.array_intersect(F.slice(o["sh"], 1, LEAST), F.slice("sh", 1, LEAST))
     here = lambda o: band_of(*(F.get(common(o), F.lit(i)) for i in range(3))) == F.col("band")
-    hit = F.filter("others", lambda o: (o["m"] < F.col("m")) & (o["c"] != F.col("c")) & fits(o["sh"], F.col("sh"), percent) & here(o) & similar(o["sh"], F.col("sh"), percent))
+    hit = F.filter("others", lambda o: ((F.col("c") == F.col("main")) | (o["m"] < F.col("m"))) & (o["c"] != F.col("c")) & fits(o["sh"], F.col("sh"), percent) & here(o) & similar(o["sh"], F.col("sh"), percent))
     more = rest.join(held, "band").select(F.col("m").alias("a"), F.explode(F.transform(hit, lambda o: o["m"])).alias("b"))
     linked = components(stars.union(more))
     named = kinds.select(F.col("m").alias("component"), F.col("cid").alias("c"))
