@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from smframe.llm import line_dedup as ld
 
 ANCHORED = re.compile(r"(?s)(?=((?<!\S)\S.{0,7}|(?<=\S{8})\S.{0,7}))", re.A)
@@ -78,3 +80,37 @@ def test_null_ids_repeats_and_empty_tables(spark):
     got = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in ld.dedup(df).collect())
     assert got == [(0, "alpha beta gamma", 0), (1, "other line here", 1), (1, "other line here", 1), (2, "", 0)]
     assert ld.dedup(df.limit(0)).count() == 0
+
+
+def overlapping(line):
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+
+def test_near_copies_by_overlapping_shingles_are_linked(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randrange(2, 9)))
+    rows = []
+    for i in range(400):
+        line = " ".join(word() for _ in range(r.choice([10, 12, 15])))
+        at = r.randrange(len(line))
+        rows.append((i, line, line[:at] + "#" + line[at + 1 :]))
+    near = {i for i, x, y in rows if 100 * len(overlapping(x) & overlapping(y)) >= 80 * len(overlapping(x) | overlapping(y))}
+    got = {x.doc_id: x.n_removed for x in ld.dedup(spark.createDataFrame([(i, f"{x}\n{y}") for i, x, y in rows], "doc_id long, text string")).collect()}
+    assert len(near) > 300 and sum(got[i] for i in near) >= 0.94 * len(near)
+    assert all(got[i] == 0 for i in range(400) if i not in near)
+
+
+def test_shingles_are_all_runs_of_five_characters(spark):
+    texts = ["abc", "abcde", "ab cd ef", "xé日🙂 yz wé日🙂 y", "z" * 3000]
+    got = spark.createDataFrame([(t,) for t in texts], "line string").select("line", ld.shingles(F.col("line")).alias("s")).collect()
+    assert [len(x.s) for x in got] == [len(overlapping(x.line)) for x in got]
+
+
+def test_equals_brute_force_over_overlapping_shingles(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "grams", overlapping)
+    docs = corpus(1)
+    got = {r.doc_id: r.text for r in ld.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    want = brute(docs)
+    kept = lambda x: {*(x or "").split("\n")}
+    assert got.keys() == want.keys()
+    assert sum(len(kept(got[i]) & kept(want[i])) for i in want) >= 0.97 * sum(len(kept(got[i]) | kept(want[i])) for i in want)
