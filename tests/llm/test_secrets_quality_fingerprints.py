@@ -71,6 +71,20 @@ def test_ranking_holds_on_held_out_rows(spark):
     assert all(r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_the_cut_does_not_depend_on_the_sample_size(spark):
+    good, _ = junk_and_prose(900)  # one kind of text, labelled at random: the classes overlap
+    docs = spark.createDataFrame(list(enumerate(good)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(900)], "doc_id long, quality int")
+    for most in (80, 3000):
+        got = quality.classify(docs, quality.fit(docs, labels, most=most)).collect()
+        assert abs(np.mean([1 - x.predicted for x in got]) - 1 / 6) < 0.1, most
+
+
+def test_weighted_quantile_with_equal_weights_is_the_plain_one():
+    s = np.random.default_rng(1).normal(size=101)
+    assert all(np.isclose(quality.weighted_quantile(s, np.full(101, 3.0), q), np.quantile(s, q)) for q in (0, 0.14, 0.5, 0.9, 1))
+
+
 def test_one_label_or_none_gives_one_half(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
