@@ -2,7 +2,7 @@
 
 Two first-order models over one alphabet, of random strings and of ordinary identifiers, are trained from labelled
 samples. A long token outside the pattern matches is reported as kind `markov` where the mean log-likelihood ratio
-for a character exceeds a threshold. DataFrame functions only. The model is a matrix of the size of the alphabet
+for a step exceeds a threshold, whatever its length, unless it repeats a few characters. DataFrame functions only. The model is a matrix of the size of the alphabet
 squared, whatever the input's size.
 
 Null and empty texts have no spans; rows are independent, so ties and repeated rows don't matter; other columns are
@@ -27,6 +27,8 @@ BASE = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1
+#: A token of fewer distinct characters is repetition (dashes, rulers); 20 random hexadecimal digits have about 12.
+FEWEST = 6
 #: Words of ordinary identifiers; samples join two to four of them in the usual styles.
 WORDS = (
     "account action active add address all app array async auth average back base batch begin block body buffer build byte cache call "
@@ -85,9 +87,14 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 
 def score(token: Column, model: list[float]) -> Column:
-    """The log-likelihood ratio of the distinct steps over the number of all steps, so that mere repetition isn't random."""
+    """The mean log-likelihood ratio of all steps."""
     ratio = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    return F.aggregate(F.array_distinct(steps(token)), F.lit(0.0), lambda a, s: a + F.get(ratio, s)) / (F.length(token) - 1)
+    return F.aggregate(steps(token), F.lit(0.0), lambda a, s: a + F.get(ratio, s)) / (F.length(token) - 1)
+
+
+def varied(token: Column) -> Column:
+    """Whether the token is more than a repetition of few characters."""
+    return F.size(F.array_distinct(F.split(token, ""))) >= FEWEST
 
 
 def found(text: Column, kind: int, name: str, pattern: str, keep) -> Column:
@@ -120,7 +127,7 @@ def scan(docs: DataFrame, model: list[float] | None = None, least: int = 20, thr
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     df = df.select("doc_id", "_t", *(found(text, i, k, p, lambda w, v, n=n: F.length(v) >= n).alias(f"_{k}") for i, (k, p, n) in enumerate(BASE)))
     token = r"((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,})" % least
-    df = df.withColumn("_m", found(text, len(BASE), "markov", token, lambda w, v: score(w, model) > threshold))
+    df = df.withColumn("_m", found(text, len(BASE), "markov", token, lambda w, v: varied(w) & (score(w, model) > threshold)))
     df = df.select("doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k, _, _ in BASE), F.concat("_assign", "_access", "_hex").alias("_base"), "_m")
     new = F.filter("_m", lambda m: ~F.exists("_base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
     df = df.withColumn("_new", new)

@@ -46,6 +46,16 @@ def test_models_tell_random_tokens_from_identifiers(spark):
     assert sum(got[i] for i in range(60, len(rows))) == 0
 
 
+def test_long_random_tokens_are_found_and_long_repetition_is_not(spark):
+    r = random.Random(8)
+    kinds = ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    rand = ["".join(r.choice(k) for _ in range(n)) for k in kinds for n in (256, 1000, 4000, 10_000)]
+    plain = ["-" * 5000, "=-" * 3000, "a" * 1000, "_".join(r.choice(secrets.WORDS) for _ in range(800)), "/".join(r.choice(secrets.WORDS) for _ in range(100))]
+    rows = [(i, f"see {t} there") for i, t in enumerate(rand + plain)]
+    got = {x.doc_id: x.n_markov for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [1] * len(rand) + [0] * len(plain)
+
+
 def test_scan_of_an_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
