@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,14 +79,20 @@ def nearest_event(targets: DataFrame, catalog: DataFrame, key: str, radius_km: f
     Candidates meet through cells of latitude and longitude, whose neighbours are searched; no cross join.
     """
     cell = lambda c: F.floor(c / cell_deg)
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    reach = math.radians(radius_km / 111.0)  # a little more than the radius as an angle
+    rows = math.ceil(math.degrees(reach) / cell_deg)
+    near = F.explode(F.sequence(F.lit(-rows), F.lit(rows)))
     wrap = int(360 / cell_deg)
     lon = lambda c: F.pmod(F.floor((c + 180) / cell_deg), F.lit(wrap))
     t = targets.withColumn("_y", cell(F.col("lat"))).withColumn("_x", lon(F.col("lon")))
-    # cells narrow towards the poles, so every cell of a band is searched there
+    # cells narrow towards the poles: the reach in longitude grows, and where the circle holds a pole every cell of a band is searched
     c = catalog.select(*(F.col(x).alias(f"c_{x}") for x in catalog.columns))
     c = c.withColumn("_d", near).withColumn("_y", F.col("_d") + cell(F.col("c_lat"))).drop("_d")
-    c = c.withColumn("_all", F.abs(F.col("c_lat")) > 70).withColumn("_x", F.explode(F.when(F.col("_all"), F.sequence(F.lit(0), F.lit(wrap - 1))).otherwise(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.pmod(lon(F.col("c_lon")).cast("int") + k, F.lit(wrap)))))).drop("_all")
+    lat = F.radians(F.col("c_lat"))
+    wide = F.when(F.abs(lat) + reach < math.pi / 2, F.ceil(F.degrees(F.asin(F.least(math.sin(reach) / F.cos(lat), F.lit(1.0)))) / cell_deg).cast("int"))
+    c = c.withColumn("_w", wide).withColumn("_all", F.col("_w").isNull() | (2 * F.col("_w") + 1 >= wrap))
+    some = F.transform(F.sequence(-F.col("_w"), F.col("_w")), lambda k: F.pmod(lon(F.col("c_lon")).cast("int") + k, F.lit(wrap)))
+    c = c.withColumn("_x", F.explode(F.when(F.col("_all"), F.sequence(F.lit(0), F.lit(wrap - 1))).otherwise(some))).drop("_all", "_w")
     km = physics.haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
     j = t.join(c.withColumn("_x", F.col("_x").cast("long")), ["_y", "_x"]).withColumn("km", km).where(F.col("km") <= radius_km)
     sq = lambda v: v * v

@@ -98,3 +98,12 @@ def test_bounds_cross_the_antimeridian(spark):
     s = spark.createDataFrame([(1, 0.0, 179.0), (2, 0.0, -179.0), (3, 0.0, 0.0)], "id long, lat double, lon double")
     b = spark.createDataFrame([("p", 170.0, -170.0, -10.0, 10.0)], "provider string, west double, east double, south double, north double")
     assert sorted(x.id for x in r.within_bounds(s, b).collect()) == [1, 2]
+
+
+def test_nearest_event_reaches_over_narrow_cells(spark):
+    pairs = [(69.0, x, 69.0, x + 25.0) for x in (0.0, 4.0, 6.0, 9.0)] + [(5.0, 5.0, 12.0, 5.0), (84.0, 10.0, 86.0, -170.0)]
+    t = spark.createDataFrame([(i, a, b, 0.0, 0.0, 5.0) for i, (a, b, _, _) in enumerate(pairs)], "station long, lat double, lon double, time_s double, depth double, magnitude double")
+    for cell in (10.0, 3.0):
+        c = spark.createDataFrame([(i, y, x, 0.0, 0.0, 5.0) for i, (_, _, y, x) in enumerate(pairs)], "event long, lat double, lon double, time_s double, depth double, magnitude double")
+        got = r.nearest_event(t, c, "station", 1200.0, 60.0, 30.0, 1.0, cell)
+        assert {x.station for x in got.select("station").collect()} == {*range(len(pairs))}
