@@ -2,35 +2,39 @@
 
 A document's set holds the hashes of its distinct word shingles. Sizes fall into classes. Two sets whose Jaccard
 similarity reaches the threshold differ in at most k elements, where k follows from the class of the smaller one.
-The hash domain is cut into n1 * n2 cells: of the n1 groups of n2 cells, one at least holds at most k2 differences,
-so n2 - k2 of its cells agree wholly. Every choice of n2 - k2 cells of every group is a signature, tagged with the
-class; sufficiently similar sets share one, whatever the rest of the corpus holds. A set emits signatures for its
-own class and for those that a smaller partner may be in.
+The hash domain is cut into k + 1 + m cells, so that m + 1 cells at least agree wholly; the content of a cell, tagged
+with the class, is a signature (PartEnum with one partition out of each group chosen). A set with at most m empty
+cells needs no signature of an empty cell, as one of the agreeing cells then holds something; other sets emit those
+too. A set emits signatures for its own class and for those that a smaller partner may be in.
 
-Equal sets are joined by their digest first. Sets that share signatures form families; within a family all pairs
-that sizes allow are verified exactly on whole sets, in blocks of bounded size, and only a spanning forest of the
-links leaves a task. Families of any size are cut into blocks that meet pairwise, so none lands in one task.
+Equal sets are one, by their digest. Rows of a signature are linked to its least id; those pairs that sizes and
+region counts (a lower bound of the differences) allow are verified exactly on whole sets, and joined into
+components. Signatures that then still hold several components are met once more: the rows outside the largest
+component are dealt into blocks of bounded size, all rows of the signature pass each block, and the pairs across
+components that the same bound allows are verified. No signature, family or component is gathered in one task.
 
 Null and empty texts have an empty set and are linked with nothing. Fewer words than a shingle's give the whole
-sequence as one. Rows of one doc_id are one document with the union of links; a null doc_id is reported with its own
-size and no links. Other columns are not read; an empty table gives no rows.
+sequence as one. Rows of one doc_id are one document; where their texts differ, the text of least hash stands for
+it in links, and each row is reported with its own size. A null doc_id is reported with its own size and no links.
+Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from smframe.llm.common import components, discard, stored
 
 U = np.uint64
 FULL = (1 << 64) - 1
+REGIONS = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,18 +71,9 @@ def size_class(n: int, ratio: float = 1.25) -> tuple[int, int, int]:
         c, lo = c + 1, hi + 1
 
 
-def scheme(k: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) for k differences: one group with many choices for small k, else groups with one difference each."""
-    if k <= 3:
-        return 1, (1, 3, 5, 6)[k], k
-    n1 = (k + 2) // 2
-    return n1, 3, k // n1
-
-
-@lru_cache(maxsize=None)
-def plan(percent: int, hi: int) -> tuple[int, int, int, tuple[tuple[int, ...], ...]]:
-    n1, n2, k2 = scheme(hi * (100 - percent) // percent)
-    return n1, n2, k2, tuple(combinations(range(n2), n2 - k2))
+def spare(k: int) -> int:
+    """How many cells there are beyond k + 1: as many empty cells a set may have and leave out."""
+    return k // 20 + 2
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
@@ -89,20 +84,34 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(s + U(0x632BE59BD9B4E019)))))
     c, lo, hi = size_class(n)
     while True:
-        n1, n2, _, chosen = plan(percent, hi)
-        cells = n1 * n2
-        edges = np.searchsorted(s, np.array([(FULL + 1) * i // cells for i in range(cells)], U))
-        at = np.append(edges, n)
-        cell = mix(sums[at[1:]] - sums[at[:-1]] + U(0xA24BAED4963EE407) * np.arange(1, cells + 1, dtype=U)).reshape(n1, n2)
-        tag = mix(np.arange(n1, dtype=U) * U(1 << 20) + U(c))
-        for j, pick in enumerate(chosen):
-            out.append(mix(cell[:, list(pick)].sum(axis=1, dtype=U) + tag + U(0x8CB92BA72F3D8DD7 * (j + 1) & FULL)))
+        k = hi * (100 - percent) // percent
+        m = spare(k)
+        cells = k + 1 + m
+        at = np.append(np.searchsorted(s, np.array([(FULL + 1) * i // cells for i in range(cells)], U)), n)
+        full = at[1:] > at[:-1]
+        if cells - np.count_nonzero(full) > m:
+            full[:] = True
+        out.append(mix(sums[at[1:]] - sums[at[:-1]] + U(0xA24BAED4963EE407) * np.arange(1, cells + 1, dtype=U) + U(0x8CB92BA72F3D8DD7 * (c + 1) & FULL))[full])
         if lo == 1 or (lo - 1) * 100 < percent * n:  # no set of the class below can be similar enough
             break
         c, lo, hi = size_class(lo - 1)
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def regions(s: np.ndarray) -> bytes:
+    """How many elements each of the 64 equal parts of the domain has, 255 at most: the sum of differences bounds those of two sets from below."""
+    return np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=REGIONS), 255).astype(np.uint8).tobytes()
+
+
+def counts_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGIONS).astype(np.int16)
+
+
+def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and region counts of pairs of sets leave room for the similarity."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.abs(x - y).sum(1, dtype=np.int64) * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a sorted set, as two signed numbers."""
     if not len(s):
@@ -111,153 +120,149 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.astype(np.int64))), int(np.int64(b.astype(np.int64)))
 
 
-def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 and the signatures of every row."""
+def sets(docs: DataFrame, words: int, percent: int, remembered: int = 200_000) -> DataFrame:
+    """id, x (a hash of the text), n, d1, d2, region counts and signatures of every row; a task gives the signatures of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            t, n, d1, d2, sig, offsets = b.column("text"), [], [], [], [], [0]
+            t, n, d, counts, sig = b.column("text"), [], [], [], []
             for i in range(b.num_rows):
                 s = shingles(t[i].as_py() or "", words)
-                x, y = digest(s)
-                n.append(len(s)), d1.append(x), d2.append(y)
-                sig.append(signatures(s, percent))
-                offsets.append(offsets[-1] + len(sig[-1]))
+                n.append(len(s)), d.append(digest(s)), counts.append(regions(s))
+                sig.append(np.zeros(0, np.int64) if d[-1] in seen else signatures(s, percent))
+                if len(seen) >= remembered:
+                    seen.clear()
+                seen.add(d[-1])
             if n:
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sig)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], ["doc_id", "n", "d1", "d2", "sig"])
-
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sig array<long>")
-
-
-def linked_pairs(s: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets (of different sides, where side has two values)."""
-    m = len(s)
-    n = np.array([len(x) for x in s])
-    root = list(range(m))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-
-    def link(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-
-    both = side.min() != side.max()
-    if m <= 6:
-        for i in range(m):
-            for j in range(i):
-                if (both and side[i] == side[j]) or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]):
-                    continue
-                x = len(np.intersect1d(s[i], s[j], assume_unique=True))
-                if 100 * x >= percent * (n[i] + n[j] - x):
-                    link(i, j)
-        return out
-    owner = np.repeat(np.arange(m), n)
-    _, column, seen = np.unique(np.concatenate(s), return_inverse=True, return_counts=True)
-    more = seen[column] > 1
-    owner, column = owner[more], (np.cumsum(seen > 1) - 1)[column[more]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common, width = np.zeros((m, m), np.float32), 4096
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, (lo, lo + width))
-        x = np.zeros((m, width), np.float32)
-        x[owner[a:b], column[a:b] - lo] = 1
-        common += x @ x.T  # counts are below 2 ** 24, so exact
-    c = common.astype(np.int64)
-    ok = np.tril(100 * c >= percent * (n[:, None] + n[None, :] - c), -1)
-    if both:
-        ok &= side[:, None] != side[None, :]
-    for i, j in zip(*np.nonzero(ok)):
-        link(int(i), int(j))
-    return out
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sig)]), pa.int32()), pa.array(np.concatenate(sig)))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(n, pa.int64()), *(pa.array(v, pa.int64()) for v in zip(*d)), pa.array(counts, pa.binary()), lists], ["id", "x", "n", "d1", "d2", "counts", "sig"])
+
+    return with_text(docs).mapInArrow(run, "id long, x long, n long, d1 long, d2 long, counts binary, sig array<long>")
 
 
-def verified(members: DataFrame, docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b), a spanning forest of each block pair's, among members (id, family, n); texts come from docs by id."""
-    m = members.withColumn("cls", F.floor(F.log2(F.col("n").cast("double")) * 3).cast("int"))  # classes of verification: near a quarter wide
-    per = m.groupBy("family", "cls").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
-    per = per.withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
-    per = stored(per)
-    fam = stored(per.groupBy("family").agg(F.sum("total").alias("all"), F.collect_list(F.struct("cls", "blocks", "least", "most")).alias("parts")))  # a few dozen classes at most
-    # written before the keys are made, so that each row's block is worked out once
-    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks").cast("long")).cast("int")
-    at = stored(m.join(per, ["family", "cls"]).select("id", "family", "cls", own.alias("own"), F.col("least").alias("lo"), F.col("most").alias("hi")).join(fam, "family").repartition("id"))
-    near = lambda p: (100 * F.least(p["most"], F.col("hi")) >= percent * F.greatest(p["least"], F.col("lo")))
-    key = lambda c1, i, c2, j: F.struct(c1.alias("c1"), i.alias("i"), c2.alias("c2"), j.alias("j"))
-
-    def keys(p):
-        """The block pairs of one class that this row's block takes part in, smaller block first."""
-        first = lambda j: (F.col("cls") < p["cls"]) | ((F.col("cls") == p["cls"]) & (F.col("own") <= j))
-        return F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda j: F.when(first(j), key(F.col("cls"), F.col("own"), p["cls"], j)).otherwise(key(p["cls"], j, F.col("cls"), F.col("own"))))
-
-    whole = F.array(key(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0)))
-    at = at.withColumn("keys", F.when(F.col("all") <= block, whole).otherwise(F.flatten(F.transform(F.filter("parts", near), keys))))
-    at = at.select("id", "family", "cls", "own", "keys")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    at = texts.join(at, "id").withColumn("key", F.explode("keys"))
-    at = at.select("id", "text", "family", "key", F.when(F.col("key.c1") == -1, 0).when((F.col("key.c1") == F.col("cls")) & (F.col("key.i") == F.col("own")), 1).otherwise(2).alias("side"))
-    at = at.withColumn("g", F.xxhash64("family", "key")).repartition("g").sortWithinPartitions("g", "id")
+def with_text(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("x"), text.alias("text"))
+
+
+def possible(pairs: DataFrame, side: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and region counts of side (id, n, counts) allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, side, group = [], [], [], None
+        for b in batches:
+            n, m = (b.column(c).to_numpy() for c in ("n", "m"))
+            ok = may_link(n, m, counts_of(b.column("p")), counts_of(b.column("q")), percent)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    one, two = side.select(F.col("id").alias("a"), "n", F.col("counts").alias("p")), side.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("counts").alias("q"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def across(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components c, in one group g, one of them resident there, that sizes and region counts allow.
 
-        def flush() -> pa.RecordBatch | None:
-            if len(ids) < 2:
-                return None
-            pairs = linked_pairs(held, np.array(side), percent)
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"]) if pairs else None
+    Rows of a group come residents first. Only a group's residents are held, a batch at a time passes them.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
-            t = b.column("text")
-            for k, (g, i, sd) in enumerate(zip(*(b.column(c).to_pylist() for c in ("g", "id", "side")))):
-                if g != group:
-                    if (x := flush()) is not None:
-                        yield x
-                    ids, held, side, group = [], [], [], g
-                ids.append(i), held.append(shingles(t[k].as_py() or "", words)), side.append(sd)
-        if (x := flush()) is not None:
-            yield x
+            if not b.num_rows:
+                continue
+            new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "id", "c", "n", "resident")] + [counts_of(b.column("counts")), np.ones(b.num_rows, bool)]
+            g, ids, c, n, resident, x, fresh = new if held is None else [np.concatenate(v) for v in zip(held, new)]
+            ends = np.flatnonzero(np.append(g[1:] != g[:-1], True))
+            last = ends[np.searchsorted(ends, np.arange(len(g)))]  # where each row's group ends
+            i, d, got = np.flatnonzero(resident), 1, []
+            while len(i := i[i + d <= last[i]]):
+                j = i + d
+                ok = fresh[j] & (c[i] != c[j])
+                p, q = i[ok], j[ok]
+                ok = may_link(n[p], n[q], x[p], x[q], percent)
+                got.append((ids[p[ok]], ids[q[ok]]))
+                d += 1
+            if got:
+                p, q = (np.concatenate(v) for v in zip(*got))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+            keep = resident & (g == g[-1])
+            held = [v[keep] for v in (g, ids, c, n, resident, x)] + [np.zeros(np.count_nonzero(keep), bool)]
+
+    rows = rows.repartition("g").sortWithinPartitions("g", F.desc("resident"))
+    return rows.select("g", "id", "c", "n", "resident", "counts").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, most: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. b's text meets those of its partners, `most` or so in a group."""
+    turns = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("turns"))
+    group = lambda turn: F.xxhash64(F.lit("group"), F.col("b"), turn)
+    guests = pairs.join(turns, "b").select(F.col("a").alias("id"), group(F.pmod(F.xxhash64(F.lit("turn"), "a"), F.col("turns").cast("long")).cast("int")).alias("g"), F.col("b"), F.lit(False).alias("first"))
+    hosts = turns.select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "b").select("id", group(F.col("turn")).alias("g"), "b", F.lit(True).alias("first"))
+    rows = guests.union(hosts).join(texts.hint("merge"), "id").repartition("g").sortWithinPartitions("g", "b", F.desc("first"))
 
-    return at.select("g", "id", "side", "text").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host = None
+        for b in batches:
+            t, got = b.column("text"), []
+            for k, (i, h, first) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "b", "first")))):
+                s = shingles(t[k].as_py() or "", words)
+                if first:
+                    host = s
+                    continue
+                common = len(np.intersect1d(s, host, assume_unique=True))
+                if 100 * common >= percent * (len(s) + len(host) - common):
+                    got.append((i, h))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*got)], ["a", "b"])
+
+    return rows.select("id", "b", "first", "text").mapInArrow(run, "a long, b long")
+
+
+def links(t: DataFrame, named: DataFrame, docs: DataFrame, words: int, percent: int, block: int, most: int) -> DataFrame:
+    """Links (a, b) between different sets, enough to join whatever links join; ids are those of the sets' least documents."""
+    w = Window.partitionBy("s")
+    seats = t.select("id", F.explode("sig").alias("s")).repartition("s").select("s", "id", F.min("id").over(w).alias("lead"), F.max("id").over(w).alias("hi"))
+    rep = named.select("id", "rep")
+    seats = seats.where("lead < hi").select("s", "id", "lead").join(rep, "id").select("s", "lead", F.col("rep").alias("a"))
+    seats = stored(seats.join(rep.withColumnRenamed("id", "lead"), "lead").select("s", "a", F.col("rep").alias("b")).distinct())
+    side = named.where("id = rep").join(seats.select(F.col("a").alias("id")).distinct(), "id").join(t.select("id", "x", "counts"), ["id", "x"])
+    side = stored(side.select("id", "x", "n", "counts").dropDuplicates(["id"]))
+    # the table of texts outgrows any broadcast, and so does the list of ids: both are sorted, whatever the input's size
+    texts = stored(with_text(docs).join(side.select("id", "x").hint("merge"), ["id", "x"]).select("id", "text").dropDuplicates(["id"]))
+    tried = stored(possible(seats.where("a <> b").select("a", "b").distinct(), side, percent))
+    found = stored(verified(tried, texts, words, percent, most))
+    joined = components(found)
+
+    at = stored(seats.select("s", F.col("a").alias("id")).distinct().join(joined, "id", "left").select("s", "id", F.coalesce("component", "id").alias("c")))
+    per = at.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
+    open_ = per.where("k > 1").select("s", F.col("top.c").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks"))
+    rows = at.join(open_, "s").join(side.select("id", "n", "counts"), "id")
+    own = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks").cast("long")).cast("int")).otherwise(F.lit(-1))
+    rows = rows.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <= j")  # each two blocks meet once
+    rows = rows.select(F.xxhash64("s", "j").alias("g"), "id", "c", "n", "counts", (F.col("own") == F.col("j")).alias("resident"))
+    rest = across(rows, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    more = stored(verified(rest, texts, words, percent, most))
+    out = stored(found.union(more))
+    discard(seats, side, texts, tried, found, joined, at, more)
+    return out
 
 
-def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 300_000) -> DataFrame:
+def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024, most: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
-    words: a shingle's length; percent: the least 100 * intersection / union; block: shingles in one verification block.
+    words: a shingle's length; percent: the least 100 * intersection / union; block: rows that a signature's other rows
+    pass in one group; most: partners of one document that are verified in one group, on average.
     """
     t = stored(sets(docs, words, percent))
-    slim = stored(t.select("doc_id", "n", "d1", "d2"))
-    full = t.where("n > 0 and doc_id is not null")
-    # one row of each set, with its signatures: they are shuffled here once, and not again for each use
-    first = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
-    discard(t)
-    rep = first.select("d1", "d2", "n", "rep")
-    copies = slim.where("n > 0 and doc_id is not null").join(rep, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    sig = first.select(F.col("rep").alias("id"), F.explode("sig").alias("s"))
-    shared = sig.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
-    seats = stored(sig.join(shared, "s"))
-    least = seats.groupBy("s").agg(F.min("id").alias("least"))
-    stars = seats.join(least, "s").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    family = components(stars)
-    discard(seats)
-    members = family.select("id", F.col("component").alias("family")).join(slim.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id")
-    members = stored(members)
-    links = stored(verified(members, docs, words, percent, block))
-    found = components(copies.union(links))
-    discard(first, family, members, links)
-    out = slim.join(found, slim["doc_id"] == found["id"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    one = t.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("x", "n", "d1", "d2")).alias("v")).select("id", "v.*")
+    rep = one.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
+    named = stored(one.join(rep, ["d1", "d2", "n"]).select("id", "x", "n", "rep"))
+    slim = stored(t.select("id", "n"))
+    linked = links(t, named, docs, words, percent, block, most)
+    found = components(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).union(linked))
+    discard(t, named, linked)
+    out = slim.join(found, "id", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -67,16 +67,49 @@ def brute(docs, words, percent):
     return [(len(s[i]), find(i)) for i in range(len(s))]
 
 
-@pytest.mark.parametrize("words,percent,block", [(3, 90, 300_000), (5, 80, 300_000), (3, 80, 600)])
-def test_components_equal_brute_force(spark, words, percent, block):
+@pytest.mark.parametrize("words,percent,block,most", [(3, 90, 1024, 256), (5, 80, 1024, 256), (3, 80, 2, 2), (2, 50, 3, 1)])
+def test_components_equal_brute_force(spark, words, percent, block, most):
     docs = [*corpus(words + block), None, "", " \n"]
     rows = [(i, t, 7) for i, t in enumerate(docs)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join(df, words, percent, block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join(df, words, percent, block, most).collect()}
     want = dict(enumerate(brute(docs, words, percent)))
     assert got == want
 
 
+def test_shared_passage_and_chain(spark):
+    """Documents that share a passage stay apart; a chain of edits is one component, though its ends are not similar."""
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    docs = [" ".join([word() for _ in range(60)] + passage + [word() for _ in range(60)]) for _ in range(120)]
+    link = [word() for _ in range(150)]
+    for _ in range(40):
+        link = [*link]
+        at = r.randrange(145)
+        link[at : at + 5] = [word() for _ in range(5)]
+        docs.append(" ".join(link))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(6)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in nj.join(df, 3, 90, 4, 3).collect()}
+    assert got == dict(enumerate(brute(docs, 3, 90)))
+
+
+def test_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(90))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (None, a), (None, None), (4, "")]
+    got = nj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sorted(r.n_shingles for r in got) == [0, 0, 38, 38, 38, 88, 88, 88]
+    assert all(r.component_id is None for r in got if r.doc_id is None)
+    assert sorted({r.doc_id for r in got if r.component_id == 1} - {1}) in ([2], [3])  # the text of least hash stands for document 1
+
+
+def test_few_empty_cells_are_left_out():
+    r = np.random.default_rng(1)
+    s = np.unique(nj.mix(r.integers(0, 1 << 62, 400).astype(np.uint64)))
+    k = nj.size_class(len(s))[2] * 20 // 80
+    assert len(nj.signatures(s, 80)) < 2 * (k + 1 + nj.spare(k))
+
+
 def test_representatives_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z"), (4, "", "z")], "doc_id long, text string, sig string")
     assert sorted(r.doc_id for r in nj.representatives(df).collect()) == [1, 3, 4]
