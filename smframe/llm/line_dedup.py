@@ -1,34 +1,104 @@
-"""Fuzzy line dedup by MinHash, with DataFrame functions only.
+"""Fuzzy line dedup by MinHash.
 
-A line's shingles are all its overlapping runs of five characters, or the whole of a shorter line. Its signature is the least five hashes of
-the shingles; every triple of the five is a band, which a pair of lines at similarity 0.8 shares with a probability
-of 0.94 at least, at 0.9 of 0.99. Lines in one band are verified by exact Jaccard of their shingles: each against its band's least line, and,
-where a band is left with several components, all pairs across these, in blocks of bounded expected size. Union-find over the
-links is distributed. One line of each component stays: its first by doc_id and position.
+A line's shingles are all its overlapping runs of five characters, or the whole of a shorter line. Its signature is
+the least value of each of 32 hash functions; four of them make a band, of which a pair of lines at similarity 0.8
+shares one at least with a probability of 0.985, at 0.9 of 0.9999. Lines that share a band are verified by exact Jaccard of their
+shingles, as module links says. Union-find over the links is distributed. One line of each component stays: its
+first by doc_id and position.
 
-Lines are what newlines part; blank lines always stay. Null and empty texts pass unchanged. Rows that are equal in
-doc_id and text are one document. A null doc_id comes first. An empty table gives no rows. Extra columns are carried.
+Signatures and verification run in Arrow batches: hashing each of a line's shingles by expressions costs several
+times the CPU (README). All else is DataFrame functions.
+
+Lines are what newlines part; blank lines always stay. Equal lines are one, by a 64-bit hash. Null and empty texts
+pass unchanged. Rows that are equal in doc_id and text are one document. A null doc_id comes first. An empty table
+gives no rows. Extra columns are carried.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from smframe.functions.arrays import let
 from smframe.llm.common import components, discard, stored
+from smframe.llm.links import REGIONS, links
 
 LONG = 5
-LEAST = 5
-
-
-def shingles(line: Column) -> Column:
-    """The sorted distinct 32-bit hashes of a line's shingles. In UTF-32 a character has four bytes, so each shingle is cut out without a scan."""
-    last = lambda b: F.greatest(F.octet_length(b) - F.lit(4 * LONG - 4), F.lit(1))
-    cut = lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(4)), lambda i: F.hash(F.substring(b, i, F.lit(4 * LONG))))
-    return F.sort_array(F.array_distinct(let(F.encode(line, "UTF-32"), cut)))
+BANDS, ROWS = 8, 4
+U = np.uint64
+_odd = np.random.default_rng(20).integers(0, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
+PLACE, FACTOR, JOIN = _odd[:LONG], (_odd[8 : 8 + BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1), _odd[48:52]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
+
+
+def shingles(line: str) -> set[str]:
+    """A line's set."""
+    return {line[i : i + LONG] for i in range(max(1, len(line) - LONG + 1))}
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, counts): the hashes of the shingles of lines that aren't empty; line k's are the counts[k] from starts[k] on."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    start = np.cumsum(n) - n
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass") + bytes(4 * LONG), np.uint32).astype(np.uint64)
+    size = len(c) - LONG + 1
+    h = c[:size] * PLACE[0]
+    for j in range(1, LONG):
+        h += c[j : j + size] * PLACE[j]
+    short = np.flatnonzero(n < LONG)
+    if len(short):
+        at, value = start[short], n[short].astype(np.uint64) << U(56)
+        for j in range(LONG - 1):
+            value += np.where(n[short] > j, c[at + j], U(0)) * PLACE[j]
+        h[at] = value
+    return mixed(h), start, np.maximum(1, n - LONG + 1)
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS): a hash of each band of the signature."""
+    h, start, count = shingle_hashes(lines)
+    h = (h >> U(32)).astype(np.uint32)
+    edges = np.stack([start, start + count], 1).ravel()
+    out, each = np.empty((len(lines), BANDS), np.uint64), np.empty_like(h)
+    for b in range(BANDS):
+        key = np.full(len(lines), U(b + 1))
+        for r in range(ROWS):
+            np.multiply(h, FACTOR[b * ROWS + r], out=each)
+            key = mixed(key + np.minimum.reduceat(each, edges)[::2].astype(np.uint64) * JOIN[r])
+        out[:, b] = key
+    return out.view(np.int64)
+
+
+def regions_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, region counts) of the lines' sets."""
+    h, start, count = shingle_hashes(lines)
+    line = np.repeat(np.arange(len(lines)), count)
+    h = h[np.arange(len(line)) + np.repeat(start - (np.cumsum(count) - count), count)]
+    _, at = np.unique(mixed(h + line.astype(np.uint64) * JOIN[0]), return_index=True)
+    line, region = line[at], (h[at] >> U(58)).astype(np.int64)
+    counts = np.bincount(line * REGIONS + region, minlength=len(lines) * REGIONS).reshape(-1, REGIONS)
+    return np.bincount(line, minlength=len(lines)), np.minimum(counts, 255).astype(np.uint8)
+
+
+def parts(lines: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Runs of lines of about `most` characters, so that arrays stay in the processor's cache."""
+    first = size = 0
+    for k, x in enumerate(lines):
+        size += len(x)
+        if size >= most:
+            yield first, k + 1
+            first, size = k + 1, 0
+    if first < len(lines):
+        yield first, len(lines)
 
 
 def row_key(df: DataFrame) -> Column:
@@ -41,61 +111,59 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"\S")).withColumn("cid", F.xxhash64("line"))
 
 
-def band_of(a: Column, b: Column, c: Column) -> Column:
-    return F.xxhash64(F.lit("band"), a, b, c)
+def banded(docs: DataFrame) -> DataFrame:
+    """doc_id, rk, pos, cid of every line, and its bands b0, b1, ..."""
+    names = [f"b{k}" for k in range(BANDS)]
+    src = lines(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("line").to_pylist()
+            for i, j in parts(texts):
+                x = bands(texts[i:j])
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "rk", "pos", "cid")), *(pa.array(x[:, k]) for k in range(BANDS))], ["doc_id", "rk", "pos", "cid", *names])
+
+    kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in ("doc_id", "rk", "pos", "cid"))
+    return src.mapInArrow(run, f"{kinds}, {', '.join(f'{c} long' for c in names)}")
 
 
-def bands(sig: Column) -> Column:
-    """A hash of each triple of the signature, or of all its elements where it has fewer (then only equal sets are similar enough)."""
-    at = lambda i: F.get(sig, F.lit(i))
-    triples = F.array(*(F.when(at(k).isNotNull(), band_of(at(i), at(j), at(k))) for i, j, k in combinations(range(LEAST), 3)))
-    return F.when(F.size(sig) < 3, F.array(F.xxhash64(F.lit("few"), at(0), at(1)))).otherwise(F.filter(triples, lambda x: x.isNotNull()))
+def measured(texts: DataFrame) -> DataFrame:
+    """id, n, counts and text of every row of (id, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = b.column("text").to_pylist()
+            for i, j in parts(t):
+                n, counts = regions_of(t[i:j])
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array([x.tobytes() for x in counts], pa.binary()), part.column("text")], ["id", "n", "counts", "text"])
 
-def fits(a: Column, b: Column, percent: int) -> Column:
-    """Whether the sizes of two sets allow the similarity."""
-    return 100 * F.least(F.size(a), F.size(b)) >= percent * F.greatest(F.size(a), F.size(b))
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, counts binary, text string")
 
 
-def similar(a: Column, b: Column, percent: int) -> Column:
-    """Whether 100 * intersection reaches percent * union of two sets of distinct elements: (100 + percent) * intersection reaches percent * both sizes."""
-    return fits(a, b, percent) & ((100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b)))
+def overlap(a: set[str], b: set[str]) -> int:
+    return len(a & b)
 
 
-def line_components(docs: DataFrame, percent: int = 80, block: int = 32) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, percent: int = 80, block: int = 1024, most: int = 256) -> tuple[DataFrame, DataFrame]:
     """(occurrences, components): doc_id, rk, pos, cid of every line, and (id, component) of classes that have links."""
-    occ = stored(lines(docs).select("doc_id", "rk", "pos", "cid", F.slice(shingles(F.col("line")), 1, LEAST).alias("sig")))
+    occ = stored(banded(docs))
     # each distinct line once, under a short number; written, so the numbers stay
-    kinds = stored(occ.groupBy("cid").agg(F.first("sig").alias("sig")).select(F.monotonically_increasing_id().alias("m"), "cid", "sig"))
-    banded = kinds.select("m", F.explode(bands(F.col("sig"))).alias("band"))
-    shared = stored(banded.groupBy("band").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "lo", "n"))
-    seats = stored(banded.join(shared, "band"))
-    # the shingles of each distinct line that shares a band, once
-    alive = stored(kinds.select("m", "cid").join(seats.select("m").distinct(), "m"))
-    texts = lines(docs).select("cid", "line").join(alive, "cid").groupBy("m").agg(F.min("line").alias("line"))
-    sets = stored(texts.select("m", shingles(F.col("line")).alias("sh")))
-    pairs = seats.where("m <> lo").select(F.col("m").alias("a"), F.col("lo").alias("b")).distinct()
-    one, two = sets.select(F.col("m").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("m").alias("b"), F.col("sh").alias("sb"))
-    stars = stored(pairs.join(one, "a").join(two, "b").where(similar(F.col("sa"), F.col("sb"), percent)).select("a", "b"))
-    found = components(stars)
-
-    named = seats.join(found, seats["m"] == found["id"], "left").select("band", "m", F.coalesce("component", "m").alias("c"))
-    # a pair across components has one end outside the band's largest: only those are dealt into the blocks that all meet
-    per = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    open_ = stored(per.where("k > 1 and n > 2").select("band", F.col("top.c").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("blocks")))
-    rest = stored(named.join(open_, "band").join(sets, "m"))
-    dealt = rest.where("c <> main").withColumn("x", F.pmod(F.xxhash64(F.lit("block"), "m"), F.col("blocks").cast("long")))
-    held = stored(dealt.groupBy("band", "x").agg(F.collect_list(F.struct("m", "c", "sh")).alias("others")))  # about `block` of them
-    # a pair shares up to ten bands; it is verified in the one of its three least common hashes
-    common = lambda o: F.array_intersect(F.slice(o["sh"], 1, LEAST), F.slice("sh", 1, LEAST))
-    here = lambda o: band_of(*(F.get(common(o), F.lit(i)) for i in range(3))) == F.col("band")
-    hit = F.filter("others", lambda o: ((F.col("c") == F.col("main")) | (o["m"] < F.col("m"))) & (o["c"] != F.col("c")) & fits(o["sh"], F.col("sh"), percent) & here(o) & similar(o["sh"], F.col("sh"), percent))
-    more = rest.join(held, "band").select(F.col("m").alias("a"), F.explode(F.transform(hit, lambda o: o["m"])).alias("b"))
-    linked = components(stars.union(more))
+    kinds = occ.groupBy("cid").agg(*(F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
+    kinds = stored(kinds.select(F.monotonically_increasing_id().alias("m"), "cid", F.array(*(f"b{k}" for k in range(BANDS))).alias("bands")))
+    w = Window.partitionBy("s")
+    seats = kinds.select(F.col("m").alias("a"), F.explode("bands").alias("s")).repartition("s").select("s", "a", F.min("a").over(w).alias("b"), F.max("a").over(w).alias("hi"))
+    seats = stored(seats.where("b < hi").select("s", "a", "b"))
+    alive = kinds.select(F.col("m").alias("id"), "cid").join(seats.select(F.col("a").alias("id")).distinct(), "id")
+    # the table of lines outgrows any broadcast, and so does the list of those that share a band: both are sorted, whatever the input's size
+    texts = lines(docs).select("cid", F.col("line").alias("text")).join(alive.hint("merge"), "cid").select("id", "text").dropDuplicates(["id"])
+    texts = stored(measured(texts))
+    linked = links(seats, texts.select("id", "n", "counts"), texts.select("id", "text"), shingles, overlap, percent, block, most)
+    found = components(linked)
     named = kinds.select(F.col("m").alias("component"), F.col("cid").alias("c"))
-    out = stored(linked.join(kinds.select(F.col("m").alias("id"), "cid"), "id").join(named, "component").select(F.col("cid").alias("id"), F.col("c").alias("component")))
-    discard(kinds, shared, seats, alive, sets, stars, found, open_, rest, held, linked)
+    out = stored(found.join(kinds.select(F.col("m").alias("id"), "cid"), "id").join(named, "component").select(F.col("cid").alias("id"), F.col("c").alias("component")))
+    discard(kinds, seats, texts, linked, found)
     return occ, out
 
 
@@ -104,7 +172,7 @@ def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     occ, found = line_components(docs, percent)
     at = occ.select("doc_id", "rk", "pos", "cid")
     at = at.join(found, at["cid"] == found["id"], "left").select("doc_id", "rk", "pos", F.coalesce("component", "cid").alias("c"))
-    at = at_ = stored(at.distinct())
+    at = at_ = stored(at)
     first = stored(at.groupBy("c").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "f"))
     gone = at.join(first, "c").where(~F.struct("doc_id", "rk", "pos").eqNullSafe(F.col("f")))
     gone = stored(gone.groupBy("rk", "doc_id").agg(F.collect_set("pos").alias("_gone")).select(F.col("rk").alias("_rk"), F.col("doc_id").alias("_doc"), "_gone"))

@@ -7,11 +7,7 @@ with the class, is a signature (PartEnum with one partition out of each group ch
 cells needs no signature of an empty cell, as one of the agreeing cells then holds something; other sets emit those
 too. A set emits signatures for its own class and for those that a smaller partner may be in.
 
-Equal sets are one, by their digest. Rows of a signature are linked to its least id; those pairs that sizes and
-region counts (a lower bound of the differences) allow are verified exactly on whole sets, and joined into
-components. Signatures that then still hold several components are met once more: the rows outside the largest
-component are dealt into blocks of bounded size, all rows of the signature pass each block, and the pairs across
-components that the same bound allows are verified. No signature, family or component is gathered in one task.
+Equal sets are one, by their digest. Pairs that share a signature are verified exactly on whole sets, as module links says.
 
 Null and empty texts have an empty set and are linked with nothing. Fewer words than a shingle's give the whole
 sequence as one. Rows of one doc_id are one document; where their texts differ, the text of least hash stands for
@@ -31,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from smframe.llm.common import components, discard, stored
+from smframe.llm.links import links, regions
 
 U = np.uint64
 FULL = (1 << 64) - 1
-REGIONS = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,20 +94,6 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def regions(s: np.ndarray) -> bytes:
-    """How many elements each of the 64 equal parts of the domain has, 255 at most: the sum of differences bounds those of two sets from below."""
-    return np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=REGIONS), 255).astype(np.uint8).tobytes()
-
-
-def counts_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGIONS).astype(np.int16)
-
-
-def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and region counts of pairs of sets leave room for the similarity."""
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.abs(x - y).sum(1, dtype=np.int64) * (100 + percent) <= (n + m) * (100 - percent))
-
-
 def digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a sorted set, as two signed numbers."""
     if not len(s):
@@ -126,14 +108,16 @@ def sets(docs: DataFrame, words: int, percent: int, remembered: int = 200_000) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            t, n, d, counts, sig = b.column("text"), [], [], [], []
+            t, ids, n, d, counts, sig = b.column("text"), b.column("id"), [], [], [], []
             for i in range(b.num_rows):
                 s = shingles(t[i].as_py() or "", words)
                 n.append(len(s)), d.append(digest(s)), counts.append(regions(s))
-                sig.append(np.zeros(0, np.int64) if d[-1] in seen else signatures(s, percent))
-                if len(seen) >= remembered:
-                    seen.clear()
-                seen.add(d[-1])
+                new = d[-1] not in seen and ids[i].is_valid
+                sig.append(signatures(s, percent) if new else np.zeros(0, np.int64))
+                if new:
+                    if len(seen) >= remembered:
+                        seen.clear()
+                    seen.add(d[-1])
             if n:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sig)]), pa.int32()), pa.array(np.concatenate(sig)))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(n, pa.int64()), *(pa.array(v, pa.int64()) for v in zip(*d)), pa.array(counts, pa.binary()), lists], ["id", "x", "n", "d1", "d2", "counts", "sig"])
@@ -146,105 +130,8 @@ def with_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("x"), text.alias("text"))
 
 
-def possible(pairs: DataFrame, side: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and region counts of side (id, n, counts) allow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, m = (b.column(c).to_numpy() for c in ("n", "m"))
-            ok = may_link(n, m, counts_of(b.column("p")), counts_of(b.column("q")), percent)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    one, two = side.select(F.col("id").alias("a"), "n", F.col("counts").alias("p")), side.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("counts").alias("q"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
-
-
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of different components c, in one group g, one of them resident there, that sizes and region counts allow.
-
-    Rows of a group come residents first. Only a group's residents are held, a batch at a time passes them.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "id", "c", "n", "resident")] + [counts_of(b.column("counts")), np.ones(b.num_rows, bool)]
-            g, ids, c, n, resident, x, fresh = new if held is None else [np.concatenate(v) for v in zip(held, new)]
-            ends = np.flatnonzero(np.append(g[1:] != g[:-1], True))
-            last = ends[np.searchsorted(ends, np.arange(len(g)))]  # where each row's group ends
-            i, d, got = np.flatnonzero(resident), 1, []
-            while len(i := i[i + d <= last[i]]):
-                j = i + d
-                ok = fresh[j] & (c[i] != c[j])
-                p, q = i[ok], j[ok]
-                ok = may_link(n[p], n[q], x[p], x[q], percent)
-                got.append((ids[p[ok]], ids[q[ok]]))
-                d += 1
-            if got:
-                p, q = (np.concatenate(v) for v in zip(*got))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
-            keep = resident & (g == g[-1])
-            held = [v[keep] for v in (g, ids, c, n, resident, x)] + [np.zeros(np.count_nonzero(keep), bool)]
-
-    rows = rows.repartition("g").sortWithinPartitions("g", F.desc("resident"))
-    return rows.select("g", "id", "c", "n", "resident", "counts").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, most: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. b's text meets those of its partners, `most` or so in a group."""
-    turns = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("turns"))
-    group = lambda turn: F.xxhash64(F.lit("group"), F.col("b"), turn)
-    guests = pairs.join(turns, "b").select(F.col("a").alias("id"), group(F.pmod(F.xxhash64(F.lit("turn"), "a"), F.col("turns").cast("long")).cast("int")).alias("g"), F.col("b"), F.lit(False).alias("first"))
-    hosts = turns.select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "b").select("id", group(F.col("turn")).alias("g"), "b", F.lit(True).alias("first"))
-    rows = guests.union(hosts).join(texts.hint("merge"), "id").repartition("g").sortWithinPartitions("g", "b", F.desc("first"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host = None
-        for b in batches:
-            t, got = b.column("text"), []
-            for k, (i, h, first) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "b", "first")))):
-                s = shingles(t[k].as_py() or "", words)
-                if first:
-                    host = s
-                    continue
-                common = len(np.intersect1d(s, host, assume_unique=True))
-                if 100 * common >= percent * (len(s) + len(host) - common):
-                    got.append((i, h))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*got)], ["a", "b"])
-
-    return rows.select("id", "b", "first", "text").mapInArrow(run, "a long, b long")
-
-
-def links(t: DataFrame, named: DataFrame, docs: DataFrame, words: int, percent: int, block: int, most: int) -> DataFrame:
-    """Links (a, b) between different sets, enough to join whatever links join; ids are those of the sets' least documents."""
-    w = Window.partitionBy("s")
-    seats = t.select("id", F.explode("sig").alias("s")).repartition("s").select("s", "id", F.min("id").over(w).alias("lead"), F.max("id").over(w).alias("hi"))
-    rep = named.select("id", "rep")
-    seats = seats.where("lead < hi").select("s", "id", "lead").join(rep, "id").select("s", "lead", F.col("rep").alias("a"))
-    seats = stored(seats.join(rep.withColumnRenamed("id", "lead"), "lead").select("s", "a", F.col("rep").alias("b")).distinct())
-    side = named.where("id = rep").join(seats.select(F.col("a").alias("id")).distinct(), "id").join(t.select("id", "x", "counts"), ["id", "x"])
-    side = stored(side.select("id", "x", "n", "counts").dropDuplicates(["id"]))
-    # the table of texts outgrows any broadcast, and so does the list of ids: both are sorted, whatever the input's size
-    texts = stored(with_text(docs).join(side.select("id", "x").hint("merge"), ["id", "x"]).select("id", "text").dropDuplicates(["id"]))
-    tried = stored(possible(seats.where("a <> b").select("a", "b").distinct(), side, percent))
-    found = stored(verified(tried, texts, words, percent, most))
-    joined = components(found)
-
-    at = stored(seats.select("s", F.col("a").alias("id")).distinct().join(joined, "id", "left").select("s", "id", F.coalesce("component", "id").alias("c")))
-    per = at.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
-    open_ = per.where("k > 1").select("s", F.col("top.c").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks"))
-    rows = at.join(open_, "s").join(side.select("id", "n", "counts"), "id")
-    own = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks").cast("long")).cast("int")).otherwise(F.lit(-1))
-    rows = rows.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <= j")  # each two blocks meet once
-    rows = rows.select(F.xxhash64("s", "j").alias("g"), "id", "c", "n", "counts", (F.col("own") == F.col("j")).alias("resident"))
-    rest = across(rows, percent).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(verified(rest, texts, words, percent, most))
-    out = stored(found.union(more))
-    discard(seats, side, texts, tried, found, joined, at, more)
-    return out
+def overlap(s: np.ndarray, t: np.ndarray) -> int:
+    return len(np.intersect1d(s, t, assume_unique=True))
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024, most: int = 256) -> DataFrame:
@@ -256,11 +143,22 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024,
     t = stored(sets(docs, words, percent))
     one = t.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("x", "n", "d1", "d2")).alias("v")).select("id", "v.*")
     rep = one.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
+    rep = stored(rep)  # so that a set with very many copies can be split in the join
     named = stored(one.join(rep, ["d1", "d2", "n"]).select("id", "x", "n", "rep"))
     slim = stored(t.select("id", "n"))
-    linked = links(t, named, docs, words, percent, block, most)
+    # a task gives a set's signatures under any one id that has it, so an id stands for the sets of all its rows
+    to = stored(t.where("n > 0 and id is not null").select("id", "n", "d1", "d2").join(rep, ["d1", "d2", "n"]).select("id", "rep").distinct())
+    w = Window.partitionBy("s")
+    seats = t.select("id", F.explode("sig").alias("s")).repartition("s").select("s", "id", F.min("id").over(w).alias("lead"), F.max("id").over(w).alias("hi"))
+    seats = seats.where("lead < hi").select("s", "id", "lead").join(to, "id").select("s", "lead", F.col("rep").alias("a"))
+    seats = stored(seats.join(to.withColumnRenamed("id", "lead"), "lead").select("s", "a", F.col("rep").alias("b")).distinct())
+    side = named.where("id = rep").join(seats.select(F.col("a").alias("id")).distinct(), "id").join(t.select("id", "x", "counts"), ["id", "x"])
+    side = stored(side.select("id", "x", "n", "counts").dropDuplicates(["id"]))
+    # the table of texts outgrows any broadcast, and so does the list of ids: both are sorted, whatever the input's size
+    texts = stored(with_text(docs).join(side.select("id", "x").hint("merge"), ["id", "x"]).select("id", "text").dropDuplicates(["id"]))
+    linked = links(seats, side.drop("x"), texts, lambda text: shingles(text, words), overlap, percent, block, most)
     found = components(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).union(linked))
-    discard(t, named, linked)
+    discard(t, rep, named, to, seats, side, texts, linked)
     out = slim.join(found, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -1,21 +1,17 @@
 """Line dedup against brute force over all pairs of lines."""
 
 import random
-import re
 
-from pyspark.sql import functions as F
+import numpy as np
 
 from smframe.llm import line_dedup as ld
 
-ANCHORED = re.compile(r"(?s)(?=((?<!\S)\S.{0,7}|(?<=\S{8})\S.{0,7}))", re.A)
-
-
 def grams(line):
-    return {m[1] for m in ANCHORED.finditer(line)}
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
 
 
 def brute(docs, percent=80):
-    at = [(i, p, x) for i, t in docs for p, x in enumerate((t or "").split("\n")) if x.strip()]
+    at = [(i, p, x) for i, t in sorted(docs) for p, x in enumerate((t or "").split("\n")) if x.strip()]
     s = [grams(x) for _, _, x in at]
     root = list(range(len(at)))
 
@@ -26,8 +22,10 @@ def brute(docs, percent=80):
 
     for i in range(len(at)):
         for j in range(i):
+            if 100 * min(len(s[i]), len(s[j])) < percent * max(len(s[i]), len(s[j])):
+                continue
             x = len(s[i] & s[j])
-            if 100 * x >= percent * len(s[i] | s[j]):
+            if 100 * x >= percent * (len(s[i]) + len(s[j]) - x):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     gone = {(at[i][0], at[i][1]) for i in range(len(at)) if find(i) != i}
@@ -82,10 +80,6 @@ def test_null_ids_repeats_and_empty_tables(spark):
     assert ld.dedup(df.limit(0)).count() == 0
 
 
-def overlapping(line):
-    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
-
-
 def test_near_copies_by_overlapping_shingles_are_linked(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randrange(2, 9)))
@@ -94,23 +88,45 @@ def test_near_copies_by_overlapping_shingles_are_linked(spark):
         line = " ".join(word() for _ in range(r.choice([10, 12, 15])))
         at = r.randrange(len(line))
         rows.append((i, line, line[:at] + "#" + line[at + 1 :]))
-    near = {i for i, x, y in rows if 100 * len(overlapping(x) & overlapping(y)) >= 80 * len(overlapping(x) | overlapping(y))}
+    near = {i for i, x, y in rows if 100 * len(grams(x) & grams(y)) >= 80 * len(grams(x) | grams(y))}
     got = {x.doc_id: x.n_removed for x in ld.dedup(spark.createDataFrame([(i, f"{x}\n{y}") for i, x, y in rows], "doc_id long, text string")).collect()}
     assert len(near) > 300 and sum(got[i] for i in near) >= 0.94 * len(near)
     assert all(got[i] == 0 for i in range(400) if i not in near)
 
 
-def test_shingles_are_all_runs_of_five_characters(spark):
-    texts = ["abc", "abcde", "ab cd ef", "xé日🙂 yz wé日🙂 y", "z" * 3000]
-    got = spark.createDataFrame([(t,) for t in texts], "line string").select("line", ld.shingles(F.col("line")).alias("s")).collect()
-    assert [len(x.s) for x in got] == [len(overlapping(x.line)) for x in got]
-
-
-def test_equals_brute_force_over_overlapping_shingles(spark, monkeypatch):
-    monkeypatch.setitem(globals(), "grams", overlapping)
-    docs = corpus(1)
-    got = {r.doc_id: r.text for r in ld.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+def test_shingles_are_all_runs_of_five_characters():
+    lines = ["abc", "abcde", "ab cd ef", "xé日🙂 yz wé日🙂 y", "z" * 3000, "a", "abca"]
+    assert [ld.shingles(x) for x in lines] == [grams(x) for x in lines]
+    n, counts = ld.regions_of(lines)
+    assert n.tolist() == [len(grams(x)) for x in lines] == counts.sum(1).tolist()
+    # a line's hashes depend on nothing beside it
+    alone = np.concatenate([ld.bands([x]) for x in lines])
+    assert (ld.bands(lines) == alone).all() and len({*alone[:, 0].tolist()}) == len(lines)
+
+
+def test_bands_find_pairs_at_the_threshold():
+    r = np.random.default_rng(2)
+    found = total = 0
+    while total < 400:
+        line = "".join(map(chr, r.integers(97, 123, int(r.integers(60, 300)))))
+        other = [*line]
+        for at in r.integers(0, len(line), len(line) // 46):
+            other[at] = "#"
+        other = "".join(other)
+        x, y = grams(line), grams(other)
+        if 80 <= 100 * len(x & y) / len(x | y) <= 84:
+            found, total = found + bool((ld.bands([line]) == ld.bands([other])).any()), total + 1
+    assert found >= 0.97 * total, found
+
+
+def test_all_pairs_of_the_smallest_table(spark):
+    """Recall against brute force over all lines of the given documents at sf0.001; extra columns pass."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    got = {r.doc_id: r for r in ld.dedup(df).collect()}
     want = brute(docs)
-    kept = lambda x: {*(x or "").split("\n")}
-    assert got.keys() == want.keys()
-    assert sum(len(kept(got[i]) & kept(want[i])) for i in want) >= 0.97 * sum(len(kept(got[i]) | kept(want[i])) for i in want)
+    kept = lambda x: (x or "").split("\n")
+    n = sum(len(kept(t)) for _, t in docs)
+    gone, due = n - sum(len(kept(r.text)) for r in got.values()), n - sum(len(kept(t)) for t in want.values())
+    assert due > 20 and 0.97 * due <= gone <= due
+    assert all(set(kept(want[i])) <= set(kept(r.text)) for i, r in got.items()) and got[docs[0][0]].source is not None
