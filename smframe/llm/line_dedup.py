@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash.
 
 A line's shingles are all its overlapping runs of five characters, or the whole of a shorter line. Its signature is
-the least value of each of 32 hash functions; four of them make a band, of which a pair of lines at similarity 0.8
-shares one at least with a probability of 0.985, at 0.9 of 0.9999. Lines that share a band are verified by exact Jaccard of their
+the least value of each of 72 hash functions; six of them make a band, of which a pair of lines at similarity 0.8
+shares one at least with a probability of 0.974, at 0.85 of 0.998. Lines that share a band are verified by exact Jaccard of their
 shingles, as module links says. Union-find over the links is distributed. One line of each component stays: its
 first by doc_id and position.
 
@@ -28,13 +28,18 @@ from smframe.llm.common import components, discard, stored
 from smframe.llm.links import REGIONS, links
 
 LONG = 5
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 12, 6
 U = np.uint64
-_odd = np.random.default_rng(20).integers(0, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
-PLACE, FACTOR, JOIN = _odd[:LONG], (_odd[8 : 8 + BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1), _odd[48:52]
+_odd = np.random.default_rng(20).integers(0, 1 << 63, 128, dtype=np.uint64) * U(2) + U(1)
+PLACE, JOIN, FACTOR = _odd[:LONG], _odd[8 : 8 + ROWS], (_odd[16 : 16 + BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit or of 64-bit numbers."""
+    if x.dtype == np.uint32:
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+        return x ^ (x >> np.uint32(16))
     x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
     return x ^ (x >> U(32))
@@ -45,28 +50,27 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + LONG] for i in range(max(1, len(line) - LONG + 1))}
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingle_hashes(lines: list[str], kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, counts): the hashes of the shingles of lines that aren't empty; line k's are the counts[k] from starts[k] on."""
     n = np.fromiter(map(len, lines), np.int64, len(lines))
     start = np.cumsum(n) - n
-    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass") + bytes(4 * LONG), np.uint32).astype(np.uint64)
-    size = len(c) - LONG + 1
-    h = c[:size] * PLACE[0]
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass") + bytes(4 * LONG), np.uint32).astype(kind)
+    place, size = PLACE.astype(kind), len(c) - LONG + 1
+    h = c[:size] * place[0]
     for j in range(1, LONG):
-        h += c[j : j + size] * PLACE[j]
+        h += c[j : j + size] * place[j]
     short = np.flatnonzero(n < LONG)
     if len(short):
-        at, value = start[short], n[short].astype(np.uint64) << U(56)
+        at, value = start[short], n[short].astype(kind) * kind(0x9E3779B1)
         for j in range(LONG - 1):
-            value += np.where(n[short] > j, c[at + j], U(0)) * PLACE[j]
+            value += np.where(n[short] > j, c[at + j], kind(0)) * place[j]
         h[at] = value
     return mixed(h), start, np.maximum(1, n - LONG + 1)
 
 
 def bands(lines: list[str]) -> np.ndarray:
     """(lines, BANDS): a hash of each band of the signature."""
-    h, start, count = shingle_hashes(lines)
-    h = (h >> U(32)).astype(np.uint32)
+    h, start, count = shingle_hashes(lines, np.uint32)
     edges = np.stack([start, start + count], 1).ravel()
     out, each = np.empty((len(lines), BANDS), np.uint64), np.empty_like(h)
     for b in range(BANDS):
@@ -111,72 +115,70 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"\S")).withColumn("cid", F.xxhash64("line"))
 
 
-def banded(docs: DataFrame) -> DataFrame:
-    """doc_id, rk, pos, cid of every line, and its bands b0, b1, ..."""
-    names = [f"b{k}" for k in range(BANDS)]
-    src = lines(docs)
+def banded(docs: DataFrame, remembered: int = 1_000_000) -> DataFrame:
+    """cid and bands of every line; a task gives equal lines once, as far as it remembers them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
+            if len(seen) > remembered:
+                seen.clear()
+            new = {c: k for k, c in enumerate(b.column("cid").to_pylist()) if c not in seen}
+            seen.update(new)
+            b = b.take(pa.array(new.values(), pa.int64()))
             texts = b.column("line").to_pylist()
             for i, j in parts(texts):
                 x = bands(texts[i:j])
-                part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "rk", "pos", "cid")), *(pa.array(x[:, k]) for k in range(BANDS))], ["doc_id", "rk", "pos", "cid", *names])
+                yield pa.RecordBatch.from_arrays([b.column("cid").slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), BANDS).cast(pa.list_(pa.int64()))], ["cid", "bands"])
 
-    kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in ("doc_id", "rk", "pos", "cid"))
-    return src.mapInArrow(run, f"{kinds}, {', '.join(f'{c} long' for c in names)}")
+    return lines(docs).select("cid", "line").mapInArrow(run, "cid long, bands array<long>")
 
 
 def measured(texts: DataFrame) -> DataFrame:
-    """id, n, counts and text of every row of (id, text)."""
+    """id, n and counts of every row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.column("text").to_pylist()
             for i, j in parts(t):
                 n, counts = regions_of(t[i:j])
-                part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array([x.tobytes() for x in counts], pa.binary()), part.column("text")], ["id", "n", "counts", "text"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(n), pa.array([x.tobytes() for x in counts], pa.binary())], ["id", "n", "counts"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, counts binary, text string")
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, counts binary")
 
 
 def overlap(a: set[str], b: set[str]) -> int:
     return len(a & b)
 
 
-def line_components(docs: DataFrame, percent: int = 80, block: int = 1024, most: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, components): doc_id, rk, pos, cid of every line, and (id, component) of classes that have links."""
-    occ = stored(banded(docs))
-    # each distinct line once, under a short number; written, so the numbers stay
-    kinds = occ.groupBy("cid").agg(*(F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
-    kinds = stored(kinds.select(F.monotonically_increasing_id().alias("m"), "cid", F.array(*(f"b{k}" for k in range(BANDS))).alias("bands")))
+def line_components(docs: DataFrame, percent: int = 80, block: int = 1024, most: int = 256) -> DataFrame:
+    """(id, component) of the hashes cid of lines that have links."""
     w = Window.partitionBy("s")
-    seats = kinds.select(F.col("m").alias("a"), F.explode("bands").alias("s")).repartition("s").select("s", "a", F.min("a").over(w).alias("b"), F.max("a").over(w).alias("hi"))
-    seats = stored(seats.where("b < hi").select("s", "a", "b"))
-    alive = kinds.select(F.col("m").alias("id"), "cid").join(seats.select(F.col("a").alias("id")).distinct(), "id")
-    # the table of lines outgrows any broadcast, and so does the list of those that share a band: both are sorted, whatever the input's size
-    texts = lines(docs).select("cid", F.col("line").alias("text")).join(alive.hint("merge"), "cid").select("id", "text").dropDuplicates(["id"])
-    texts = stored(measured(texts))
-    linked = links(seats, texts.select("id", "n", "counts"), texts.select("id", "text"), shingles, overlap, percent, block, most)
+    seats = banded(docs).select(F.col("cid").alias("a"), F.explode("bands").alias("s")).repartition("s")
+    seats = seats.select("s", "a", F.min("a").over(w).alias("b"), F.max("a").over(w).alias("hi")).where("b < hi")
+    seats = stored(seats.select("s", "a", "b").distinct())
+    alive = seats.select(F.col("a").alias("id")).distinct()
+    # a line's copies meet in their own tasks first. The table of lines outgrows any broadcast, and so does the list of
+    # those that share a band: both are sorted, whatever the input's size
+    texts = lines(docs).groupBy(F.col("cid").alias("id")).agg(F.min("line").alias("text"))
+    texts = stored(texts.join(alive.hint("merge"), "id"))
+    pairs = seats.where("a <> b").select("a", "b").distinct()
+    linked = links(seats, pairs, lambda ids: measured(texts.join(ids, "id")), texts, shingles, overlap, percent, block, most)
     found = components(linked)
-    named = kinds.select(F.col("m").alias("component"), F.col("cid").alias("c"))
-    out = stored(found.join(kinds.select(F.col("m").alias("id"), "cid"), "id").join(named, "component").select(F.col("cid").alias("id"), F.col("c").alias("component")))
-    discard(kinds, seats, texts, linked, found)
-    return occ, out
+    discard(seats, texts, linked)
+    return found
 
 
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with each text less the lines removed, and n_lines, n_removed (lines that aren't blank) added."""
-    occ, found = line_components(docs, percent)
-    at = occ.select("doc_id", "rk", "pos", "cid")
+    found = line_components(docs, percent)
+    at = lines(docs).select("doc_id", "rk", "pos", "cid")
     at = at.join(found, at["cid"] == found["id"], "left").select("doc_id", "rk", "pos", F.coalesce("component", "cid").alias("c"))
-    at = at_ = stored(at)
+    at = stored(at)
     first = stored(at.groupBy("c").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "f"))
     gone = at.join(first, "c").where(~F.struct("doc_id", "rk", "pos").eqNullSafe(F.col("f")))
     gone = stored(gone.groupBy("rk", "doc_id").agg(F.collect_set("pos").alias("_gone")).select(F.col("rk").alias("_rk"), F.col("doc_id").alias("_doc"), "_gone"))
-    discard(occ, found, at_, first)
+    discard(found, at, first)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     d = docs.withColumn("_k", row_key(docs))
     d = d.join(gone, (F.col("_k") == F.col("_rk")) & d["doc_id"].eqNullSafe(F.col("_doc")), "left")

@@ -107,24 +107,27 @@ def verified(pairs: DataFrame, texts: DataFrame, set_of: Callable, common: Calla
     return rows.select("id", "b", "first", "text").mapInArrow(run, "a long, b long")
 
 
-def links(seats: DataFrame, side: DataFrame, texts: DataFrame, set_of: Callable, common: Callable, percent: int, block: int, most: int) -> DataFrame:
+def links(seats: DataFrame, pairs: DataFrame, sides: Callable, texts: DataFrame, set_of: Callable, common: Callable, percent: int, block: int, most: int) -> DataFrame:
     """Links (a, b), enough to join whatever links join, between ids that share a signature.
 
-    seats: (s, a, b), stored: signature, id, and the signature's least id. side: (id, n, counts), stored: sizes and region
-    counts. texts: (id, text), stored. set_of: a text's set; common: how many elements two sets share.
+    seats: (s, a, b), stored: signature, id, and the signature's least id. pairs: (a, b), those of seats that are to be
+    verified. sides: gives (id, n, counts), sizes and region counts, of a table of ids. texts: (id, text), stored.
+    set_of: a text's set; common: how many elements two sets share.
     """
-    tried = stored(possible(seats.where("a <> b").select("a", "b").distinct(), side, percent))
+    tried = stored(pairs)
     found = stored(verified(tried, texts, set_of, common, percent, most))
     joined = components(found)
     at = stored(seats.select("s", F.col("a").alias("id")).distinct().join(joined, "id", "left").select("s", "id", F.coalesce("component", "id").alias("c")))
     per = at.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
-    open_ = per.where("k > 1").select("s", F.col("top.c").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks"))
-    rows = at.join(open_, "s").join(side.select("id", "n", "counts"), "id")
+    open_ = stored(per.where("k > 1").select("s", F.col("top.c").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks")))
+    rows = stored(at.join(open_, "s"))
+    side = stored(sides(rows.select("id").distinct()))
+    rows_, rows = rows, rows.join(side, "id")
     own = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks").cast("long")).cast("int")).otherwise(F.lit(-1))
     rows = rows.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <= j")  # each two blocks meet once
     rows = rows.select(F.xxhash64("s", "j").alias("g"), "id", "c", "n", "counts", (F.col("own") == F.col("j")).alias("resident"))
     rest = across(rows, percent).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(verified(rest, texts, set_of, common, percent, most))
     out = stored(found.union(more))
-    discard(tried, found, joined, at, more)
+    discard(tried, found, joined, at, open_, rows_, side, more)
     return out

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from smframe.llm.common import components, discard, stored
-from smframe.llm.links import links, regions
+from smframe.llm.links import links, possible, regions
 
 U = np.uint64
 FULL = (1 << 64) - 1
@@ -156,7 +156,9 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024,
     side = stored(side.select("id", "x", "n", "counts").dropDuplicates(["id"]))
     # the table of texts outgrows any broadcast, and so does the list of ids: both are sorted, whatever the input's size
     texts = stored(with_text(docs).join(side.select("id", "x").hint("merge"), ["id", "x"]).select("id", "text").dropDuplicates(["id"]))
-    linked = links(seats, side.drop("x"), texts, lambda text: shingles(text, words), overlap, percent, block, most)
+    slight = side.drop("x")
+    pairs = possible(seats.where("a <> b").select("a", "b").distinct(), slight, percent)
+    linked = links(seats, pairs, lambda ids: slight.join(ids, "id"), texts, lambda text: shingles(text, words), overlap, percent, block, most)
     found = components(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).union(linked))
     discard(t, rep, named, to, seats, side, texts, linked)
     out = slim.join(found, "id", "left")
