@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from smframe.llm.common import components, discard, stored
-from smframe.llm.links import REGIONS, links
+from smframe.llm.links import links, regions
 
 LONG = 5
 BANDS, ROWS = 12, 6
+REGION_BITS = 8
 U = np.uint64
 _odd = np.random.default_rng(20).integers(0, 1 << 63, 128, dtype=np.uint64) * U(2) + U(1)
 PLACE, JOIN, FACTOR = _odd[:LONG], _odd[8 : 8 + ROWS], (_odd[16 : 16 + BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -45,11 +46,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def shingles(line: str) -> set[str]:
-    """A line's set."""
-    return {line[i : i + LONG] for i in range(max(1, len(line) - LONG + 1))}
-
-
 def shingle_hashes(lines: list[str], kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, counts): the hashes of the shingles of lines that aren't empty; line k's are the counts[k] from starts[k] on."""
     n = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -82,17 +78,6 @@ def bands(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def regions_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, region counts) of the lines' sets."""
-    h, start, count = shingle_hashes(lines)
-    line = np.repeat(np.arange(len(lines)), count)
-    h = h[np.arange(len(line)) + np.repeat(start - (np.cumsum(count) - count), count)]
-    _, at = np.unique(mixed(h + line.astype(np.uint64) * JOIN[0]), return_index=True)
-    line, region = line[at], (h[at] >> U(58)).astype(np.int64)
-    counts = np.bincount(line * REGIONS + region, minlength=len(lines) * REGIONS).reshape(-1, REGIONS)
-    return np.bincount(line, minlength=len(lines)), np.minimum(counts, 255).astype(np.uint8)
-
-
 def parts(lines: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of lines of about `most` characters, so that arrays stay in the processor's cache."""
     first = size = 0
@@ -105,6 +90,14 @@ def parts(lines: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
         yield first, len(lines)
 
 
+def sets_of(lines: list[str]) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    for i, j in parts(lines):
+        h, start, count = shingle_hashes(lines[i:j])
+        for k, m in zip(start.tolist(), count.tolist()):
+            yield np.unique(h[k : k + m])
+
+
 def row_key(df: DataFrame) -> Column:
     return F.xxhash64(df["doc_id"].cast("string"), df["text"])
 
@@ -139,18 +132,12 @@ def measured(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = b.column("text").to_pylist()
-            for i, j in parts(t):
-                n, counts = regions_of(t[i:j])
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(n), pa.array([x.tobytes() for x in counts], pa.binary())], ["id", "n", "counts"])
+            sets = [*sets_of(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([*map(len, sets)], pa.int64()), pa.array([regions(x, REGION_BITS) for x in sets], pa.binary())], ["id", "n", "counts"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, n long, counts binary")
 
 
-def overlap(a: set[str], b: set[str]) -> int:
-    return len(a & b)
-
-
 def line_components(docs: DataFrame, percent: int = 80, block: int = 1024, most: int = 256) -> DataFrame:
     """(id, component) of the hashes cid of lines that have links."""
     w = Window.partitionBy("s")
@@ -163,7 +150,7 @@ def line_components(docs: DataFrame, percent: int = 80, block: int = 1024, most:
     texts = lines(docs).groupBy(F.col("cid").alias("id")).agg(F.min("line").alias("text"))
     texts = stored(texts.join(alive.hint("merge"), "id"))
     pairs = seats.where("a <> b").select("a", "b").distinct()
-    linked = links(seats, pairs, lambda ids: measured(texts.join(ids, "id")), texts, shingles, overlap, percent, block, most)
+    linked = links(seats, pairs, lambda ids: measured(texts.join(ids, "id")), texts, sets_of, percent, block, most)
     found = components(linked)
     discard(seats, texts, linked)
     return found

@@ -18,16 +18,18 @@ from pyspark.sql import functions as F
 
 from smframe.llm.common import components, discard, stored
 
-REGIONS = 64
+def regions(s: np.ndarray, bits: int = 6) -> bytes:
+    """How many of the distinct 64-bit elements each of the 2 ** bits equal parts of their domain has, 255 at most: the sum of differences bounds those of two sets from below."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def regions(s: np.ndarray) -> bytes:
-    """How many of the distinct 64-bit elements each of the 64 equal parts of their domain has, 255 at most: the sum of differences bounds those of two sets from below."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=REGIONS), 255).astype(np.uint8).tobytes()
+def counts_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).astype(np.int16)
 
 
-def counts_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGIONS).astype(np.int16)
+def overlap(s: np.ndarray, t: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    return len(np.intersect1d(s, t, assume_unique=True))
 
 
 def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -40,6 +42,8 @@ def possible(pairs: DataFrame, side: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             n, m = (b.column(c).to_numpy() for c in ("n", "m"))
             ok = may_link(n, m, counts_of(b.column("p")), counts_of(b.column("q")), percent)
             yield b.select(["a", "b"]).filter(pa.array(ok))
@@ -81,7 +85,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("g", "id", "c", "n", "resident", "counts").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, set_of: Callable, common: Callable, percent: int, most: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, sets_of: Callable, percent: int, most: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. b's text meets those of its partners, `most` or so in a group."""
     turns = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("turns"))
     group = lambda turn: F.xxhash64(F.lit("group"), F.col("b"), turn)
@@ -92,13 +96,12 @@ def verified(pairs: DataFrame, texts: DataFrame, set_of: Callable, common: Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host = None
         for b in batches:
-            t, got = b.column("text"), []
-            for k, (i, h, first) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "b", "first")))):
-                s = set_of(t[k].as_py() or "")
+            got = []
+            for s, i, h, first in zip(sets_of(b.column("text").to_pylist()), *(b.column(c).to_pylist() for c in ("id", "b", "first"))):
                 if first:
                     host = s
                     continue
-                both = common(s, host)
+                both = overlap(s, host)
                 if 100 * both >= percent * (len(s) + len(host) - both):
                     got.append((i, h))
             if got:
@@ -107,15 +110,15 @@ def verified(pairs: DataFrame, texts: DataFrame, set_of: Callable, common: Calla
     return rows.select("id", "b", "first", "text").mapInArrow(run, "a long, b long")
 
 
-def links(seats: DataFrame, pairs: DataFrame, sides: Callable, texts: DataFrame, set_of: Callable, common: Callable, percent: int, block: int, most: int) -> DataFrame:
+def links(seats: DataFrame, pairs: DataFrame, sides: Callable, texts: DataFrame, sets_of: Callable, percent: int, block: int, most: int) -> DataFrame:
     """Links (a, b), enough to join whatever links join, between ids that share a signature.
 
     seats: (s, a, b), stored: signature, id, and the signature's least id. pairs: (a, b), those of seats that are to be
     verified. sides: gives (id, n, counts), sizes and region counts, of a table of ids. texts: (id, text), stored.
-    set_of: a text's set; common: how many elements two sets share.
+    sets_of: the sorted sets of a list of texts.
     """
     tried = stored(pairs)
-    found = stored(verified(tried, texts, set_of, common, percent, most))
+    found = stored(verified(tried, texts, sets_of, percent, most))
     joined = components(found)
     at = stored(seats.select("s", F.col("a").alias("id")).distinct().join(joined, "id", "left").select("s", "id", F.coalesce("component", "id").alias("c")))
     per = at.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
@@ -127,7 +130,7 @@ def links(seats: DataFrame, pairs: DataFrame, sides: Callable, texts: DataFrame,
     rows = rows.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <= j")  # each two blocks meet once
     rows = rows.select(F.xxhash64("s", "j").alias("g"), "id", "c", "n", "counts", (F.col("own") == F.col("j")).alias("resident"))
     rest = across(rows, percent).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(verified(rest, texts, set_of, common, percent, most))
+    more = stored(verified(rest, texts, sets_of, percent, most))
     out = stored(found.union(more))
     discard(tried, found, joined, at, open_, rows_, side, more)
     return out
