@@ -68,16 +68,16 @@ def cut_bytes(raw: bytes, cuts: np.ndarray) -> list[bytes]:
 
 
 class FragmentCoder:
-    """Encodes and decodes texts fragment by fragment; remembers up to `remembered` words and as many fragments."""
+    """Encodes and decodes texts fragment by fragment; remembers words of up to `remembered` bytes in all, their fragments, and those of the block at hand."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cuts, self.remembered = certain_cuts(self.tokenizer), remembered
+        self.cuts, self.remembered, self.held = certain_cuts(self.tokenizer), remembered, 0
         vocabulary = self.tokenizer.get_vocab()
         self.names = [""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
@@ -97,10 +97,6 @@ class FragmentCoder:
 
     def _learn(self, words: list[bytes]) -> None:
         cut = [self._cut(w) for w in words]
-        if len(self.words) + len(words) > self.remembered:
-            self.words.clear()
-        if len(self.fragments) > self.remembered:
-            self.fragments.clear()
         new = [f for f in {f for fs in cut for f in fs} if f not in self.fragments]
         for f, e in zip(new, self.tokenizer.encode_batch_fast([f.decode("utf-8", "surrogatepass") for f in new], add_special_tokens=False)):
             ids = e.ids
@@ -112,7 +108,7 @@ class FragmentCoder:
                 parts = [x for f in fs if (x := self.fragments[f])[0]]
                 self.words[w] = (" ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]))
 
-    def code(self, text: str, block: int = 1 << 22) -> tuple[str, str]:
+    def code(self, text: str, block: int = 1 << 20) -> tuple[str, str]:
         """(ids joined by spaces, decoded text). White space is a certain cut, so a long text is taken in blocks of words."""
         ids, out, words = [], [], text.encode("utf-8", "surrogatepass").split()
         for k in range(0, len(words), block):
@@ -120,8 +116,12 @@ class FragmentCoder:
             rows = [*map(self.words.get, part)]
             if None in rows:
                 new = [*{w for w, r in zip(part, rows) if r is None}]
-                if len(self.words) + len(new) > self.remembered:
-                    new = [*{*part}]  # the memory is cleared first
+                size = sum(map(len, new))
+                if self.held + size > self.remembered:
+                    self.words.clear(), self.fragments.clear()
+                    new = [*{*part}]
+                    self.held, size = 0, sum(map(len, new))
+                self.held += size
                 self._learn(new)
                 rows = [*map(self.words.__getitem__, part)]
             ids += [r[0] for r in rows if r[0]]

@@ -22,24 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Characters of a chunk, and of the least overlap on each side of its end.
+CHUNK, OVERLAP = 4_000, 128
 
-#: White space as the pre-tokeniser splits it, with runs of anything else left whole: a coarsening of its pieces.
-COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Where Python's notion of white space differs from the library's; a text that holds one is counted by the library itself.
-ODD = re.compile(r"[\x1c-\x1f᠎​﻿]")
+# White space as the library's pre-tokeniser takes it, the code points of Unicode's White_Space.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of anything but white space left whole, with a space before: a coarsening of the pre-tokeniser's pieces.
+COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 class Counter:
-    """Counts tokens of texts piece by piece; remembers up to `remembered` pieces."""
+    """Counts tokens of texts piece by piece; remembers pieces of up to `remembered` characters in all, and those of the chunk at hand."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.remembered, self.n = remembered, {}
+        self.remembered, self.n, self.held, self.splices = remembered, {}, 0, 0
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else re.compile(r"(?!)")
 
@@ -47,17 +49,18 @@ class Counter:
         """The coarse pieces of text, which holds no special token, and the tokens of each."""
         found = COARSE.findall(text)
         if new := [p for p in {*found} if p not in self.n]:
-            if len(self.n) + len(new) > self.remembered:
+            size = sum(map(len, new))
+            if self.held + size > self.remembered:
                 self.n.clear()
                 new = [*{*found}]
+                self.held, size = 0, sum(map(len, new))
+            self.held += size
             self.n.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
         return found, [*map(self.n.__getitem__, found)]
 
-    def count(self, text: str, chunk: int = 200_000, overlap: int = 256) -> int:
+    def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         if not text:
             return 0
-        if ODD.search(text):
-            return sum(len(self.tokenizer.encode(text, add_special_tokens=False)) for text in [text])
         found = self.special.findall(text) if "<" in text else ()
         parts = self.special.split(text) if found else [text]
         return len(found) + sum(self.spliced(p, chunk, overlap) if len(p) > chunk else sum(self.pieces(p)[1]) for p in parts)
@@ -71,13 +74,14 @@ class Counter:
                 return total + sum(counts)
             ends = [*accumulate(map(len, left), initial=start)]
             begin = max(start, end - overlap)
-            right = {*accumulate(map(len, self.pieces(text[begin : end + overlap])[0]), initial=begin)} - {begin}
+            right = {*accumulate(map(len, COARSE.findall(text[begin : end + overlap])), initial=begin)} - {begin}
             common = next((k for k, at in enumerate(ends) if begin < at < end and at in right), None)
             if common is None:  # alignment fails: a wider overlap reaches further right
-                end, overlap = end + overlap, 2 * overlap
+                end, overlap = end + overlap, 2 * overlap  # at least doubles, so a run without boundaries is read a few times at most
                 continue
             total += sum(counts[:common])
-            start, end, overlap = ends[common], ends[common] + chunk, min(overlap, 256)
+            self.splices += 1
+            start, end, overlap = ends[common], ends[common] + chunk, OVERLAP
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +89,7 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = 200_000, overlap: int = 256) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ TEXTS = [
 
 def fuzz(n):
     r = random.Random(5)
-    alphabet = [" ", "  ", "\n", "\t", "a", "B", "ing", "'", "s", "1", "é", "ß", "!", "<|endoftext|>", "́", " ", "日", "'ll", "-", "The", "\x1f", "​"]
+    alphabet = [" ", "  ", "\n", "\t", "a", "B", "ing", "'", "s", "1", "é", "ß", "!", "<|endoftext|>", "́", " ", "日", "'ll", "-", "The", "\x1f", "\x1c", "\u180e", "\u200b", "\ufeff", "\x85", "\u2003"]
     return ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(n)]
 
 
@@ -30,6 +30,30 @@ def test_counts_equal_the_library():
         assert c.count(x, chunk=16, overlap=5) == want, x
 
 
+def test_documents_are_spliced_with_the_default_chunks(spark):
+    """The registered query over sf0.01 equals the library on whole texts, and its texts are spliced."""
+    from smframe.llm.queries import QUERIES
+
+    path, d = public_tokenizers.path(token_counts.VOCABULARY), "/root/testdata/sf0.01"
+    t, c = Tokenizer.from_file(path), token_counts.Counter(path)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r.doc_id: r.n_tokens for r in QUERIES["op7_token_counts"](spark, d).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in docs.items()}
+    assert {i: c.count(x) for i, x in docs.items()} == got
+    assert c.splices >= sum(len(x) > token_counts.CHUNK for x in docs.values()) > 100, c.splices
+
+
+def test_memory_is_bounded_by_characters():
+    c = token_counts.Counter(public_tokenizers.path(token_counts.VOCABULARY), remembered=5_000)
+    for k in range(20):
+        c.count(" ".join(f"{k}{j}" * 40 for j in range(50)))
+        assert sum(map(len, c.n)) <= 5_000 + token_counts.CHUNK
+    b = bpe.FragmentCoder(public_tokenizers.path(bpe.VOCABULARY), remembered=5_000)
+    for k in range(20):
+        b.code(" ".join(f"x{k}{j}" * 40 for j in range(20)))
+        assert sum(map(len, b.words)) <= 10_000
+
+
 def test_overlap_widens_where_no_boundary_is_found():
     path = public_tokenizers.path(token_counts.VOCABULARY)
     t, c = Tokenizer.from_file(path), token_counts.Counter(path)
