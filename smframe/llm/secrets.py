@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from smframe.functions.arrays import let
+
 # The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]{16,})"
@@ -29,6 +31,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1
 #: A token of fewer distinct characters is repetition (dashes, rulers); 20 random hexadecimal digits have about 12.
 FEWEST = 6
+#: Matches of one text that are handled together: work grows with matches to the power 1.5.
+BLOCK = 256
 #: Words of ordinary identifiers; samples join two to four of them in the usual styles.
 WORDS = (
     "account action active add address all app array async auth average back base batch begin block body buffer build byte cache call "
@@ -67,8 +71,8 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
 
 def steps(token: Column) -> Column:
     """Where each pair of neighbouring characters stands in the matrix."""
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: at(i) * F.lit(WIDTH) + at(i + 1))
+    at = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return let(at, lambda x: F.zip_with(F.slice(x, 1, F.length(token) - 1), F.slice(x, 2, F.length(token) - 1), lambda a, b: a * F.lit(WIDTH) + b))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
@@ -97,12 +101,17 @@ def varied(token: Column) -> Column:
     return F.size(F.array_distinct(F.split(token, ""))) >= FEWEST
 
 
+def blocks(items: Column) -> Column:
+    """items in runs of BLOCK: what would copy or scan all of them for each of them does so for a run only."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(items, i + 1, F.lit(BLOCK)))
+
+
 def found(text: Column, kind: int, name: str, pattern: str, keep) -> Column:
     """Spans of the matches that keep(match, group 1) holds for. Positions: lengths of the pieces between matches, summed."""
     whole, group = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     gaps = F.split(text, pattern, -1)
     each = F.arrays_zip(gaps.alias("g"), whole.alias("w"), group.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + F.length(x["g"])
@@ -110,7 +119,20 @@ def found(text: Column, kind: int, name: str, pattern: str, keep) -> Column:
         here = F.array(F.struct(s.alias("s"), F.lit(kind).alias("o"), e.alias("e"), F.lit(name).alias("k")))
         return F.when(x["w"].isNull(), a).otherwise(F.struct(e.alias("at"), F.when(keep(x["w"], x["v"]), F.concat(a["out"], here)).otherwise(a["out"]).alias("out")))
 
-    return F.when(text.rlike(pattern), F.aggregate(each, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    def block(a: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, F.struct(a["at"].alias("at"), none.alias("out")), step)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    spans = let(each, lambda x: F.aggregate(blocks(x), start, block, lambda a: F.flatten(a["out"])))
+    return F.when(text.rlike(pattern), spans).otherwise(none)
+
+
+def apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of base."""
+    runs = F.transform(F.filter(blocks(F.array_sort(base)), lambda x: F.size(x) > 0), lambda x: F.struct(F.get(x, F.lit(0))["s"].alias("s"), F.array_max(F.transform(x, lambda y: y["e"])).alias("e"), x.alias("of")))
+    meets = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
+    return F.when(F.size(base) == 0, spans).otherwise(let(runs, lambda r: F.filter(spans, lambda m: ~F.exists(r, lambda run: meets(run, m) & F.exists(run["of"], lambda b: meets(b, m))))))
 
 
 def joined(spans: Column) -> Column:
@@ -129,6 +151,5 @@ def scan(docs: DataFrame, model: list[float] | None = None, least: int = 20, thr
     token = r"((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,})" % least
     df = df.withColumn("_m", found(text, len(BASE), "markov", token, lambda w, v: varied(w) & (score(w, model) > threshold)))
     df = df.select("doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k, _, _ in BASE), F.concat("_assign", "_access", "_hex").alias("_base"), "_m")
-    new = F.filter("_m", lambda m: ~F.exists("_base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
-    df = df.withColumn("_new", new)
+    df = df.withColumn("_new", apart(F.col("_m"), F.col("_base")))
     return df.select("doc_id", *(f"n_{k}" for k, _, _ in BASE), F.sha2(joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("_base", "_new")).alias("spans"), F.size("_new").cast("long").alias("n_markov"))

@@ -139,3 +139,20 @@ def test_signatures_stay_short_and_cover_the_whole():
         for t in ("".join(r.choice("abcd \n") for _ in range(n)), "ab" * (n // 2), "z" * n):
             _, a, b = fingerprints.fingerprint(t).split(":")
             assert len(a) <= 64 and len(b) <= 64 and (a or not t)
+
+
+def test_secrets_take_long_tokens_and_many_matches(spark):
+    import time
+
+    r = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(1, "x " + "".join(r.choice(letters) for _ in range(1_000_000)) + " y"), (2, " ".join(f"token=abc{i:06d} " + "".join(r.choice(letters) for _ in range(24)) for i in range(10_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    began = time.time()
+    got = {x.doc_id: x for x in secrets.scan(df, secrets.train(secrets.labelled_samples(spark))).collect()}
+    assert got[1].spans == "markov:2:1000002"
+    spans = [x.split(":") for x in got[2].spans.split(",")]
+    assert got[2].n_assign == 10_000 and got[2].n_markov > 8_000
+    assert all(rows[1][1][int(s) : int(e)].startswith("token=") == (k == "assign") for k, s, e in spans)
+    assert all(int(a[2]) <= int(b[1]) for a, b in zip(spans, spans[1:]))
+    assert time.time() - began < 30
