@@ -6,7 +6,7 @@ Fingerprints are compared by edit distance of the signatures at equal block size
 
 Rows meet the next document in a range shuffle by doc_id: within a partition the rows stream by in order; the last
 row of each partition meets the first of the next in a table of one row for each partition. Null texts count as empty; rows of
-one doc_id stand in the order of their texts; a single row is its own next; an empty table gives no rows.
+one doc_id stand in the order of a hash of their texts; a single row is its own next; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -75,6 +75,7 @@ class Tables:
 
 def units(rows: list) -> np.ndarray:
     v = np.array(rows, np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 

@@ -156,3 +156,11 @@ def test_secrets_take_long_tokens_and_many_matches(spark):
     assert all(rows[1][1][int(s) : int(e)].startswith("token=") == (k == "assign") for k, s, e in spans)
     assert all(int(a[2]) <= int(b[1]) for a, b in zip(spans, spans[1:]))
     assert time.time() - began < 30
+
+
+def test_the_fit_does_not_depend_on_the_order_of_rows(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    one = quality.fit(docs, labels)
+    two = quality.fit(docs.orderBy(F.rand(3)).repartition(7), labels.orderBy(F.rand(4)))
+    assert (one.weights == two.weights).all() and one.threshold == two.threshold
