@@ -24,9 +24,11 @@ def build(app: str = "smframe", master: str | None = None, **conf: str) -> Spark
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder named by spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
+    """Materialise df in the shared folder named by spark.checkpoint.dir; where that is unset, in a temporary one if all runs on this machine, as in tests."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="smframe-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="smframe-checkpoint-"))
     return df.checkpoint(eager=True)
