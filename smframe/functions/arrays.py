@@ -66,22 +66,6 @@ def taper_hann(x: Column, width: float = 0.05, side: str = "both") -> Column:
     return F.transform(x, lambda v, i: v * (w(i) if left else F.lit(1.0)) * (w(n - 1 - i) if right else F.lit(1.0)))
 
 
-def running(x: Column, step) -> Column:
-    """The running sums of step(previous sample, sample), with 0 before the first sample."""
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("p"), F.array().cast("array<double>").alias("out"))
-
-    def add(a: Column, v: Column) -> Column:
-        s = F.when(a["p"].isNull(), 0.0).otherwise(a["s"] + step(a["p"], v))
-        return F.struct(s.alias("s"), v.alias("p"), F.array_append(a["out"], s).alias("out"))
-
-    return F.aggregate(x, start, add, lambda a: a["out"])
-
-
-def cumulative_trapezoid(x: Column, dt: float) -> Column:
-    """The integral from the first sample to each; one term a sample, so quadratic copies are avoided by prefix sums in SQL for long traces."""
-    return running(x, lambda p, v: (p + v) * (0.5 * dt))
-
-
 def trapezoid(x: Column, dt: float) -> Column:
     """The integral over the whole trace, in one pass."""
     n = F.size(x)

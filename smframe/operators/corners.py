@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from smframe.operators.waveform import butterworth_fd, integrate_fd, mapped
-
-
-def integrate_td(x: np.ndarray, dt: float) -> np.ndarray:
-    """The integral by trapezoids, from 0."""
-    return np.concatenate(([0.0], np.cumsum((x[1:] + x[:-1]) * (dt / 2)))) if len(x) else x
+from smframe.operators.waveform import butterworth_fd, integrate_fd, integrate_td, mapped, measured
 
 
 def displacement(x: np.ndarray, dt: float, frequency: bool = True) -> np.ndarray:
@@ -95,23 +87,10 @@ def akaike_index(x: np.ndarray) -> int | None:
     return int(k[np.argmin(k * np.log(left) + m * np.log(right))])
 
 
-def corrected(df: DataFrame, dt: float, frequency: bool = True) -> DataFrame:
-    return mapped(df, lambda x: [sixth_order(x, dt, frequency)], ["baseline"])
-
-
-def measured(df: DataFrame, **kernels) -> DataFrame:
-    """df with one double column for each kernel of a trace's samples; null where a kernel gives None."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            xs = [np.asarray(v.values, dtype=np.float64) for v in b.column("x")]
-            cols = [pa.array([None if (y := f(x)) is None else float(y) for x in xs], pa.float64()) for f in kernels.values()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *kernels])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{k} double" for k in kernels])
-    return df.mapInArrow(run, schema)
+def corrected(df: DataFrame, dt: float | None = None, frequency: bool = True) -> DataFrame:
+    return mapped(df, lambda x, t: [sixth_order(x, t, frequency)], ["baseline"], dt)
 
 
-def adjusted_corners(df: DataFrame, dt: float, low: float, high: float | None = None) -> DataFrame:
+def adjusted_corners(df: DataFrame, dt: float | None, low: float, high: float | None = None) -> DataFrame:
     """df with raised, ridder (Hz) and onset (sample): null where the search fails."""
-    return measured(df, raised=lambda x: raised_corner(x, dt, low, high), ridder=lambda x: ridder_corner(x, dt), onset=akaike_index)
+    return measured(df, dt, raised=lambda x, t: raised_corner(x, t, low, high), ridder=ridder_corner, onset=lambda x, t: akaike_index(x))

@@ -18,13 +18,33 @@ from smframe.functions import arrays, physics
 CM = 0.01
 
 
-def mapped(df: DataFrame, kernel: Callable[[np.ndarray], list[np.ndarray]], outs: list[str], source: str = "x") -> DataFrame:
-    """df with one array<double> column for each of outs, which kernel gives for a trace's samples."""
+def samples_of(column: pa.Array, i: int) -> np.ndarray | None:
+    """The samples of row i, NaN for null ones; None where the trace is null."""
+    v = column[i]
+    return v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid else None
+
+
+def steps_of(b: pa.RecordBatch, dt: float | None) -> list[float | None]:
+    """Each row's sampling interval: dt, or else its own, 1 / sampling_rate."""
+    return [dt] * b.num_rows if dt else [1 / r if r else None for r in b.column("sampling_rate").to_pylist()]
+
+
+def mapped(df: DataFrame, kernel: Callable[[np.ndarray, float], list[np.ndarray]], outs: list[str], dt: float | None = None, source: str = "x") -> DataFrame:
+    """df with one array<double> column for each of outs, which kernel(samples, dt) gives for a trace.
+
+    dt: the sampling interval of all traces, or else 1 / sampling_rate of each row. A null trace, or one without a rate,
+    gives null; an empty one gives empty arrays.
+    """
+
+    def one(x: np.ndarray | None, step: float | None) -> list:
+        if x is None or step is None:
+            return [None] * len(outs)
+        return kernel(x, step) if len(x) else [x] * len(outs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xs = b.column(source)
-            rows = [kernel(np.asarray(xs[i].values, dtype=np.float64)) for i in range(b.num_rows)]
+            rows = [one(samples_of(xs, i), step) for i, step in enumerate(steps_of(b, dt))]
             cols = [pa.array([r[k] for r in rows], pa.list_(pa.float64())) for k in range(len(outs))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *outs])
 
@@ -32,6 +52,20 @@ def mapped(df: DataFrame, kernel: Callable[[np.ndarray], list[np.ndarray]], outs
     return df.mapInArrow(run, schema)
 
 
+def measured(df: DataFrame, dt: float | None = None, **kernels: Callable[[np.ndarray, float], float | None]) -> DataFrame:
+    """df with one double column for each kernel(samples, dt); null where a kernel gives None, and for null and empty traces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs, steps = b.column("x"), steps_of(b, dt)
+            rows = [(x, t) if (x := samples_of(xs, i)) is not None and len(x) and t else None for i, t in enumerate(steps)]
+            cols = [pa.array([None if r is None or (y := f(*r)) is None else float(y) for r in rows], pa.float64()) for f in kernels.values()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *kernels])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{k} double" for k in kernels])
+    return df.mapInArrow(run, schema)
+
+
 # ---- spectra -------------------------------------------------------------------------------------------------
 
 
@@ -81,26 +115,31 @@ def konno_ohmachi(spec: np.ndarray, freq: np.ndarray, at: np.ndarray, b: float)
     return out
 
 
-def integrated(df: DataFrame, dt: float) -> DataFrame:
-    return mapped(df, lambda x: [integrate_fd(x, dt)], ["velocity"])
+def integrate_td(x: np.ndarray, dt: float) -> np.ndarray:
+    """The integral by trapezoids, from 0."""
+    return np.concatenate(([0.0], np.cumsum((x[1:] + x[:-1]) * (dt / 2))))
+
+
+def integrated(df: DataFrame, dt: float | None = None, frequency: bool = True) -> DataFrame:
+    return mapped(df, lambda x, t: [integrate_fd(x, t) if frequency else integrate_td(x, t)], ["velocity"], dt)
 
 
-def differentiated(df: DataFrame, dt: float) -> DataFrame:
-    return mapped(df, lambda x: [differentiate_fd(x, dt)], ["derivative"])
+def differentiated(df: DataFrame, dt: float | None = None) -> DataFrame:
+    return mapped(df, lambda x, t: [differentiate_fd(x, t)], ["derivative"], dt)
 
 
-def filtered(df: DataFrame, dt: float, low: float | None = None, high: float | None = None, order: int = 5) -> DataFrame:
-    return mapped(df, lambda x: [butterworth_fd(x, dt, low, high, order)], ["filtered"])
+def filtered(df: DataFrame, dt: float | None = None, low: float | None = None, high: float | None = None, order: int = 5) -> DataFrame:
+    return mapped(df, lambda x, t: [butterworth_fd(x, t, low, high, order)], ["filtered"], dt)
 
 
-def spectra(df: DataFrame, dt: float) -> DataFrame:
-    return mapped(df, lambda x: [amplitude(x, dt)], ["spec"])
+def spectra(df: DataFrame, dt: float | None = None) -> DataFrame:
+    return mapped(df, lambda x, t: [amplitude(x, t)], ["spec"], dt)
 
 
-def smoothed(df: DataFrame, dt: float, n: int, at: list[float], b: float) -> DataFrame:
-    """df with `smooth`: the spectrum of spec (of n points) at the given frequencies."""
-    freq, centres = np.fft.rfftfreq(n, dt), np.array(at)
-    return mapped(df, lambda s: [konno_ohmachi(s, freq, centres, b)], ["smooth"], "spec")
+def smoothed(df: DataFrame, dt: float | None, at: list[float], b: float) -> DataFrame:
+    """df with `smooth`: the spectrum of spec, of an even number of points, at the given frequencies."""
+    centres = np.array(at)
+    return mapped(df, lambda s, t: [konno_ohmachi(s, np.fft.rfftfreq(2 * (len(s) - 1), t), centres, b)], ["smooth"], dt, "spec")
 
 
 # ---- oscillator ----------------------------------------------------------------------------------------------
@@ -187,69 +226,20 @@ def cav(x: Column, dt: float) -> Column:
     return arrays.trapezoid(F.transform(x, lambda v: F.abs(v) * (CM * physics.GAL_TO_PCTG)), dt)
 
 
-def husid(x: Column, dt: float) -> Column:
-    """The running share of the Arias intensity."""
-    run = arrays.cumulative_trapezoid(F.transform(x, lambda v: v * v), dt)
-    return arrays.let(run, lambda r: arrays.let(F.get(r, F.size(r) - 1), lambda last: F.when(last > 0, F.transform(r, lambda v: v / last))))
-
-
-def nearest_index(share: Column, level: float) -> Column:
-    """The first index at which share is nearest to level."""
-    gap = F.transform(share, lambda v: F.abs(v - level))
-    return arrays.let(gap, lambda g: F.array_position(g, F.array_min(g)).cast("int") - 1)
-
-
-def duration(x: Column, low: float, high: float, dt: float) -> Column:
-    return arrays.let(husid(x, dt), lambda h: (nearest_index(h, high) - nearest_index(h, low)) * F.lit(dt))
-
-
-# ---- clipping ------------------------------------------------------------------------------------------------
-
-
-def without_tail(x: Column, share: float = 0.05) -> Column:
-    """x up to the last gap in what stays below a share of the peak: the quiet tail goes."""
-
-    def cut(quiet: Column) -> Column:
-        n = F.size(quiet)
-        ends = F.filter(F.zip_with(F.slice(quiet, 1, n - 1), F.slice(quiet, 2, n), lambda a, b: F.when(b - a > 1, b)), lambda b: b.isNotNull())
-        return F.when(n > 1, arrays.let(ends, lambda e: F.when(F.size(e) > 0, F.slice(x, 1, F.get(e, F.size(e) - 1))).otherwise(x))).otherwise(x)
-
-    quiet = arrays.let(share * arrays.max_abs(x), lambda floor: F.filter(F.transform(x, lambda v, i: F.when(F.abs(v) < floor, i)), lambda i: i.isNotNull()))
-    return arrays.let(quiet, cut)
-
-
-def clipping(df: DataFrame, keys: list[str], dt: float, max_amp: float = 6e6, ping: float = 0.57, std_n: int = 12, std_floor: float = 0.001, std_share: float = 0.85, std_points: int = 5, jerk_points: int = 400) -> DataFrame:
-    """keys and clip_max, clip_ping, n_ping, n_std, clip_std, n_jerk, clip_jerk of each trace."""
-
-    def jumps(y: Column) -> Column:
-        return arrays.let(ping * (F.abs(F.array_max(y)) - F.array_min(y)), lambda top: F.size(F.filter(arrays.differences(y), lambda v: F.abs(v) > top)))
-
-    def steady(y: Column) -> Column:
-        def count(edge: Column) -> Column:
-            def low(i: Column) -> Column:
-                part = F.slice(y, i + 1, std_n)
-                var = arrays.let(arrays.mean(part), lambda m: arrays.total(F.transform(part, lambda v: (v - m) * (v - m))) / F.size(part))
-                extreme = (F.get(y, i) >= edge["hi"]) | (F.get(y, i) <= edge["lo"])
-                return extreme & ((i >= F.size(y) - std_n) | (F.sqrt(var) < std_floor))
-
-            return F.size(F.filter(F.sequence(F.lit(0), F.size(y) - 1), low))
-
-        return arrays.let(F.struct((std_share * F.array_max(y)).alias("hi"), (std_share * F.array_min(y)).alias("lo")), count)
+def husid(x: np.ndarray, dt: float) -> np.ndarray | None:
+    """The running share of the Arias intensity; None for a silent trace."""
+    run = integrate_td(x * x, dt)
+    return run / run[-1] if run[-1] > 0 else None
 
-    def jerks(y: Column) -> Column:
-        def count(size: Column) -> Column:
-            half = F.floor(F.size(size) / 2).cast("int")
-            median = F.when(F.size(size) % 2 == 1, F.get(size, half)).otherwise((F.get(size, half - 1) + F.get(size, half)) / 2)
-            return arrays.let(100 * median, lambda m: F.size(F.filter(size, lambda v: v >= m)))
 
-        second = arrays.let(arrays.gradient(y, dt), lambda g: arrays.gradient(g, dt))
-        return arrays.let(F.sort_array(F.transform(second, lambda v: F.abs(v))), count)
+def duration(x: np.ndarray, dt: float, low: float, high: float) -> float | None:
+    """Seconds between the first samples at which the share is nearest to low and to high."""
+    h = husid(x, dt)
+    return None if h is None else (int(np.argmin(np.abs(h - high))) - int(np.argmin(np.abs(h - low)))) * dt
 
-    def all_of(y: Column) -> Column:
-        return F.struct((arrays.max_abs(arrays.demean(y)) > max_amp).alias("clip_max"), jumps(y).alias("n_ping"), steady(y).alias("n_std"), jerks(y).alias("n_jerk"))
 
-    d = df.select(*keys, arrays.let(without_tail(F.col("x")), all_of).alias("c")).select(*keys, "c.*")
-    return d.select(*keys, "clip_max", "n_ping", (F.col("n_ping") > 0).alias("clip_ping"), "n_std", (F.col("n_std") > std_points).alias("clip_std"), "n_jerk", (F.col("n_jerk") > jerk_points).alias("clip_jerk"))
+def durations(df: DataFrame, intervals: list[tuple[float, float]], names: list[str], dt: float | None = None) -> DataFrame:
+    return measured(df, dt, **{n: (lambda x, t, lo=lo, hi=hi: duration(x, t, lo, hi)) for n, (lo, hi) in zip(names, intervals)})
 
 
 # ---- rotated response, resampling ----------------------------------------------------------------------------
@@ -300,5 +290,5 @@ def lanczos(x: np.ndarray, dt: float, step: float, a: int) -> np.ndarray:
     return (np.where(ok, x[np.clip(near, 0, len(x) - 1)], 0.0) * w).sum(1)
 
 
-def resampled(df: DataFrame, dt: float, step: float, a: int = 100) -> DataFrame:
-    return mapped(df, lambda x: [lanczos(x, dt, step, a)], ["resampled"])
+def resampled(df: DataFrame, dt: float | None, step: float, a: int = 100) -> DataFrame:
+    return mapped(df, lambda x, t: [lanczos(x, t, step, a)], ["resampled"], dt)

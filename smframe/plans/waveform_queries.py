@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from smframe.functions import arrays
+from smframe.operators import clipping as clip
 from smframe.operators import waveform as w
 from smframe.sources.adapters import DT, SQL, traces
 
@@ -88,7 +89,7 @@ def zero_pad(spark, sf):
 @query(""", d AS (SELECT trace_id, i, (v + lag(v) OVER (PARTITION BY trace_id ORDER BY i)) * 0.005 AS a FROM sm)
   SELECT trace_id, i::INT AS i, round(1e3 * coalesce(sum(a) OVER (PARTITION BY trace_id ORDER BY i), 0), 6) + 0.0 AS y FROM d""")
 def integrate_time(spark, sf):
-    return exploded(traces(spark, sf).withColumn("y", arrays.cumulative_trapezoid(F.col("x"), DT)), "y", "y", 1e3)
+    return exploded(w.integrated(traces(spark, sf).select("trace_id", "x"), DT, frequency=False), "velocity", "y", 1e3)
 
 
 @query(""", g AS (SELECT trace_id, i, v, lag(v) OVER w AS a, lead(v) OVER w AS b FROM sm WINDOW w AS (PARTITION BY trace_id ORDER BY i))
@@ -137,7 +138,7 @@ CENTRES = [2.0, 5.0, 10.0, 20.0, 49.0]
   q AS (SELECT trace_id, fc, s, 20.0 * log10(f / fc) AS q FROM s, c), wt AS (SELECT trace_id, fc, s, CASE WHEN abs(q) < 1e-12 THEN 1 WHEN abs(q) > 3 THEN 0 ELSE pow(sin(q) / q, 4) END AS w FROM q)
   SELECT trace_id, fc, round(1e3 * sum(w * s) / sum(w), 6) AS smooth FROM wt GROUP BY trace_id, fc HAVING sum(w) > 0""")
 def konno_ohmachi(spark, sf):
-    s = w.smoothed(w.spectra(traces(spark, sf).select("trace_id", "x"), DT), DT, 64, CENTRES, 20.0)
+    s = w.smoothed(w.spectra(traces(spark, sf).select("trace_id", "x"), DT), DT, CENTRES, 20.0)
     fc = F.get(F.array(*map(F.lit, CENTRES)), F.col("_k"))
     return s.select("trace_id", F.posexplode("smooth").alias("_k", "_s")).where(~F.isnan("_s")).select("trace_id", fc.alias("fc"), r6(F.col("_s"), 1e3).alias("smooth"))
 
@@ -195,24 +196,24 @@ def arias_cav(spark, sf):
   rk AS (SELECT trace_id, i, row_number() OVER (PARTITION BY trace_id ORDER BY abs(h - 0.05), i) AS a, row_number() OVER (PARTITION BY trace_id ORDER BY abs(h - 0.95), i) AS b, row_number() OVER (PARTITION BY trace_id ORDER BY abs(h - 0.75), i) AS c FROM nm)
   SELECT trace_id, round((max(i) FILTER (b = 1) - max(i) FILTER (a = 1)) * 0.01::DOUBLE, 6) AS d5_95, round((max(i) FILTER (c = 1) - max(i) FILTER (a = 1)) * 0.01::DOUBLE, 6) AS d5_75 FROM rk GROUP BY trace_id""")
 def significant_duration(spark, sf):
-    x = F.col("x")
-    return traces(spark, sf).select("trace_id", r6(w.duration(x, 0.05, 0.95, DT)).alias("d5_95"), r6(w.duration(x, 0.05, 0.75, DT)).alias("d5_75"))
+    d = w.durations(traces(spark, sf).select("trace_id", "x"), [(0.05, 0.95), (0.05, 0.75)], ["d5_95", "d5_75"], DT)
+    return d.select("trace_id", r6(F.col("d5_95")).alias("d5_95"), r6(F.col("d5_75")).alias("d5_75"))
 
 
 @query(""", pk AS (SELECT trace_id, max(abs(v)) AS m FROM sm GROUP BY trace_id), qt AS (SELECT sm.trace_id, i FROM sm JOIN pk ON sm.trace_id = pk.trace_id AND abs(v) < 0.05 * m),
   gp AS (SELECT trace_id, i, i - lag(i) OVER (PARTITION BY trace_id ORDER BY i) AS g FROM qt), ct AS (SELECT trace_id, max(i) FILTER (g > 1) AS e FROM gp GROUP BY trace_id),
   y AS (SELECT sm.trace_id, i, v FROM sm LEFT JOIN ct USING (trace_id) WHERE i < coalesce(e, 64)),
-  ex AS (SELECT trace_id, max(v) AS hi, min(v) AS lo, avg(v) AS m, max(i) + 1 AS n FROM y GROUP BY trace_id),
+  e0 AS (SELECT trace_id, max(v) AS hi, min(v) AS lo, avg(v) AS m, max(i) + 1 AS n FROM y GROUP BY trace_id), ex AS (SELECT *, greatest(hi - m, m - lo) AS pk FROM e0),
   wd AS (SELECT trace_id, i, v, v - lag(v) OVER o AS d, stddev_pop(v) OVER (o ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS s, lag(v) OVER o AS a, lead(v) OVER o AS b FROM y WINDOW o AS (PARTITION BY trace_id ORDER BY i)),
   g1 AS (SELECT trace_id, i, CASE WHEN a IS NULL THEN (b - v) / 0.01 WHEN b IS NULL THEN (v - a) / 0.01 ELSE (b - a) / 0.02 END AS g FROM wd),
   g2 AS (SELECT trace_id, i, g, lag(g) OVER o AS a, lead(g) OVER o AS b FROM g1 WINDOW o AS (PARTITION BY trace_id ORDER BY i)),
   jk AS (SELECT trace_id, abs(CASE WHEN a IS NULL THEN (b - g) / 0.01 WHEN b IS NULL THEN (g - a) / 0.01 ELSE (b - a) / 0.02 END) AS j FROM g2),
   jm AS (SELECT trace_id, median(j) AS m FROM jk GROUP BY trace_id), jn AS (SELECT jk.trace_id, sum((j >= 100 * m)::INT)::INT AS n_jerk FROM jk JOIN jm USING (trace_id) GROUP BY jk.trace_id),
   cn AS (SELECT wd.trace_id, sum((abs(v - m) > 6e6)::INT) > 0 AS clip_max, sum((abs(d) > 0.57 * (abs(hi) - lo))::INT)::INT AS n_ping,
-    sum(((v >= 0.85 * hi OR v <= 0.85 * lo) AND (i >= n - 12 OR s < 0.001))::INT)::INT AS n_std FROM wd JOIN ex USING (trace_id) GROUP BY wd.trace_id)
+    sum((((v - m) / pk >= 0.85 * (hi - m) / pk OR (v - m) / pk <= 0.85 * (lo - m) / pk) AND (i >= n - 12 OR s / pk < 0.001))::INT)::INT AS n_std FROM wd JOIN ex USING (trace_id) GROUP BY wd.trace_id)
   SELECT trace_id, clip_max, coalesce(n_ping, 0)::INT AS n_ping, coalesce(n_ping, 0) > 0 AS clip_ping, n_std, n_std > 5 AS clip_std, n_jerk, n_jerk > 400 AS clip_jerk FROM cn JOIN jn USING (trace_id)""")
 def clipping(spark, sf):
-    return w.clipping(traces(spark, sf), ["trace_id"], DT)
+    return clip.detectors(traces(spark, sf), ["trace_id"], DT).drop("n_hist", "clip_hist")
 
 
 @query(""" SELECT trace_id, round(10 * log10((list_sum(list_transform(x, lambda v: v * v)) / 64) / (list_sum(list_transform(x[1:16], lambda v: v * v)) / 16)), 6) AS snr_db FROM tr""")
