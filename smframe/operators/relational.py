@@ -68,9 +68,15 @@ def select_colocated(records: DataFrame, station: list[str], preference: list[st
 
 
 def epoch_join(rows: DataFrame, epochs: DataFrame, key: str, at: str) -> DataFrame:
-    """rows with the first epoch of equal key whose [epoch_start, epoch_end) holds at: an equi-join with a residual."""
-    hit = rows.join(epochs, (rows[key] == epochs["epoch_key"]) & (rows[at] >= epochs["epoch_start"]) & (rows[at] < epochs["epoch_end"]), "left")
-    return hit.drop("epoch_key")
+    """rows with the first epoch, by start, of equal key whose [epoch_start, epoch_end) holds at; nulls where there is none.
+
+    A key's few epochs are gathered first, so that an equi-join gives each row once however they overlap.
+    """
+    rest = [c for c in epochs.columns if c not in ("epoch_key", "epoch_start", "epoch_end")]
+    of = epochs.groupBy("epoch_key").agg(F.sort_array(F.collect_list(F.struct("epoch_start", "epoch_end", *rest))).alias("_of"))
+    hit = F.get(F.filter("_of", lambda e: (F.col(at) >= e["epoch_start"]) & (F.col(at) < e["epoch_end"])), F.lit(0))
+    d = rows.join(of, rows[key] == of["epoch_key"], "left").withColumn("_hit", hit)
+    return d.select(*rows.columns, *(F.col(f"_hit.{c}").alias(c) for c in ("epoch_start", "epoch_end", *rest)))
 
 
 def nearest_event(targets: DataFrame, catalog: DataFrame, key: str, radius_km: float, dt_s: float, depth_km: float, dmag: float, cell_deg: float) -> DataFrame:

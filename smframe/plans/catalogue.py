@@ -1,6 +1,7 @@
 """Every query over the reference's own operators, with its SQL."""
 
-from smframe.plans import more_queries, relational_queries, waveform_queries
+from smframe.plans import more_queries, record_queries, relational_queries, waveform_queries
 
-QUERIES: dict = {**waveform_queries.QUERIES, **relational_queries.QUERIES, **more_queries.QUERIES}
-ORACLE: dict[str, str] = {**waveform_queries.ORACLE, **relational_queries.ORACLE, **more_queries.ORACLE}
+MODULES = (waveform_queries, relational_queries, more_queries, record_queries)
+QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLE.items()}

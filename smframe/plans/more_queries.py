@@ -130,13 +130,6 @@ def inventory(spark, sf):
     return stations(spark, sf).groupBy("network").agg(F.count_distinct("station").alias("stations"), F.count_distinct("instrument").alias("instruments"), r6(F.min("lat")).alias("south"), r6(F.max("lat")).alias("north"))
 
 
-@query(""", v AS (SELECT trace_id, v, i, i >= 51 AS tail FROM sm) SELECT trace_id, round(max(abs(v)) FILTER (tail) / max(abs(v)), 6) AS ratio, max(abs(v)) FILTER (tail) / max(abs(v)) > 0.6 AS failed FROM v GROUP BY trace_id""")
-def check_tail(spark, sf):
-    x = F.col("x")
-    ratio = arrays.max_abs(F.slice(x, 52, 13)) / arrays.max_abs(x)
-    return traces(spark, sf).select("trace_id", r6(ratio).alias("ratio"), (ratio > 0.6).alias("failed"))
-
-
 @query("")
 def ground_motion_packet(spark, sf):
     """One nested JSON document a record: its traces with their metrics. JSON text differs between engines, so rows only."""

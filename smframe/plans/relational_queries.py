@@ -29,10 +29,11 @@ def r6(c, k: int = 6):
     return F.round(c, k) + F.lit(0.0)
 
 
-@query(""", c AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS n, count(*) FILTER (component <> 'Z') OVER (PARTITION BY record_id) AS h FROM tr WHERE trace_id % 11 <> 3)
+@query(""", c AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS n, count(*) FILTER (component <> 'Z') OVER (PARTITION BY record_id) AS h FROM (SELECT trace_id, component, CASE WHEN trace_id % 11 = 3 THEN -1 - record_id ELSE record_id END AS record_id FROM tr) z)
   SELECT trace_id, record_id, CASE WHEN n > 3 THEN 'more traces than allowed' WHEN n < 2 THEN 'fewer traces than required' WHEN h < 2 THEN 'not two horizontal traces' END AS reason FROM c""")
 def check_instrument(spark, sf):
-    d = r.check_instrument(traces(spark, sf).where("trace_id % 11 <> 3"), ["record_id"])
+    # every eleventh trace stands in a record of its own, which leaves others incomplete
+    d = r.check_instrument(traces(spark, sf).withColumn("record_id", F.expr("CASE WHEN trace_id % 11 = 3 THEN -1 - record_id ELSE record_id END")), ["record_id"])
     return d.select("trace_id", "record_id", F.col("failure.reason").alias("reason"))
 
 
@@ -142,9 +143,9 @@ def provider_bounds(spark, sf):
 
 @query(""", e AS (SELECT user_id, event_type, epoch_us(ts) / 1e6 AS t, value AS x FROM events), n AS (SELECT user_id, event_type, t, x, min(t) OVER (PARTITION BY user_id, event_type) AS t0, lead(t) OVER w AS t1, lead(x) OVER w AS x1 FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY t, x)),
   g AS (SELECT *, unnest(range(ceil((t - t0) / 3600)::BIGINT, ceil((t1 - t0) / 3600)::BIGINT)) AS k FROM n WHERE t1 > t)
-  SELECT user_id AS station, event_type AS channel, k, round(x + (x1 - x) * (t0 + k * 3600 - t) / (t1 - t), 6) AS y FROM g WHERE user_id < 20""")
+  SELECT user_id AS station, event_type AS channel, k, round(x + (x1 - x) * (t0 + k * 3600 - t) / (t1 - t), 6) AS y FROM g""")
 def uneven_resample(spark, sf):
-    d = r.resample_even(samples(spark, sf).where("station < 20"), ["station", "channel"], 3600.0)
+    d = r.resample_even(samples(spark, sf), ["station", "channel"], 3600.0)
     return d.select("station", "channel", "k", r6(F.col("y")).alias("y"))
 
 
@@ -179,10 +180,11 @@ def rolling_std(spark, sf):
     return d.groupBy("trace_id").agg(r6(F.min("s")).alias("least"), r6(F.max("s")).alias("most"))
 
 
-@query(""", p AS (SELECT user_id AS station, event_type AS picker, avg(value) AS pick, max(value) AS snr FROM events WHERE user_id % 3 < 2 OR event_type < 'm' GROUP BY ALL)
+@query(""", p AS (SELECT user_id AS station, event_type AS picker, avg(CASE WHEN user_id % 3 < 2 OR event_type < 'm' THEN value END) AS pick, max(value) AS snr FROM events GROUP BY ALL)
   SELECT station, round(median(pick), 6) AS pick, count(pick)::BIGINT AS n, round(avg(pick), 6) AS mean, round(arg_max(pick, snr), 6) AS best FROM p GROUP BY station""")
 def pick_combine(spark, sf):
-    p = samples(spark, sf).where("station % 3 < 2 or channel < 'm'").groupBy("station", "channel").agg(F.avg("x").alias("pick"), F.max("x").alias("snr"))
+    x = F.when((F.col("station") % 3 < 2) | (F.col("channel") < "m"), F.col("x"))  # other pickers find nothing
+    p = samples(spark, sf).groupBy("station", "channel").agg(F.avg(x).alias("pick"), F.max("x").alias("snr"))
     got = [r.pick_combine(p, ["station"], m) for m in ("median", "mean", "max_snr")]
     a, b, c = got[0].select("station", r6(F.col("pick")).alias("pick"), "n"), got[1].select("station", r6(F.col("pick")).alias("mean")), got[2].select("station", r6(F.col("pick")).alias("best"))
     return a.join(b, "station").join(c, "station")

@@ -33,3 +33,13 @@ def test_equals_sql(spark, duck, name):
     assert sorted(order) == names
     rows = [tuple(r[order.index(c)] for c in names) for r in want.fetchall()]
     assert sorted(map(plain, df.select(names).collect())) == sorted(map(plain, rows))
+
+
+@pytest.mark.parametrize("name", sorted({*catalogue.QUERIES} - {*catalogue.ORACLE}))
+def test_runs_without_sql(spark, name):
+    """Queries that SQL can't express give rows; their results are tested with their operators."""
+    assert len(catalogue.QUERIES[name](spark, SF).collect()) > 0
+
+
+def test_names_are_registered_once():
+    assert sum(len(m.QUERIES) for m in catalogue.MODULES) == len(catalogue.QUERIES)
