@@ -70,7 +70,7 @@ def cut_bytes(raw: bytes, cuts: np.ndarray) -> list[bytes]:
 class FragmentCoder:
     """Encodes and decodes texts fragment by fragment; remembers words of up to `remembered` bytes in all, their fragments, and those of the block at hand."""
 
-    def __init__(self, path: str, remembered: int = 8_000_000):
+    def __init__(self, path: str, remembered: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core already
         from tokenizers import Tokenizer
 
@@ -134,24 +134,30 @@ def coder(path: str) -> FragmentCoder:
     return FragmentCoder(path)
 
 
-def encode(docs: DataFrame, path: str, ids_too: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with ids_too also ids and decoded."""
-    more = ", ids array<int>, decoded string" if ids_too else ""
+def encode(docs: DataFrame, path: str, ids_too: bool = False, decoded_too: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; where asked for, also ids and decoded."""
+    more = ", ids array<int>" * ids_too + ", decoded string" * decoded_too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for b in batches:
-            coded, n = [], []
-            texts = b.column("text")
+            texts, n, digests, parts, decoded = b.column("text"), [], [], [], []
             for i in range(len(texts)):
                 ids, out = c.code(texts[i].as_py() or "")
                 n.append(ids.count(" ") + 1 if ids else 0)
-                row = (hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest())
-                coded.append(row + (([*map(int, ids.split())], out) if ids_too else ()))
-            cols = [pa.array(x, t) for x, t in zip(zip(*coded), [pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()])] if coded else []
-            if cols:
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 2 + len(cols)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *cols], names)
+                digests.append((hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest()))
+                if ids_too:
+                    parts.append(np.array(ids.split(), np.int32) if ids else np.zeros(0, np.int32))
+                if decoded_too:
+                    decoded.append(out)
+            if not n:
+                continue
+            cols = [b.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, zip(*digests))]
+            if ids_too:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(parts))))
+            if decoded_too:
+                cols.append(pa.array(decoded, pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids_too, *["decoded"] * decoded_too])
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()

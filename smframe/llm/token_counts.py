@@ -34,7 +34,7 @@ COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 class Counter:
     """Counts tokens of texts piece by piece; remembers pieces of up to `remembered` characters in all, and those of the chunk at hand."""
 
-    def __init__(self, path: str, remembered: int = 8_000_000):
+    def __init__(self, path: str, remembered: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core already
         from tokenizers import Tokenizer
 

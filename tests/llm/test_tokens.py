@@ -101,3 +101,14 @@ def test_operators_take_nulls_ties_and_clashing_columns(docs, spark):
     got = bpe.encode(docs, path).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
     assert bpe.encode(docs.limit(0), path).count() == 0
+
+
+def test_ids_and_texts_where_asked_for(spark):
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    t = Tokenizer.from_file(path)
+    texts = ["one two  three", "", None, "x1!y2", "a" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode(df, path, ids_too=True, decoded_too=True).collect()}
+    for i, x in enumerate(texts):
+        e = t.encode(x or "", add_special_tokens=False).ids
+        assert got[i].ids == e and got[i].decoded == t.decode(e, skip_special_tokens=False) and got[i].n_tokens == len(e)
