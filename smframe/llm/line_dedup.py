@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from smframe.llm.common import components, discard, stored
-from smframe.llm.links import links, regions
+from smframe.llm.links import links
 
 LONG = 5
 BANDS, ROWS = 12, 6
-REGION_BITS = 8
 U = np.uint64
 _odd = np.random.default_rng(20).integers(0, 1 << 63, 128, dtype=np.uint64) * U(2) + U(1)
 PLACE, JOIN, FACTOR = _odd[:LONG], _odd[8 : 8 + ROWS], (_odd[16 : 16 + BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -127,17 +126,6 @@ def banded(docs: DataFrame, remembered: int = 1_000_000) -> DataFrame:
     return lines(docs).select("cid", "line").mapInArrow(run, "cid long, bands array<long>")
 
 
-def measured(texts: DataFrame) -> DataFrame:
-    """id, n and counts of every row of (id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [*sets_of(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([*map(len, sets)], pa.int64()), pa.array([regions(x, REGION_BITS) for x in sets], pa.binary())], ["id", "n", "counts"])
-
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, counts binary")
-
-
 def line_components(docs: DataFrame, percent: int = 80, block: int = 1024, most: int = 256) -> DataFrame:
     """(id, component) of the hashes cid of lines that have links."""
     w = Window.partitionBy("s")
@@ -150,7 +138,7 @@ def line_components(docs: DataFrame, percent: int = 80, block: int = 1024, most:
     texts = lines(docs).groupBy(F.col("cid").alias("id")).agg(F.min("line").alias("text"))
     texts = stored(texts.join(alive.hint("merge"), "id"))
     pairs = seats.where("a <> b").select("a", "b").distinct()
-    linked = links(seats, pairs, lambda ids: measured(texts.join(ids, "id")), texts, sets_of, percent, block, most)
+    linked = links(seats, pairs, None, texts, sets_of, percent, block, most)
     found = components(linked)
     discard(seats, texts, linked)
     return found

@@ -52,19 +52,45 @@ def possible(pairs: DataFrame, side: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def across(rows: DataFrame, percent: int) -> DataFrame:
+def across(rows: DataFrame, percent: int, sets_of: Callable | None = None, bits: int = 8) -> DataFrame:
     """The pairs (a, b) of different components c, in one group g, one of them resident there, that sizes and region counts allow.
 
-    Rows of a group come residents first. Only a group's residents are held, a batch at a time passes them.
+    Rows of a group come residents first. Only a group's residents are held, a batch at a time passes them. With sets_of,
+    rows hold text in place of n and counts, and the pairs are verified at once: of those that are similar enough a
+    spanning forest of the components leaves the task.
     """
+    columns = ["g", "id", "c", "resident", *(["text"] if sets_of else ["n", "counts"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, root = None, {}
+
+        def find(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                root[k] = k = root.get(up, up)
+            return k
+
+        def links(p: np.ndarray, q: np.ndarray, c: np.ndarray, sets: np.ndarray) -> list[int]:
+            out = []
+            for k, (i, j) in enumerate(zip(p.tolist(), q.tolist())):
+                x, y = find(int(c[i])), find(int(c[j]))
+                if x != y:
+                    both = overlap(sets[i], sets[j])
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        root[max(x, y)] = min(x, y)
+                        out.append(k)
+            return out
+
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "id", "c", "n", "resident")] + [counts_of(b.column("counts")), np.ones(b.num_rows, bool)]
-            g, ids, c, n, resident, x, fresh = new if held is None else [np.concatenate(v) for v in zip(held, new)]
+            if sets_of:
+                sets = np.empty(b.num_rows, object)
+                sets[:] = [*sets_of(b.column("text").to_pylist())]
+                n, x = np.fromiter(map(len, sets), np.int64, len(sets)), np.stack([np.frombuffer(regions(v, bits), np.uint8) for v in sets]).astype(np.int16)
+            else:
+                sets, n, x = np.empty(b.num_rows, object), b.column("n").to_numpy(), counts_of(b.column("counts"))
+            new = [*(b.column(k).to_numpy(zero_copy_only=False) for k in ("g", "id", "c", "resident")), n, x, sets, np.ones(b.num_rows, bool)]
+            g, ids, c, resident, n, x, sets, fresh = new if held is None else [np.concatenate(v) for v in zip(held, new)]
             ends = np.flatnonzero(np.append(g[1:] != g[:-1], True))
             last = ends[np.searchsorted(ends, np.arange(len(g)))]  # where each row's group ends
             i, d, got = np.flatnonzero(resident), 1, []
@@ -73,16 +99,22 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
                 ok = fresh[j] & (c[i] != c[j])
                 p, q = i[ok], j[ok]
                 ok = may_link(n[p], n[q], x[p], x[q], percent)
-                got.append((ids[p[ok]], ids[q[ok]]))
+                p, q = p[ok], q[ok]
+                if sets_of:
+                    at = links(p, q, c, sets)
+                    p, q = p[at], q[at]
+                got.append((ids[p], ids[q]))
                 d += 1
             if got:
                 p, q = (np.concatenate(v) for v in zip(*got))
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
             keep = resident & (g == g[-1])
-            held = [v[keep] for v in (g, ids, c, n, resident, x)] + [np.zeros(np.count_nonzero(keep), bool)]
+            held = [v[keep] for v in (g, ids, c, resident, n, x, sets)] + [np.zeros(np.count_nonzero(keep), bool)]
+            if g[0] != g[-1]:
+                root.clear()  # bounded by the groups of a batch
 
     rows = rows.repartition("g").sortWithinPartitions("g", F.desc("resident"))
-    return rows.select("g", "id", "c", "n", "resident", "counts").mapInArrow(run, "a long, b long")
+    return rows.select(*columns).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sets_of: Callable, percent: int, most: int) -> DataFrame:
@@ -110,12 +142,13 @@ def verified(pairs: DataFrame, texts: DataFrame, sets_of: Callable, percent: int
     return rows.select("id", "b", "first", "text").mapInArrow(run, "a long, b long")
 
 
-def links(seats: DataFrame, pairs: DataFrame, sides: Callable, texts: DataFrame, sets_of: Callable, percent: int, block: int, most: int) -> DataFrame:
+def links(seats: DataFrame, pairs: DataFrame, side: DataFrame | None, texts: DataFrame, sets_of: Callable, percent: int, block: int, most: int) -> DataFrame:
     """Links (a, b), enough to join whatever links join, between ids that share a signature.
 
     seats: (s, a, b), stored: signature, id, and the signature's least id. pairs: (a, b), those of seats that are to be
-    verified. sides: gives (id, n, counts), sizes and region counts, of a table of ids. texts: (id, text), stored.
-    sets_of: the sorted sets of a list of texts.
+    verified. side: (id, n, counts), sizes and region counts, which spare most texts a second shuffle; None where texts are
+    short, then they go along with the signatures that are met again. texts: (id, text), stored. sets_of: the sorted sets of a
+    list of texts.
     """
     tried = stored(pairs)
     found = stored(verified(tried, texts, sets_of, percent, most))
@@ -124,13 +157,15 @@ def links(seats: DataFrame, pairs: DataFrame, sides: Callable, texts: DataFrame,
     per = at.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
     open_ = stored(per.where("k > 1").select("s", F.col("top.c").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks")))
     rows = stored(at.join(open_, "s"))
-    side = stored(sides(rows.select("id").distinct()))
-    rows_, rows = rows, rows.join(side, "id")
+    rows_, rows = rows, rows.join(texts if side is None else side, "id")
     own = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks").cast("long")).cast("int")).otherwise(F.lit(-1))
     rows = rows.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <= j")  # each two blocks meet once
-    rows = rows.select(F.xxhash64("s", "j").alias("g"), "id", "c", "n", "counts", (F.col("own") == F.col("j")).alias("resident"))
-    rest = across(rows, percent).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(verified(rest, texts, sets_of, percent, most))
+    rows = rows.select(F.xxhash64("s", "j").alias("g"), "id", "c", *(["text"] if side is None else ["n", "counts"]), (F.col("own") == F.col("j")).alias("resident"))
+    if side is None:
+        more = stored(across(rows, percent, sets_of).distinct())
+    else:
+        rest = across(rows, percent).distinct().join(tried, ["a", "b"], "left_anti")
+        more = stored(verified(rest, texts, sets_of, percent, most))
     out = stored(found.union(more))
-    discard(tried, found, joined, at, open_, rows_, side, more)
+    discard(tried, found, joined, at, open_, rows_, more)
     return out

@@ -154,7 +154,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024,
     texts = stored(with_text(docs).join(side.select("id", "x").hint("merge"), ["id", "x"]).select("id", "text").dropDuplicates(["id"]))
     slight = side.drop("x")
     pairs = possible(seats.where("a <> b").select("a", "b").distinct(), slight, percent)
-    linked = links(seats, pairs, lambda ids: slight.join(ids, "id"), texts, lambda lines: (shingles(x or "", words) for x in lines), percent, block, most)
+    linked = links(seats, pairs, slight, texts, lambda lines: (shingles(x or "", words) for x in lines), percent, block, most)
     found = components(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).union(linked))
     discard(t, rep, named, to, seats, side, texts, linked)
     out = slim.join(found, "id", "left")
