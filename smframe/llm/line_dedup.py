@@ -94,7 +94,8 @@ def sets_of(lines: list[str]) -> Iterator[np.ndarray]:
     for i, j in parts(lines):
         h, start, count = shingle_hashes(lines[i:j])
         for k, m in zip(start.tolist(), count.tolist()):
-            yield np.unique(h[k : k + m])
+            s = np.sort(h[k : k + m])
+            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def row_key(df: DataFrame) -> Column:

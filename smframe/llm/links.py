@@ -29,7 +29,9 @@ def counts_of(column: pa.Array) -> np.ndarray:
 
 def overlap(s: np.ndarray, t: np.ndarray) -> int:
     """How many elements two sorted sets share."""
-    return len(np.intersect1d(s, t, assume_unique=True))
+    both = np.concatenate((s, t))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -155,7 +157,8 @@ def links(seats: DataFrame, pairs: DataFrame, side: DataFrame | None, texts: Dat
     joined = components(found)
     at = stored(seats.select("s", F.col("a").alias("id")).distinct().join(joined, "id", "left").select("s", "id", F.coalesce("component", "id").alias("c")))
     per = at.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
-    open_ = stored(per.where("k > 1").select("s", F.col("top.c").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks")))
+    # of two rows the one pair has been tried
+    open_ = stored(per.where("k > 1 and all > 2").select("s", F.col("top.c").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks")))
     rows = stored(at.join(open_, "s"))
     rows_, rows = rows, rows.join(texts if side is None else side, "id")
     own = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks").cast("long")).cast("int")).otherwise(F.lit(-1))

@@ -53,7 +53,8 @@ def shingles(text: str, n: int) -> np.ndarray:
     s = np.full(len(h) - n + 1, U(n))
     for j in range(n):
         s = mix(s * U(0x9E3779B97F4A7C15) + h[j : len(h) - n + 1 + j])
-    return np.unique(s)
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 @lru_cache(maxsize=None)
@@ -91,7 +92,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         if lo == 1 or (lo - 1) * 100 < percent * n:  # no set of the class below can be similar enough
             break
         c, lo, hi = size_class(lo - 1)
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.concatenate(out).view(np.int64)
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
