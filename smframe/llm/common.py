@@ -49,8 +49,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a constant share of the vertices in expectation. Nothing but "are edges left" reaches the driver. Each map is written
     once, so a hot vertex meets its map in a join that Spark can split.
     """
-    maps, e = [], stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
-    vertices = stored(e.select(F.col("a").alias("id")).union(e.select("b")).distinct())
+    maps, first = [], stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
+    e = first
     for turn in range(max_rounds):
         if e.isEmpty():
             break
@@ -65,14 +65,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .join(m.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
             .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
-        discard(used)
+        if used is not first:
+            discard(used)
     else:
         raise RuntimeError("contraction did not end")
-    at = vertices.select("id", F.col("id").alias("root"))
+    at = first.select(F.col("a").alias("id")).union(first.select("b")).distinct().select("id", F.col("id").alias("root"))
     for m in maps:
         at = at.join(m.select(F.col("a").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
     at = stored(at)
     least = stored(at.groupBy("root").agg(F.min("id").alias("component")))
     out = stored(at.join(least, "root").select("id", "component"))
-    discard(e, vertices, at, least, *maps)
+    discard(*({first, e}), at, least, *maps)
     return out

@@ -132,7 +132,7 @@ def line_components(docs: DataFrame, percent: int = 80, block: int = 1024, most:
     w = Window.partitionBy("s")
     seats = banded(docs).select(F.col("cid").alias("a"), F.explode("bands").alias("s")).repartition("s")
     seats = seats.select("s", "a", F.min("a").over(w).alias("b"), F.max("a").over(w).alias("hi")).where("b < hi")
-    seats = stored(seats.select("s", "a", "b").distinct())
+    seats = stored(seats.select("s", "a", "b"))
     alive = seats.select(F.col("a").alias("id")).distinct()
     # a line's copies meet in their own tasks first. The table of lines outgrows any broadcast, and so does the list of
     # those that share a band: both are sorted, whatever the input's size
