@@ -70,7 +70,7 @@ def cut_bytes(raw: bytes, cuts: np.ndarray) -> list[bytes]:
 class FragmentCoder:
     """Encodes and decodes texts fragment by fragment; remembers words of up to `remembered` bytes in all, their fragments, and those of the block at hand."""
 
-    def __init__(self, path: str, remembered: int = 3_000_000):
+    def __init__(self, path: str, remembered: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core already
         from tokenizers import Tokenizer
 
