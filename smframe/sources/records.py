@@ -1,133 +1,47 @@
-"""Text record formats read as DataFrames: K-NET and KiK-net, ESM, PEER AT2, NSMN, CWB.
+"""Text record files read as DataFrames, whatever their format (smframe.sources.formats).
 
 A file is one row (Spark's whole-text source); which format it has is a column, and header fields and samples are
-taken by JVM expressions. Files of no or of several formats have no trace and are reported by unreadable().
-Every format gives the columns of TRACE.
+taken by JVM expressions in one scan, whatever the number of formats. Files of no or of several formats have no trace and
+are reported by unreadable(). Every format gives the columns of TRACE, after path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRACE = ("path", "format", "network", "station", "location", "channel", "start", "sampling_rate", "lat", "lon", "elevation", "units", "structure", "lowcut", "highcut", "x")
+from smframe.sources.formats import MARKS, READERS, TRACE
 
-#: What the start of a file of each format matches.
-MARKS = {
-    "knet": r"^Origin Time\s+\S+",
-    "esm": r"^EVENT_NAME:",
-    "at2": r"(?s)^[^\n]*\n[^\n]*\n[^\n]*\n\s*NPTS\s*=\s*\d+\s*,\s*DT\s*=",
-    "cwb": r"^#Earthquake Information",
-    "nsmn": r"^STRONG GROUND MOTION RECORDS OF TURKIYE",
-}
-NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
-
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, lines and formats (the formats that match) of each file under path."""
-    d = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+def sniffed(texts: DataFrame) -> DataFrame:
+    """path, text, lines and formats (the formats that match) of rows of path and text; a null text has no format."""
+    d = texts.select("path", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
     hit = F.array(*(F.when(F.col("text").rlike(m), F.lit(k)) for k, m in MARKS.items()))
     return d.withColumn("lines", F.split("text", "\n")).withColumn("formats", F.filter(hit, lambda k: k.isNotNull()))
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, text, lines and formats of each file under path."""
+    return sniffed(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
 def unreadable(found: DataFrame) -> DataFrame:
     """path and reason of the files that no reader, or more than one, takes."""
     n = F.size("formats")
     return found.where(n != 1).select("path", F.when(n == 0, "no format matches").otherwise("several formats match").alias("reason"))
 
 
-def numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda v: v.cast("double"))
-
-
-def after(lines: Column, rows: int) -> Column:
-    """The text behind the first rows."""
-    return F.array_join(F.slice(lines, rows + 1, F.greatest(F.size(lines) - rows, F.lit(0))), " ")
-
-
-def channel(rate: Column, kind: Column) -> Column:
-    """Band, N, and 1 (north), 2 (east) or Z."""
-    return F.concat(F.when((rate >= 10) & (rate < 80), "B").otherwise("H"), F.lit("N"), kind)
-
-
-def try_double(c: Column) -> Column:
-    return F.regexp_extract(c, NUMBER, 0).try_cast("double")
-
-
-def knet(d: DataFrame) -> DataFrame:
-    """Counts times the scale factor, in cm/s^2. Record times are Japanese and 15 s late."""
-    at = lambda k: F.get(F.col("lines"), F.lit(k))
-    word = lambda k, n: F.get(F.split(F.trim(at(k)), r"\s+"), F.lit(n))
-    rate = F.regexp_extract(word(10, 2), r"\d+", 0).cast("double")
-    way = word(12, 1)
-    kind = F.when(way.isin("N-S", "1", "4"), "1").when(way.isin("E-W", "2", "5"), "2").when(way.isin("U-D", "3", "6"), "Z")
-    scale = F.regexp_extract(at(13), r"([\d.]+)\(gal\)/", 1).cast("double") / F.regexp_extract(at(13), r"/([\d.]+)", 1).cast("double")
-    when = F.to_timestamp(F.concat_ws(" ", word(9, 2), word(9, 3)), "yyyy/MM/dd HH:mm:ss") - F.expr("INTERVAL '9:00:15' HOUR TO SECOND")
-    n = (word(11, 2).cast("double") * rate).cast("int")
-    x = F.slice(F.transform(numbers(after(F.col("lines"), 17)), lambda v: v), 1, n)
-    d = d.withColumn("_s", scale).withColumn("_x", x)
-    return d.select("path", F.lit("knet").alias("format"), F.lit("BO").alias("network"), word(5, 2).alias("station"), F.lit("--").alias("location"), channel(rate, kind).alias("channel"), when.alias("start"), rate.alias("sampling_rate"),
-        word(6, 2).cast("double").alias("lat"), word(7, 2).cast("double").alias("lon"), word(8, 2).cast("double").alias("elevation"), F.lit("cm/s^2").alias("units"), F.when(way.isin("1", "2", "3"), "borehole").otherwise("").alias("structure"),
-        F.lit(None).cast("double").alias("lowcut"), F.lit(None).cast("double").alias("highcut"), F.transform("_x", lambda v: v * F.col("_s")).alias("x"))
-
-
-def esm(d: DataFrame) -> DataFrame:
-    """64 lines of KEY: value, then one sample a line, in cm/s^2."""
-    value = lambda key: F.trim(F.regexp_extract("text", f"(?m)^{key}:(.*)$", 1))
-    number = lambda key: try_double(value(key))
-    when = F.to_timestamp(F.regexp_replace(value("DATE_TIME_FIRST_SAMPLE_YYYYMMDD_HHMMSS"), r"^(\d{8}_\d{6})$", "$1.000"), "yyyyMMdd_HHmmss.SSS")
-    return d.select("path", F.lit("esm").alias("format"), value("NETWORK").alias("network"), value("STATION_CODE").alias("station"), F.lit("--").alias("location"), value("STREAM").alias("channel"), when.alias("start"), (1 / number("SAMPLING_INTERVAL_S")).alias("sampling_rate"),
-        number("STATION_LATITUDE_DEGREE").alias("lat"), number("STATION_LONGITUDE_DEGREE").alias("lon"), number("STATION_ELEVATION_M").alias("elevation"), F.lit("cm/s^2").alias("units"), F.lit("").alias("structure"),
-        number("LOW_CUT_FREQUENCY_HZ").alias("lowcut"), number("HIGH_CUT_FREQUENCY_HZ").alias("highcut"), numbers(after(F.col("lines"), 64)).alias("x"))
-
-
-def at2(d: DataFrame) -> DataFrame:
-    """Four title lines, then samples in g; given in cm/s^2. The last field of the second line but units names the channel."""
-    head = F.get(F.col("lines"), F.lit(3))
-    dt = F.regexp_extract(head, rf"DT\s*=\s*({NUMBER})", 1).cast("double")
-    n = F.regexp_extract(head, r"NPTS\s*=\s*(\d+)", 1).cast("int")
-    title = F.split(F.get(F.col("lines"), F.lit(1)), r"\s*,\s*")
-    none = F.lit(None).cast("double")
-    return d.select("path", F.lit("at2").alias("format"), F.lit("").alias("network"), F.get(title, F.lit(2)).alias("station"), F.lit("--").alias("location"), F.get(title, F.lit(3)).alias("channel"), F.lit(None).cast("timestamp").alias("start"), (1 / dt).alias("sampling_rate"),
-        none.alias("lat"), none.alias("lon"), none.alias("elevation"), F.lit("cm/s^2").alias("units"), F.lit("").alias("structure"), none.alias("lowcut"), none.alias("highcut"),
-        F.transform(F.slice(numbers(after(F.col("lines"), 4)), 1, n), lambda v: v * 980.665).alias("x"))
-
-
-def nsmn(d: DataFrame) -> DataFrame:
-    """18 header lines, then columns of north, east and up in cm/s^2: three traces a file."""
-    value = lambda k: F.trim(F.regexp_extract(F.get(F.col("lines"), F.lit(k)), r"^[^:]*:(.*)$", 1))
-    rate = 1 / try_double(value(13))
-    spot = F.regexp_extract_all(F.regexp_replace(value(7), "-", ""), F.lit(NUMBER), F.lit(0))
-    when = F.to_timestamp(F.regexp_extract(value(11), r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}\.\d+", 0), "dd/MM/yyyy HH:mm:ss.SSSSSS")
-    d = d.withColumn("_v", numbers(after(F.col("lines"), 18))).withColumn("_k", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
-    x = F.filter("_v", lambda v, i: i % 3 == F.col("_k"))
-    none = F.lit(None).cast("double")
-    return d.select("path", F.lit("nsmn").alias("format"), F.lit("TK").alias("network"), value(6).alias("station"), F.lit("--").alias("location"), channel(rate, F.get(F.array(F.lit("1"), F.lit("2"), F.lit("Z")), F.col("_k"))).alias("channel"), when.alias("start"), rate.alias("sampling_rate"),
-        F.get(spot, F.lit(0)).cast("double").alias("lat"), F.get(spot, F.lit(1)).cast("double").alias("lon"), F.coalesce(try_double(value(8)), F.lit(0.0)).alias("elevation"), F.lit("cm/s^2").alias("units"), F.lit("").alias("structure"), none.alias("lowcut"), none.alias("highcut"), x.alias("x"))
-
-
-def cwb(d: DataFrame) -> DataFrame:
-    """22 header lines of #Key: value, then columns of time, up, north and east in cm/s^2; times are eight hours ahead."""
-    value = lambda key: F.trim(F.regexp_extract("text", f"(?m)^#{key}[^:\\n]*:(.*)$", 1))
-    rate = try_double(value("SampleRate"))
-    when = F.to_timestamp(F.substring(F.regexp_replace(value("StartTime"), r"[-T ]", "/"), 1, 19), "yyyy/MM/dd/HH:mm:ss") - F.expr("INTERVAL '8' HOUR")
-    d = d.withColumn("_v", numbers(after(F.col("lines"), 22))).withColumn("_k", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
-    none = F.lit(None).cast("double")
-    return d.select("path", F.lit("cwb").alias("format"), F.lit("TW").alias("network"), value("StationCode").alias("station"), F.lit("--").alias("location"), channel(rate, F.get(F.array(F.lit("Z"), F.lit("1"), F.lit("2")), F.col("_k") - 1)).alias("channel"), when.alias("start"), rate.alias("sampling_rate"),
-        try_double(value("StationLatitude")).alias("lat"), try_double(value("StationLongitude")).alias("lon"), F.lit(0.0).alias("elevation"), F.lit("cm/s^2").alias("units"), F.lit("").alias("structure"), none.alias("lowcut"), none.alias("highcut"), F.filter("_v", lambda v, i: i % 4 == F.col("_k")).alias("x"))
-
-
-READERS = {"knet": knet, "esm": esm, "at2": at2, "nsmn": nsmn, "cwb": cwb}
+def parse(found: DataFrame, formats: list[str] | None = None) -> DataFrame:
+    """The traces of rows of sniffed() that have one format, or of those among them whose format is in formats."""
+    kinds = formats or list(READERS)
+    own = F.get("formats", F.lit(0))
+    traces = F.coalesce(*(F.when(own == k, READERS[k](F.col("text"), F.col("lines"))) for k in kinds))
+    return found.where((F.size("formats") == 1) & own.isin(kinds)).select("path", F.inline(traces)).select("path", *TRACE)
 
 
 def read(spark: SparkSession, path: str, formats: list[str] | None = None) -> DataFrame:
-    """The traces of all files under path whose format is known (or forced to one of formats)."""
-    found = files(spark, path).where(F.size("formats") == 1)
-    out = None
-    for k in formats or READERS:
-        part = READERS[k](found.where(F.get("formats", F.lit(0)) == k))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The traces of all files under path whose format is known (and among formats)."""
+    return parse(files(spark, path), formats)
 
 
 def write(traces: DataFrame, path: str, by: list[str]) -> None:

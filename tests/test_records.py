@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from smframe.plans import reader_queries
 from smframe.sources import records
 
 KNET = "\n".join(
@@ -59,3 +60,68 @@ def test_write_keeps_other_partitions(spark, traces, tmp_path):
     records.write(t.withColumn("label", F.lit("a")), f"{tmp_path}/w", ["label"])
     records.write(t.limit(1).withColumn("label", F.lit("b")), f"{tmp_path}/w", ["label"])
     assert {(r["label"], r["count"]) for r in spark.read.parquet(f"{tmp_path}/w").groupBy("label").count().collect()} == {("a", 10), ("b", 1)}
+
+
+def as_text(kind, station, counts):
+    """A file of a format with few samples: the header of the query's files, its count changed."""
+    head = {**reader_queries.HEADERS}[kind].replace("{station}", station)
+    block = lambda per, width, f=1: "\n".join("".join(f"{v * f:{width}d}" for v in counts[i : i + per]) for i in range(0, len(counts), per))
+    if kind == "geonet":
+        parts = [(reader_queries.geonet_header(w).replace("{station}", station), f) for w, f in (("S16W", 1), ("N10W", 2), ("Up", 3))]
+        return "\n".join(h.replace(f"{64:8}", f"{len(counts):8}") + "\n" + block(10, 8, f) for h, f in parts)
+    if kind == "smc":
+        head = head.replace(f"{64:10}", f"{len(counts):10}")
+    if kind == "cosmos":
+        return head.replace("   64  raw", f"   {len(counts)}  raw") + "\n" + block(8, 10) + "\nEnd-of-data"
+    return head + "\n" + (block(8, 10) if kind == "smc" else "\n".join(map(str, counts)))
+
+
+def parsed(spark, *texts):
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    return records.parse(records.sniffed(d)).orderBy("path").collect()
+
+
+def test_smc_headers(spark):
+    text = as_text("smc", "AB12", [1, -2, 3])
+    flagged = text.replace("         3         0", "         3         1")
+    blank = text.replace("\nAB12\n", "\n*\n").replace("    -32768" * 8 + "\n" + "    -32768" * 8, "    -32768" * 5 + "      1675" + "    -32768" * 2 + "\n" + "    -32768" * 8)
+    rows = parsed(spark, text, flagged, blank)
+    assert [(r["path"], r["station"]) for r in rows] == [("0", "AB12"), ("2", "1675")]
+    one = rows[0]
+    assert (one["channel"], one["location"], one["network"], one["structure"]) == ("HN1", "--", "US", "")
+    assert one["start"] == datetime.datetime(1989, 10, 18, 0, 4, 5, 250000) and (one["lat"], one["lon"], one["elevation"]) == (37.5, -122.25, 0.0)
+    assert [r["x"] for r in rows] == [[1.0, -2.0, 3.0]] * 2
+
+
+def test_cosmos_headers(spark):
+    text = as_text("cosmos", "J2236", [1, -2, 3])
+    galileo = text.replace("       0       1      50", "       2       1      11", 1)
+    degrees = text.replace("       0       1      50", "       2       1      25", 1)
+    named = text.replace("| none", "|<SCNL>1795.HNE.NP.01    <AUTH> 2019")
+    two = text + "\n" + text.replace("     340", "     400")
+    r = {k: [t for t in parsed(spark, text, galileo, degrees, named, two) if t["path"] == k] for k in "01234"}
+    first = r["0"][0]
+    assert (first["network"], first["station"], first["location"], first["channel"], first["units"], first["structure"]) == ("CE", "J2236", "02", "HN1", "counts", "Building")
+    assert first["start"] == datetime.datetime(2005, 6, 16, 20, 53, 4, 400000) and (first["lat"], first["lon"], first["elevation"], first["sampling_rate"]) == (34.046, -117.035, 15.0, 100.0)
+    assert first["x"] == [1.0, -2.0, 3.0] and r["1"][0]["x"] == pytest.approx([0.980665, -1.96133, 2.941995]) and r["1"][0]["units"] == "cm/s^2"
+    assert r["2"][0]["x"] is None and r["2"][0]["units"] is None
+    assert (r["3"][0]["station"], r["3"][0]["network"], r["3"][0]["location"]) == ("1795", "NP", "01")
+    assert sorted(t["channel"] for t in r["4"]) == ["HN1", "HNZ"]
+
+
+def test_geonet_directions(spark):
+    text = as_text("geonet", "WPWS", [10, -20, 30])
+    same = text.replace("N10W", "S20W")
+    west = text.replace("S16W", "S80W").replace("N10W", "N80E")
+    r = parsed(spark, text, same, west)
+    assert [t["channel"] for t in r] == ["HN1", "HN2", "HNZ"] * 2 + ["HN2", "HN1", "HNZ"]
+    assert r[0]["x"] == [1.0, -2.0, 3.0] and r[2]["x"] == [3.0, -6.0, 9.0] and r[0]["sampling_rate"] == 50
+    assert r[0]["start"] == datetime.datetime(2018, 2, 12, 21, 15, 17) and r[0]["lat"] == pytest.approx(-39.943889) and r[0]["lon"] == pytest.approx(176.584444)
+
+
+def test_headers_that_say_nothing_give_nulls(spark):
+    """Files cut off after their first lines, empty and null texts don't stop the others."""
+    cut = ["\n".join(as_text(k, "AB1", [1]).split("\n")[:n]) for k in reader_queries.HEADERS for n in (1, 4, 14)]
+    whole = as_text("esm", "AB1", [1])
+    rows = parsed(spark, *cut, "", None, whole)
+    assert rows[-1] is not None and [r["x"] for r in rows if r["path"] == str(len(cut) + 2)] == [[1.0]]
