@@ -37,6 +37,13 @@ def geonet_header(way: str) -> str:
     return "\n".join(["Uncorrected accelerogram 20180212_211554 GNS Science", "Site {station}   39 56 38S  176 35 04E", *["-"] * 10, f"Component {way}", *["-"] * 3, *("".join(f"{v:8}" for v in line) for line in header)])
 
 
+def _dmg() -> str:
+    whole, real = {26: 90, 52: 64}, {60: 0.02, 61: 0.1, 72: 23.0}
+    text = ["CORRECTED ACCELEROGRAM", "UNCORRECTED ACCELEROGRAM DATA   PROCESSED: 6/06/83, CE", "X", "MAY 2, 1983 16:42 PDT", "TRIGGER TIME: 05/02/83, 16:42:48.2 PDT", "STATION NO. {code} 35.908N,  120.458W  SMA-1", *[""] * 19]
+    rows = lambda v, n, per, form: ["".join(format(v.get(i, 0), form) for i in range(j, j + per)) for j in range(0, n * per, per)]
+    return "\n".join([*text, *rows(whole, 7, 16, "5d"), *rows(real, 13, 8, "10.3f"), "   64 POINTS OF ACCEL DATA EQUALLY SPACED AT  .020 SEC.  (UNITS: CM/SEC/SEC)"])
+
+
 KEYS = {"NETWORK": "HI", "STATION_CODE": "{station}", "STREAM": "HNZ", "SAMPLING_INTERVAL_S": "0.005"}
 HEADERS = {
     "knet": "\n".join(["Origin Time       2008/06/14 08:43:00", *["-"] * 4, "Station Code      {station}", "Station Lat.      40.5", "Station Long.     139.9", "Station Height(m) 42", "Record Time       2008/06/14 08:44:18", "Sampling Freq(Hz) 100Hz", "Duration Time(s)  0.64", "Dir.              N-S", "Scale Factor      2000(gal)/1000", *["-"] * 3]),
@@ -47,6 +54,7 @@ HEADERS = {
     "smc": SMC,
     "cosmos": _cosmos(),
     "geonet": geonet_header("S16W"),
+    "dmg": _dmg(),
 }
 
 
@@ -62,10 +70,10 @@ def table(x: Column, factors: tuple[int, ...]) -> Column:
 
 def written(kind: str, station: Column, x: Column) -> Column:
     """The text of a file of a format; its samples are whole numbers."""
-    head = lambda text: F.replace(F.lit(text), F.lit("{station}"), station)
+    head = lambda text: F.replace(F.replace(F.lit(text), F.lit("{station}"), station), F.lit("{code}"), F.rpad(station, 7, " "))
     if kind == "geonet":
         return F.concat_ws("\n", *(part for way, f in (("S16W", 1), ("N10W", 2), ("Up", 3)) for part in (head(geonet_header(way)), rows(scaled(x, f), 10, 8))))
-    body = {"cwb": lambda: table(x, (0, 1, 2, 3)), "nsmn": lambda: table(x, (1, 2, 3)), "smc": lambda: rows(x, 8, 10), "cosmos": lambda: rows(x, 8, 10), "esm": lambda: F.array_join(x.cast("array<string>"), "\n")}
+    body = {"cwb": lambda: table(x, (0, 1, 2, 3)), "nsmn": lambda: table(x, (1, 2, 3)), "smc": lambda: rows(x, 8, 10), "cosmos": lambda: rows(x, 8, 10), "dmg": lambda: rows(x, 8, 10), "esm": lambda: F.array_join(x.cast("array<string>"), "\n")}
     return F.concat_ws("\n", head(HEADERS[kind]), body.get(kind, lambda: F.array_join(x.cast("array<string>"), " "))(), F.lit("End-of-data" if kind == "cosmos" else ""))
 
 
@@ -74,9 +82,9 @@ def scaled(x: Column, f: int) -> Column:
 
 
 ORACLE["read_formats"] = "WITH RECURSIVE " + SQL + """, f AS (SELECT * FROM (VALUES ('knet', 'HN1', 2.0, 100.0), ('esm', 'HNZ', 1.0, 200.0), ('at2', 'HNE', 980.665, 100.0), ('cwb', 'HNZ', 1.0, 200.0), ('cwb', 'HN1', 2.0, 200.0), ('cwb', 'HN2', 3.0, 200.0),
-    ('nsmn', 'HN1', 1.0, 100.0), ('nsmn', 'HN2', 2.0, 100.0), ('nsmn', 'HNZ', 3.0, 100.0), ('smc', 'HN1', 1.0, 200.0), ('cosmos', 'HN1', 1.0, 100.0), ('geonet', 'HN1', 0.1, 50.0), ('geonet', 'HN2', 0.2, 50.0), ('geonet', 'HNZ', 0.3, 50.0)) v(format, channel, k, rate)),
+    ('nsmn', 'HN1', 1.0, 100.0), ('nsmn', 'HN2', 2.0, 100.0), ('nsmn', 'HNZ', 3.0, 100.0), ('smc', 'HN1', 1.0, 200.0), ('cosmos', 'HN1', 1.0, 100.0), ('dmg', 'BN2', 1.0, 50.0), ('geonet', 'HN1', 0.1, 50.0), ('geonet', 'HN2', 0.2, 50.0), ('geonet', 'HNZ', 0.3, 50.0)) v(format, channel, k, rate)),
   s AS (SELECT trace_id, any_value(station) AS station, count(*) AS n, sum(floor(v * 1000)) AS total, max(abs(floor(v * 1000))) AS peak FROM sm GROUP BY trace_id)
-  SELECT trace_id, format, channel, CASE format WHEN 'smc' THEN substr(station, 1, 4) ELSE station END AS station, rate::DOUBLE AS sampling_rate, n, round(total * k::DOUBLE, 3) + 0.0 AS total, round(peak * k::DOUBLE, 3) + 0.0 AS peak FROM s, f"""
+  SELECT trace_id, format, channel, CASE format WHEN 'smc' THEN substr(station, 1, 4) WHEN 'dmg' THEN substr(station, 1, 5) ELSE station END AS station, rate::DOUBLE AS sampling_rate, n, round(total * k::DOUBLE, 3) + 0.0 AS total, round(peak * k::DOUBLE, 3) + 0.0 AS peak FROM s, f"""
 
 
 def read_formats(spark, sf):

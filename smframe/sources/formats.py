@@ -281,6 +281,46 @@ def cosmos(text: Column, lines: Column) -> Column:
     return F.transform(parts(text, r"\((?i:format v)"), one)
 
 
+#: Factors to cm/s^2 by what a DMG file's units look like; the first that matches holds.
+DMG_UNITS = {"g/10": G / 10, r"10\*?g|g\*?10": G, "gal": 1.0, "(?<![a-z])g(?![a-z/])": G, r"cm/s(ec)?/s(ec)?|cm/s(ec)?\^?2": 1.0, "in/s(ec)?/s(ec)?": 2.54}
+
+
+def dmg(text: Column, lines: Column) -> Column:
+    """Corrected files: channels of 25 text lines, 7 of integers, 13 of reals, a line of units and format, and acceleration; velocity and displacement behind it are left.
+
+    Times are Pacific where the event's line says PDT or PST. The network is read from the line on processing and must be one of the table's.
+    Samples in units that no factor is known for are null.
+    """
+
+    def one(p):
+        def with_headers(h):
+            whole = lambda k: F.get(h["i"], F.lit(k))
+            real = lambda k: F.get(h["f"], F.lit(k))
+            code = F.upper(F.substring(F.element_at(F.split(F.trim(F.substr(at(p, 1), F.greatest(F.coalesce(whole(29), F.lit(0)).cast("int"), F.lit(0)) + 1)), r"\s+"), -1), 1, 2))
+            day = F.regexp_extract(at(p, 4), r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", 0)
+            piece = lambda k: F.get(F.split(day, "[/-]"), F.lit(k)).try_cast("int")
+            year = piece(2) + F.when(piece(2) >= 100, 0).when(piece(2) < 69, 2000).otherwise(1900)
+            clock = F.split(F.regexp_extract(at(p, 4), r"\d{2}:\d{2}:[ \d]\d\.\d", 0), ":")
+            when = moment(year, piece(0), piece(1), F.get(clock, F.lit(0)).try_cast("int"), F.get(clock, F.lit(1)).try_cast("int"), F.trim(F.get(clock, F.lit(2))).try_cast("double"))
+            when = F.when(at(p, 3).rlike("P[DS]T"), F.to_utc_timestamp(when, "America/Los_Angeles")).otherwise(when)
+            way, rate = whole(26), F.try_divide(F.lit(1.0), real(60))
+            kind = F.when(way.isin(500.0, 600.0), "Z").when(way.between(0, 360), F.when((way >= 315) | (way < 45) | ((way >= 135) & (way < 225)), "1").otherwise("2"))
+            spot = lambda first, n, back: let(F.trim(F.substring(at(p, 5), first, n)), lambda c: F.regexp_replace(c, "[A-Za-z]$", "").try_cast("double") * F.when(F.upper(c).endswith(back), -1.0).otherwise(1.0))
+            form = F.lower(at(p, 45))
+            units = F.regexp_extract(form, r"units(.*)", 1)
+            factor = F.coalesce(*(F.when(units.rlike(m), F.lit(f)) for m, f in DMG_UNITS.items()))
+            per = F.coalesce(F.regexp_extract(form, r"\((\d+)f\d+", 1).try_cast("int"), F.lit(8))
+            width = F.coalesce(F.regexp_extract(form, r"\(\d+f(\d+)", 1).try_cast("int"), F.lit(10))
+            n = F.greatest(F.coalesce(whole(52).cast("int"), F.lit(0)), F.lit(0))
+            x = let(F.struct(factor.alias("k"), fixed(p, 46, F.ceil(n / per).cast("int"), width).alias("v")), lambda d: F.when(d["k"].isNotNull(), F.transform(F.slice(d["v"], F.lit(1), n), lambda v: v * d["k"])))
+            return trace(format=F.lit("dmg"), network=F.when(code.isin(*COSMOS_NETWORKS.values()), code).otherwise("--"), station=F.trim(F.substring(at(p, 5), 13, 5)), channel=channel(rate, kind), start=when, sampling_rate=rate,
+                lat=spot(21, 7, "S"), lon=spot(30, 8, "W"), elevation=F.lit(0.0), structure=F.trim(F.substring(at(p, 7), 47, 34)), lowcut=real(61), highcut=real(72), x=x)
+
+        return let(F.struct(fixed(p, 25, 7, 5).alias("i"), fixed(p, 32, 13, 10).alias("f")), with_headers)
+
+    return F.transform(parts(text, "(?<!(?i:un))(?i:corrected accelerogram)"), one)
+
+
 #: What the start of a file of each format matches, and its reader.
 MARKS = {
     "knet": r"^Origin Time\s+\S+",
@@ -290,6 +330,7 @@ MARKS = {
     "nsmn": r"^STRONG GROUND MOTION RECORDS OF TURKIYE",
     "smc": r"^\s*(1 UNCORRECTED ACCELEROGRAM|2 CORRECTED ACCELEROGRAM)\s*(\n|$)",
     "geonet": r"^(?=[^\n]*GNS Science)[^\n]*(Corrected|Uncorrected) accelerogram",
+    "dmg": r"(?i)^(?![^\n]*uncorrected)(?=[^\n]*corrected accelerogram)[^\n]*\n[^\n]*uncorrected accelerogram data(?!(?:[^\n]*\n){3}(?:[^\n]{72}(?: \d|\d)[^\n]*\n){10})",
     "cosmos": r"(?i)^(?=[^\n]*\(format v)[^\n]*(corrected acceleration|raw acceleration counts)",
 }
-READERS = {"knet": knet, "esm": esm, "at2": at2, "nsmn": nsmn, "cwb": cwb, "smc": smc, "geonet": geonet, "cosmos": cosmos}
+READERS = {"knet": knet, "esm": esm, "at2": at2, "nsmn": nsmn, "cwb": cwb, "smc": smc, "geonet": geonet, "cosmos": cosmos, "dmg": dmg}

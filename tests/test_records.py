@@ -64,7 +64,7 @@ def test_write_keeps_other_partitions(spark, traces, tmp_path):
 
 def as_text(kind, station, counts):
     """A file of a format with few samples: the header of the query's files, its count changed."""
-    head = {**reader_queries.HEADERS}[kind].replace("{station}", station)
+    head = {**reader_queries.HEADERS}[kind].replace("{station}", station).replace("{code}", f"{station:7}")
     block = lambda per, width, f=1: "\n".join("".join(f"{v * f:{width}d}" for v in counts[i : i + per]) for i in range(0, len(counts), per))
     if kind == "geonet":
         parts = [(reader_queries.geonet_header(w).replace("{station}", station), f) for w, f in (("S16W", 1), ("N10W", 2), ("Up", 3))]
@@ -73,7 +73,7 @@ def as_text(kind, station, counts):
         head = head.replace(f"{64:10}", f"{len(counts):10}")
     if kind == "cosmos":
         return head.replace("   64  raw", f"   {len(counts)}  raw") + "\n" + block(8, 10) + "\nEnd-of-data"
-    return head + "\n" + (block(8, 10) if kind == "smc" else "\n".join(map(str, counts)))
+    return head + "\n" + (block(8, 10) if kind in ("smc", "dmg") else "\n".join(map(str, counts)))
 
 
 def parsed(spark, *texts):
@@ -119,6 +119,18 @@ def test_geonet_directions(spark):
     assert r[0]["start"] == datetime.datetime(2018, 2, 12, 21, 15, 17) and r[0]["lat"] == pytest.approx(-39.943889) and r[0]["lon"] == pytest.approx(176.584444)
 
 
+def test_dmg_headers(spark):
+    text = as_text("dmg", "36456", [10, -20, 30]).replace("   64", "    3")
+    tenths, strange = text.replace("CM/SEC/SEC", "G/10"), text.replace("CM/SEC/SEC", "FURLONGS")
+    summer, two = text.replace("1983 16:42 PDT", "1983 23:42 UTC"), text + "\n/& END\n" + text.replace("   90", "  500")
+    r = parsed(spark, text, tenths, strange, summer, two)
+    assert [(t["path"], t["channel"]) for t in r[:4]] == [(k, "BN2") for k in "0123"] and sorted(t["channel"] for t in r[4:]) == ["BN2", "BNZ"]
+    assert [t["x"] for t in r] == [[10.0, -20.0, 30.0], pytest.approx([980.665, -1961.33, 2941.995]), None, *[[10.0, -20.0, 30.0]] * 3]
+    first = r[0]
+    assert (first["station"], first["network"], first["lat"], first["lon"], first["lowcut"], first["highcut"]) == ("36456", "CE", 35.908, -120.458, 0.1, 23.0)
+    assert first["start"] == datetime.datetime(1983, 5, 2, 23, 42, 48, 200000) and r[3]["start"] == datetime.datetime(1983, 5, 2, 16, 42, 48, 200000)
+
+
 def test_headers_that_say_nothing_give_nulls(spark):
     """Files cut off after their first lines, empty and null texts don't stop the others."""
     cut = ["\n".join(as_text(k, "AB1", [1]).split("\n")[:n]) for k in reader_queries.HEADERS for n in (1, 4, 14)]
