@@ -39,7 +39,7 @@ def geonet_header(way: str) -> str:
 
 def _dmg() -> str:
     whole, real = {26: 90, 52: 64}, {60: 0.02, 61: 0.1, 72: 23.0}
-    text = ["CORRECTED ACCELEROGRAM", "UNCORRECTED ACCELEROGRAM DATA   PROCESSED: 6/06/83, CE", "X", "MAY 2, 1983 16:42 PDT", "TRIGGER TIME: 05/02/83, 16:42:48.2 PDT", "STATION NO. {code} 35.908N,  120.458W  SMA-1", *[""] * 19]
+    text = ["CORRECTED ACCELEROGRAM", "UNCORRECTED ACCELEROGRAM DATA   PROCESSED: 6/06/83, CE", "X", "MAY 2, 1983 16:42 PDT", "TRIGGER TIME: 05/02/83, 16:42:48.2 PDT", "STATION NO. {code} 35.908N, 120.458W  SMA-1", *[""] * 19]
     rows = lambda v, n, per, form: ["".join(format(v.get(i, 0), form) for i in range(j, j + per)) for j in range(0, n * per, per)]
     return "\n".join([*text, *rows(whole, 7, 16, "5d"), *rows(real, 13, 8, "10.3f"), "   64 POINTS OF ACCEL DATA EQUALLY SPACED AT  .020 SEC.  (UNITS: CM/SEC/SEC)"])
 
