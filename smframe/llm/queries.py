@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smframe.llm import bpe, fingerprints, lattice, line_dedup, mixing, ngram_join, quality, secrets, sharding, token_counts
+from smframe.llm import bpe, filter_audit, fingerprints, lattice, line_dedup, mixing, ngram_join, quality, secrets, sharding, token_counts
 from smframe.llm.common import table
 
 
@@ -57,7 +57,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_token_counts": op7_token_counts, "op8_embeddings": op8_embeddings, "op9_fingerprints": op9_fingerprints, "op10_bpe": op10_bpe, "pipeline": pipeline}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_token_counts": op7_token_counts, "op8_embeddings": op8_embeddings, "op9_fingerprints": op9_fingerprints, "op10_bpe": op10_bpe, "op12_filter_audit": op12_filter_audit, "pipeline": pipeline}
 
 ORACLE = {
     "op4_mixing": """
@@ -72,4 +76,29 @@ ORACLE = {
               FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.s AND c.cdf < u.u GROUP BY ALL)
         SELECT doc_id, text, lang, source, n_chars, unnest(range(0, copies))::INTEGER AS copy, copies FROM m WHERE copies > 0
     """,
+    "op12_filter_audit": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS lowest FROM d),
+        l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     (len(ws) < 100)::INTEGER + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INTEGER
+                     + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::INTEGER
+                     + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * coalesce(w.doc_id > lowest, false)::INTEGER AS mask
+              FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM f GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        p AS (SELECT '' AS o, 0 AS m UNION ALL SELECT o || f, m + bit FROM p, x WHERE m & bit = 0),
+        s AS (SELECT p.o AS filter_order, k.k AS step, bit,
+                     (SELECT coalesce(sum(b.bit), 0) FROM x b WHERE position(b.f IN p.o) < k.k)::INTEGER AS before
+              FROM p, (SELECT unnest(range(1, 6)) AS k) k, x WHERE length(p.o) = 5 AND x.f = p.o[k.k])
+        SELECT part, filter_order, step::INTEGER AS step,
+               coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+               coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+               coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+               coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+               coalesce(sum(g) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+               coalesce(sum(t) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost,
+               coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit > 0), 0)::BIGINT AS shapley
+        FROM n, s GROUP BY part, filter_order, step, before, bit
+    """,
 }
