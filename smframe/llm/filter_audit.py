@@ -75,9 +75,9 @@ def _on(*columns: str) -> Column:
 
 def counts_by_part(failed: DataFrame) -> DataFrame:
     """One row for each part: 32 conditional counts n0..n31 by mask, and g0.., t0.. of those among them that are good and toxic."""
-    masks = range(1 << len(FILTERS))
-    count = lambda m, also=None: F.sum(F.when((F.col("mask") == m) & also if also is not None else F.col("mask") == m, F.col("n")).otherwise(F.lit(0)))
-    return failed.groupBy("part").agg(*(count(m).alias(f"n{m}") for m in masks), *(count(m, F.col("good")).alias(f"g{m}") for m in masks), *(count(m, F.col("toxic")).alias(f"t{m}") for m in masks))
+    kinds = {"n": "true", "g": "good", "t": "toxic"}
+    counts = (f"sum(if(mask = {m} and {only}, n, 0L)) as {x}{m}" for x, only in kinds.items() for m in range(1 << len(FILTERS)))
+    return failed.groupBy("part").agg(*map(F.expr, counts))
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     per = stored(counts_by_part(failed))
     discard(*failed.needs)
     masks = range(1 << len(FILTERS))
-    arrays = [F.array(*(F.struct(F.lit(m).alias("m"), F.col(f"{x}{m}").alias("v")) for m in masks)).alias(x) for x in "ngt"]
+    arrays = (F.expr(f"array({', '.join(f'named_struct("m", {m}, "v", {x}{m})' for m in masks)})").alias(x) for x in "ngt")
     r = per.select("part", *arrays, F.explode(F.lit(ORDERS)).alias("filter_order"))
     r = r.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))).alias("step"))
     bit = lambda k: F.call_function("shiftleft", F.lit(1), F.ascii(F.substring("filter_order", k, F.lit(1))) - ord(FILTERS[0]))
