@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smframe.llm import bpe, conversation_repair, filter_audit, fingerprints, lattice, line_dedup, mixing, ngram_join, quality, secrets, sharding, token_counts
+from smframe.llm import bpe, conversation_repair, filter_audit, fingerprints, language_id, lattice, line_dedup, mixing, ngram_join, quality, secrets, sharding, token_counts
 from smframe.llm.common import table
 
 
@@ -57,6 +57,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs, public_tokenizers.path(language_id.VOCABULARY)))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,7 +70,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_token_counts": op7_token_counts, "op8_embeddings": op8_embeddings, "op9_fingerprints": op9_fingerprints, "op10_bpe": op10_bpe, "op12_filter_audit": op12_filter_audit, "op13_conversation_repair": op13_conversation_repair, "pipeline": pipeline}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality": op2_quality, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_token_counts": op7_token_counts, "op8_embeddings": op8_embeddings, "op9_fingerprints": op9_fingerprints, "op10_bpe": op10_bpe, "op11_language_id": op11_language_id, "op12_filter_audit": op12_filter_audit, "op13_conversation_repair": op13_conversation_repair, "pipeline": pipeline}
 
 ORACLE = {
     "op4_mixing": """
