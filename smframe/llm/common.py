@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def packed(df: DataFrame) -> Column:
+    """A whole row of df as one value: no name that an operator gives meets a caller's."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage is cut, and later scans prune its columns."""
     spark = df.sparkSession
