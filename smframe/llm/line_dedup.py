@@ -11,7 +11,7 @@ times the CPU (README). All else is DataFrame functions.
 
 Lines are what newlines part; blank lines always stay. Equal lines are one, by a 64-bit hash. Null and empty texts
 pass unchanged. Rows that are equal in doc_id and text are one document. A null doc_id comes first. An empty table
-gives no rows. Extra columns are carried.
+gives no rows. Extra columns are carried, whatever their names, but for n_lines and n_removed, whose place the counts take.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from smframe.llm.common import components, discard, stored
+from smframe.functions.arrays import let
+from smframe.llm.common import components, discard, packed, stored
 from smframe.llm.links import links
 
 LONG = 5
@@ -104,7 +105,8 @@ def row_key(df: DataFrame) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, rk, pos, cid and the text of every line that isn't blank."""
-    rows = docs.select("doc_id", row_key(docs).alias("rk"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    keyed = docs.select("doc_id", row_key(docs).alias("rk"), "text")  # before the explode, else each line would hash its text anew
+    rows = keyed.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rows.where(F.col("line").rlike(r"\S")).withColumn("cid", F.xxhash64("line"))
 
 
@@ -153,12 +155,20 @@ def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     at = stored(at)
     first = stored(at.groupBy("c").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "f"))
     gone = at.join(first, "c").where(~F.struct("doc_id", "rk", "pos").eqNullSafe(F.col("f")))
-    gone = stored(gone.groupBy("rk", "doc_id").agg(F.collect_set("pos").alias("_gone")).select(F.col("rk").alias("_rk"), F.col("doc_id").alias("_doc"), "_gone"))
+    gone = gone.groupBy(F.col("rk").alias("_rk"), F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("p"))
+    gone = stored(gone.select("_rk", "_doc", marks(F.col("p")).alias("_gone"), F.size("p").alias("_n")))
     discard(found, at, first)
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    d = docs.withColumn("_k", row_key(docs))
-    d = d.join(gone, (F.col("_k") == F.col("_rk")) & d["doc_id"].eqNullSafe(F.col("_doc")), "left")
-    parts = F.split("text", "\n", -1)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda s, i: ~F.array_contains("_gone", i)), "\n"))
+    d = docs.select(packed(docs).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), row_key(docs).alias("_k"))
+    d = d.join(gone, (F.col("_k") == F.col("_rk")) & F.col("_id").eqNullSafe(F.col("_doc")), "left")
+    parts = F.split("_text", "\n", -1)
+    left = let(F.col("_gone"), lambda g: F.array_join(F.filter(parts, lambda s, i: F.substring(g, i + 1, F.lit(1)) != F.lit(b"1")), "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(left)
     count = F.coalesce(F.size(F.filter(parts, lambda s: s.rlike(r"\S"))), F.lit(0))
-    return d.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep), count.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    keep = (text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed"))
+    return d.select(*keep, count.cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))
+
+
+def marks(positions: Column) -> Column:
+    """One byte for each position up to the last: 1 for those of the array, else 0. A byte is found at once, an array is searched."""
+    run = lambda p, i, a: F.concat(F.repeat(F.lit("0"), p - F.when(i == 0, F.lit(-1)).otherwise(F.get(a, i - 1)) - 1), F.lit("1"))
+    return let(F.sort_array(positions), lambda a: F.array_join(F.transform(a, lambda p, i: run(p, i, a)), "")).cast("binary")
