@@ -10,8 +10,8 @@ too. A set emits signatures for its own class and for those that a smaller partn
 Equal sets are one, by their digest. Pairs that share a signature are verified exactly on whole sets, as module links says.
 
 Null and empty texts have an empty set and are linked with nothing. Fewer words than a shingle's give the whole
-sequence as one. Rows of one doc_id are one document; where their texts differ, the text of least hash stands for
-it in links, and each row is reported with its own size. A null doc_id is reported with its own size and no links.
+sequence as one. Rows of one doc_id are one document with the links of all its texts, each reported with its own size; doc_ids
+are below 2 ** 62. A null doc_id is reported with its own size and no links.
 Other columns are not read; an empty table gives no rows.
 """
 
@@ -131,18 +131,33 @@ def with_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("x"), text.alias("text"))
 
 
+def further(t: DataFrame) -> DataFrame:
+    """(id, x, own) of the texts of an id but for the one of least hash: own is an id for that text alone, beyond all doc_ids in use."""
+    first = t.where("n > 0 and id is not null").groupBy("id").agg(F.min("x").alias("first"), F.max("x").alias("last")).where("first < last")
+    rest = t.where("n > 0").join(first, "id").where("x <> first").select("id", "x").distinct()
+    return stored(rest.select("id", "x", (F.pmod(F.xxhash64(F.lit("text"), "id", "x"), F.lit(1 << 61)) + F.lit(1 << 62)).alias("own")))
+
+
+def named_apart(t: DataFrame, other: DataFrame) -> DataFrame:
+    """t with the further texts of an id under ids of their own."""
+    return t.join(other, ["id", "x"], "left").withColumn("id", F.coalesce("own", "id")).select(t.columns)
+
+
 def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024, most: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     words: a shingle's length; percent: the least 100 * intersection / union; block: rows that a signature's other rows
     pass in one group; most: partners of one document that are verified in one group, on average.
     """
-    t = stored(sets(docs, words, percent))
+    raw = stored(sets(docs, words, percent))
+    slim = raw.select("id", "n")
+    other = further(raw)
+    t = named_apart(raw, other)
     one = t.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("x", "n", "d1", "d2")).alias("v")).select("id", "v.*")
     rep = one.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     rep = stored(rep)  # so that a set with very many copies can be split in the join
     named = stored(one.join(rep, ["d1", "d2", "n"]).select("id", "x", "n", "rep"))
-    slim = stored(t.select("id", "n"))
+    slim = stored(slim)
     # a task gives a set's signatures under any one id that has it, so an id stands for the sets of all its rows
     to = stored(t.where("n > 0 and id is not null").select("id", "n", "d1", "d2").join(rep, ["d1", "d2", "n"]).select("id", "rep").distinct())
     w = Window.partitionBy("s")
@@ -152,12 +167,12 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024,
     side = named.where("id = rep").join(seats.select(F.col("a").alias("id")).distinct(), "id").join(t.select("id", "x", "counts"), ["id", "x"])
     side = stored(side.select("id", "x", "n", "counts").dropDuplicates(["id"]))
     # the table of texts outgrows any broadcast, and so does the list of ids: both are sorted, whatever the input's size
-    texts = stored(with_text(docs).join(side.select("id", "x").hint("merge"), ["id", "x"]).select("id", "text").dropDuplicates(["id"]))
+    texts = stored(named_apart(with_text(docs), other).join(side.select("id", "x").hint("merge"), ["id", "x"]).select("id", "text").dropDuplicates(["id"]))
     slight = side.drop("x")
     pairs = possible(seats.where("a <> b").select("a", "b").distinct(), slight, percent)
     linked = links(seats, pairs, slight, texts, lambda lines: (shingles(x or "", words) for x in lines), percent, block, most)
-    found = components(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).union(linked))
-    discard(t, rep, named, to, seats, side, texts, linked)
+    found = components(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).union(linked).union(other.select("id", "own")))
+    discard(raw, other, rep, named, to, seats, side, texts, linked)
     out = slim.join(found, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -47,6 +47,8 @@ def test_forward_and_expected_counts_equal_all_segmentations():
         for way in ways:
             np.add.at(want, way, math.exp(sum(log_p[i, 0] for i in way)) / p[0])
         assert np.allclose(uses[k], want)
+    model = li.Model(["x", "y", "z"], np.zeros(3), log_p, li.Trie.of(vocabulary))
+    assert np.allclose(li.Scorer(model)._short(words), got)
 
 
 def test_very_long_words_and_runs_of_words_do_not_change_scores():

@@ -130,3 +130,11 @@ def test_all_pairs_of_the_smallest_table(spark):
     gone, due = n - sum(len(kept(r.text)) for r in got.values()), n - sum(len(kept(t)) for t in want.values())
     assert due > 20 and 0.97 * due <= gone <= due
     assert all(set(kept(want[i])) <= set(kept(r.text)) for i, r in got.items()) and got[docs[0][0]].source is not None
+
+
+def test_callers_columns_keep_their_values_and_long_texts_are_linear(spark):
+    rows = [(1, "\n".join(["the same line of text"] * 30_000 + ["another"]), *range(5, 12)), (2, "another", *range(5, 12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k int, _gone int, _doc int, _rk int, _row int, `a.b` int, c int")
+    got = {r.doc_id: r for r in ld.dedup(df).collect()}
+    assert got[1].text == "the same line of text\nanother" and got[1].n_removed == 29_999 and got[2].text == ""
+    assert all(tuple(r)[2:9] == tuple(range(5, 12)) for r in got.values())

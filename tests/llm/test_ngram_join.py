@@ -100,7 +100,23 @@ def test_repeated_and_null_ids(spark):
     got = nj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and sorted(r.n_shingles for r in got) == [0, 0, 38, 38, 38, 88, 88, 88]
     assert all(r.component_id is None for r in got if r.doc_id is None)
-    assert sorted({r.doc_id for r in got if r.component_id == 1} - {1}) in ([2], [3])  # the text of least hash stands for document 1
+    assert {r.doc_id for r in got if r.component_id == 1} == {1, 2, 3}  # the links of both its texts
+
+
+def test_links_of_all_texts_of_an_id(spark):
+    """Random documents of several texts each, against union-find over all pairs of texts."""
+    docs = [t for t in corpus(11) if t]
+    r = random.Random(2)
+    rows = [(r.randrange(len(docs) // 2), t) for t in docs]
+    got = {x.doc_id: x.component_id for x in nj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 80).collect()}
+    parts = brute([t for _, t in rows], 3, 80)
+    root = {i: i for i, _ in rows}
+    find = lambda k: k if root[k] == k else find(root[k])
+    by: dict[int, int] = {}
+    for (i, _), (_, c) in zip(rows, parts):
+        a, b = find(i), find(by.setdefault(c, i))
+        root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in root}
 
 
 def test_few_empty_cells_are_left_out():
