@@ -50,6 +50,13 @@ class Trie:
     keys: np.ndarray
     to: np.ndarray
     ends: np.ndarray
+    slots: np.ndarray  #: of each hash the edge that has it, or -1; where several do, -2, and the keys are searched
+
+    BITS = 20
+
+    @staticmethod
+    def hashed(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - Trie.BITS)).astype(np.int64)
 
     @staticmethod
     def of(words: list[str]) -> Trie:
@@ -63,13 +70,18 @@ class Trie:
                     ends.append(-1)
             ends[node] = k
         keys = np.array(sorted(edges), np.int64)
-        return Trie(keys, np.array([edges[k] for k in keys.tolist()], np.int64), np.array(ends, np.int64))
+        slots, h = np.full(1 << Trie.BITS, -1, np.int64), Trie.hashed(keys)
+        slots[h] = np.arange(len(keys))
+        slots[np.flatnonzero(np.bincount(h, minlength=len(slots)) > 1)] = -2
+        return Trie(keys, np.array([edges[k] for k in keys.tolist()], np.int64), np.array(ends, np.int64), slots)
 
     def step(self, node: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The nodes that characters lead to; -1 where there is none."""
         key = node << 21 | c
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], -1)
+        at = self.slots[Trie.hashed(key)]
+        several = np.flatnonzero(at == -2)
+        at[several] = np.minimum(np.searchsorted(self.keys, key[several]), len(self.keys) - 1)
+        return np.where((at >= 0) & (self.keys[at] == key), self.to[at], -1)
 
 
 class Lattice:
@@ -216,10 +228,25 @@ def expected_counts(words: DataFrame, trie: Trie, log_p: np.ndarray) -> DataFram
 
 
 class Scorer:
-    """Log probabilities of texts; remembers up to `remembered` short words."""
+    """Log probabilities of texts; remembers up to `remembered` words.
+
+    Words of up to SHORT characters take the forward pass in plain numbers, scaled by SCALE for each character, which
+    keeps them within the range of doubles; longer ones take it in logarithms.
+    """
+
+    SHORT, SCALE = 40, float(np.log(1000.0))
 
-    def __init__(self, model: Model, remembered: int = 150_000):
+    def __init__(self, model: Model, remembered: int = 300_000):
         self.model, self.remembered = model, remembered
+        lengths = np.zeros(len(model.log_p))
+        lengths[-1] = 1
+        # a piece's length is its depth in the trie; keys lead from lower to higher nodes
+        depth = np.zeros(len(model.trie.ends), np.int64)
+        for parent, to in sorted(zip((model.trie.keys >> 21).tolist(), model.trie.to.tolist()), key=lambda e: e[1]):
+            depth[to] = depth[parent] + 1
+        last = np.flatnonzero(model.trie.ends >= 0)
+        lengths[model.trie.ends[last]] = depth[last]
+        self.scaled = np.exp(model.log_p + self.SCALE * lengths[:, None])
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)))
 
@@ -230,9 +257,41 @@ class Scorer:
         parts = []
         for run in runs(new):
             self.known.update(zip(run, range(len(self.known), len(self.known) + len(run))))
-            parts.append(Lattice(self.model.trie, run, len(self.model.log_p) - 1).scores(self.model.log_p))
+            short = len(run[-1]) < self.SHORT
+            parts.append(self._short(run) if short else Lattice(self.model.trie, run, len(self.model.log_p) - 1).scores(self.model.log_p))
         self.rows = np.concatenate([self.rows, *parts])
 
+    def _short(self, words: list[str]) -> np.ndarray:
+        """The logarithm of each word's probability, all words a character at a time: what begins at one place lies together."""
+        marked = [MARK + w for w in words]
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        turns, n = int(size.max()), len(words)
+        padded = "".join([w.ljust(turns, "\0") for w in marked]).encode("utf-32-le", "surrogatepass")
+        chars = np.ascontiguousarray(np.frombuffer(padded, np.uint32).reshape(n, turns).T).astype(np.int64).ravel()
+        at = np.flatnonzero((np.arange(turns)[:, None] < size[None, :]).ravel())
+        left = size[at % n] - at // n
+        node, length, matches = np.zeros(len(at), np.int64), 0, []
+        while len(at):
+            node = self.model.trie.step(node, chars[at + length * n])
+            length += 1
+            piece = np.where(node >= 0, self.model.trie.ends[node], -1)
+            if length == 1:
+                piece = np.where(piece < 0, len(self.model.log_p) - 1, piece)
+            hit = np.flatnonzero(piece >= 0)
+            src = at[hit]
+            matches.append((length, src, piece[hit], np.searchsorted(src, np.arange(turns + 1) * n).tolist()))
+            more = (node >= 0) & (left > length)
+            at, node, left = at[more], node[more], left[more]
+        out = np.zeros(((turns + 1) * n, len(self.model.languages)))
+        out[:n] = 1.0
+        for t in range(1, turns + 1):
+            for length, src, piece, cuts in matches[:t]:
+                i, j = cuts[t - length], cuts[t - length + 1]
+                if i < j:
+                    s = src[i:j]
+                    out[s + length * n] += out[s] * self.scaled[piece[i:j]]
+        return np.log(out[size * n + np.arange(n)]) - self.SCALE * size[:, None]
+
     def score(self, text: str) -> np.ndarray:
         words, out = text.split(), np.zeros(len(self.model.languages))
         for k in range(0, len(words), 100_000):
