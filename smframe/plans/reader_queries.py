@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from smframe.plans.relational_queries import r6
-from smframe.sources import records
+from smframe.sources import miniseed, records
 from smframe.sources.adapters import SQL, traces
 
 QUERIES: dict = {}
@@ -96,3 +96,16 @@ def read_formats(spark, sf):
 
 
 QUERIES["read_formats"] = read_formats
+
+
+def miniseed_round_trip(spark, sf):
+    """Each trace's counts written as records of Steim-2 and read back: what is joined, and that it is whole."""
+    t = traces(spark, sf).select("network", F.substring("station", 2, 5).alias("station"), "location", "channel", (F.col("trace_id") * 1_000_000).alias("start_us"), F.lit(100.0).alias("sampling_rate"), F.transform("x", lambda v: F.round(v * 10_000).cast("double")).alias("x"))
+    d = miniseed.traces(miniseed.records_of(miniseed.written(t, length=256)))
+    return d.select("station", "channel", "start_us", "sampling_rate", "npts", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max("x").alias("most"), F.element_at("x", -1).alias("last"), "integers")
+
+
+QUERIES["miniseed_round_trip"] = miniseed_round_trip
+ORACLE["miniseed_round_trip"] = "WITH " + SQL + """
+  SELECT substr(station, 2) AS station, channel, trace_id * 1000000 AS start_us, 100.0::DOUBLE AS sampling_rate, npts::INTEGER AS npts, list_sum(list_transform(x, lambda v: round(v * 10000))) AS total,
+    list_max(list_transform(x, lambda v: round(v * 10000))) AS most, round(x[-1] * 10000) AS last, true AS integers FROM tr"""
