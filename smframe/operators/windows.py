@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from smframe.functions import physics
 from smframe.operators.filters import butterworth_td
+from smframe.operators.pickers import ar_picks, baer_pick, power_pick
 from smframe.operators.relational import failed
 from smframe.operators.waveform import amplitude, konno_ohmachi, measured, samples_of
 
@@ -68,7 +69,7 @@ def onset_pick(x: np.ndarray, dt: float) -> float | None:
     return None if k is None else k * dt
 
 
-PICKERS = {"kalkan": kalkan_pick, "onset": onset_pick}
+PICKERS = {"kalkan": kalkan_pick, "onset": onset_pick, "power": power_pick, "baer": baer_pick}
 
 
 def snr_db(x: np.ndarray, dt: float, pick: float) -> float | None:
@@ -82,12 +83,12 @@ def signal_split(traces: DataFrame, keys: list[str], methods: list[str] = ("trav
     """traces with `split`, the same for all of a record: where noise ends.
 
     Column arrival holds the travel-time pick. The other methods pick within `window` of it, the record's pick being the
-    earliest of its traces; median, mean, or the pick of largest mean signal-to-noise ratio combines them, ignoring missing
+    earliest of its traces; ar picks whole records of three components (column channel), once for all of their traces; median, mean, or the pick of largest mean signal-to-noise ratio combines them, ignoring missing
     ones. The result, shifted, is never before the start; without any pick it is the start.
     """
     if combine not in ("median", "mean", "max_snr"):
         raise ValueError(f"unknown way to combine picks: {combine}")
-    if unknown := {*methods} - {"travel_time", *PICKERS}:
+    if unknown := {*methods} - {"travel_time", "ar", *PICKERS}:
         raise ValueError(f"unknown pickers: {sorted(unknown)}")
     if no_noise:
         return traces.withColumn("split", F.lit(0.0))
@@ -97,6 +98,7 @@ def signal_split(traces: DataFrame, keys: list[str], methods: list[str] = ("trav
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in extra]
+            ar = b.column("ar_p").to_pylist() if "ar" in methods else [None] * b.num_rows
             for i, (rate, arrival) in enumerate(zip(b.column("sampling_rate").to_pylist(), b.column("arrival").to_pylist())):
                 x = samples_of(b.column("x"), i)
                 ok = x is not None and len(x) and rate
@@ -105,6 +107,8 @@ def signal_split(traces: DataFrame, keys: list[str], methods: list[str] = ("trav
                 for k, m in enumerate(methods):
                     if m == "travel_time":
                         p = arrival if ok and arrival is not None and arrival >= 0 else None
+                    elif m == "ar":
+                        p = ar[i] if ok else None
                     else:
                         p = PICKERS[m](part, 1 / rate) if ok and len(part) else None
                         p = None if p is None else p + first / rate
@@ -113,9 +117,11 @@ def signal_split(traces: DataFrame, keys: list[str], methods: list[str] = ("trav
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.float64()) for c in out)], [*b.schema.names, *extra])
 
     d = traces
+    if "ar" in methods:
+        d = d.join(ar_picks(traces, keys).drop("ar_s"), keys, "left")
     if names or combine == "max_snr":
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in traces.schema] + [f"{c} double" for c in extra])
-        d = traces.mapInArrow(run, schema)
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema] + [f"{c} double" for c in extra])
+        d = d.mapInArrow(run, schema)
     else:
         d = traces.withColumn("_pick_travel_time", F.when(F.col("arrival") >= 0, F.col("arrival"))).withColumn("_snr_travel_time", F.lit(None).cast("double"))
     w = Window.partitionBy(*keys)
@@ -129,7 +135,7 @@ def signal_split(traces: DataFrame, keys: list[str], methods: list[str] = ("trav
         best = F.aggregate(at, F.lit(0.0), lambda s, v: s + v) / n
     else:
         best = F.array_max("_p")["at"]
-    return d.withColumn("split", F.greatest(F.coalesce(F.when(n > 0, best), F.lit(0.0)) + F.lit(float(shift)), F.lit(0.0))).drop("_p", *extra)
+    return d.withColumn("split", F.greatest(F.coalesce(F.when(n > 0, best), F.lit(0.0)) + F.lit(float(shift)), F.lit(0.0))).drop("_p", "ar_p", *extra)
 
 
 def length(rate: Column | None = None) -> Column:

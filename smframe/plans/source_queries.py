@@ -1,4 +1,4 @@
-"""Queries over source spectra."""
+"""Queries over source spectra and onsets."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from smframe.functions import physics as p
-from smframe.operators import source
+from smframe.operators import source, windows
 from smframe.plans.relational_queries import r6
-from smframe.sources.adapters import SQL, stations
+from smframe.sources.adapters import SQL, stations, traces
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,26 @@ ORACLE["fit_spectra"] = "WITH RECURSIVE " + SQL + f""",
   SELECT station, round(m, 6) AS ln_moment, round(t, 6) AS ln_stress, round(sqrt(s2 * c / (a * c - b * b)), 6) AS moment_lnsd, round(sqrt(s2 * a / (a * c - b * b)), 6) AS stress_lnsd,
     round(2.0::DOUBLE / 3 * (m / ln(10.0::DOUBLE) - 16.05::DOUBLE), 6) AS magnitude, round(ln(fc), 6) AS ln_f0, round(r2, 6) AS r2, true AS minimize_success
   FROM e JOIN n USING (station) JOIN o USING (station)"""
+
+
+PLANTED = 25.6
+
+
+def long_records(spark, sf):
+    """Each trace's samples, 40 times over at a fiftieth of their size and then 40 times as they are: an onset after 25.6 s."""
+    tiles = lambda share: F.flatten(F.array_repeat(F.transform("x", lambda v: v * share), 40))
+    return traces(spark, sf).select("record_id", "channel", F.lit(100.0).alias("sampling_rate"), F.lit(None).cast("double").alias("arrival"), F.concat(tiles(0.02), tiles(1.0)).alias("x"))
+
+
+def onset_picks(spark, sf):
+    """Of each record, whether each picker is within a quarter of a second of the planted onset; ar needs all three channels."""
+    out = None
+    for method in ("ar", "baer", "power"):
+        d = windows.signal_split(long_records(spark, sf), ["record_id"], [method]).groupBy("record_id").agg(F.min("split").alias(method))
+        out = d if out is None else out.join(d, "record_id")
+    near = lambda c: (F.abs(F.col(c) - PLANTED) <= 0.25).alias(c)
+    return out.select("record_id", *map(near, ("ar", "baer", "power")))
+
+
+QUERIES["onset_picks"] = onset_picks
+ORACLE["onset_picks"] = "WITH " + SQL + "SELECT record_id, count(*) = 3 AS ar, true AS baer, true AS power FROM tr GROUP BY record_id"
