@@ -203,8 +203,8 @@ def hann_taper(x: np.ndarray, width: float = TAPER) -> np.ndarray:
     return x * w
 
 
-def snr_of(x: np.ndarray, dt: float, split: float, shaking: float, b: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray] | str:
-    """(frequencies, ratios, the event's smoothed spectrum), or why there are none. Noise is scaled by the square root of its duration, the signal is the event less it."""
+def snr_of(x: np.ndarray, dt: float, split: float, shaking: float, b: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | str:
+    """(frequencies, ratios, and the smoothed spectra of signal and of noise over the event), or why there are none. Noise is scaled by the square root of its duration, the signal is the event less it."""
     k = int(round(split / dt))
     noise, event = x[: k + 1], x[k:]
     event = event[: int(round(min(shaking, (len(event) - 1) * dt) / dt)) + 1]
@@ -227,15 +227,15 @@ def snr_of(x: np.ndarray, dt: float, split: float, shaking: float, b: float = 20
     before, during = (len(noise) - 1) * dt, (len(event) - 1) * dt
     expected = noise_s * np.sqrt(during / before)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return at, ((event_s - expected) / np.sqrt(during)) / (expected / np.sqrt(before)), event_s
+        return at, ((event_s - expected) / np.sqrt(during)) / (expected / np.sqrt(before)), event_s - expected, expected
 
 
 def compute_snr(d: DataFrame, b: float = 20.0) -> DataFrame:
-    """d with snr_freq, snr and signal_spectrum (NaN where the trace is too short for the frequency), and failures where a window has too few points.
+    """d with snr_freq, snr, signal_spectrum and noise_spectrum (NaN where the trace is too short for the frequency), and failures where a window has too few points.
 
     Needs split and magnitude; traces without a split get nulls.
     """
-    names = ["snr_freq", "snr", "signal_spectrum", "_why"]
+    names = ["snr_freq", "snr", "signal_spectrum", "noise_spectrum", "_why"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,14 +243,14 @@ def compute_snr(d: DataFrame, b: float = 20.0) -> DataFrame:
             for i, (rate, split, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("sampling_rate", "split", "magnitude")))):
                 x = samples_of(batch.column("x"), i)
                 if x is None or not len(x) or not rate or split is None or m is None:
-                    rows.append((None, None, None, None))
+                    rows.append((None,) * 5)
                     continue
                 got = snr_of(x, 1 / rate, split, 30 * m - 30, b)
-                rows.append((None, None, None, got) if isinstance(got, str) else (*got, None))
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((*[pa.list_(pa.float64())] * 3, pa.string()))]
+                rows.append((None, None, None, None, got) if isinstance(got, str) else (*got, None))
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((*[pa.list_(pa.float64())] * 4, pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema] + ["snr_freq array<double>", "snr array<double>", "signal_spectrum array<double>", "_why string"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema] + ["snr_freq array<double>", "snr array<double>", "signal_spectrum array<double>", "noise_spectrum array<double>", "_why string"])
     out = d.mapInArrow(run, schema)
     return failed(out, "compute_snr", F.col("_why"), F.col("_why").isNotNull()).drop("_why")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from smframe.functions import arrays, physics
-from smframe.operators import clipping, corners, filters, source, windows
+from smframe.operators import clipping, corners, filters, record_quality, source, windows
 from smframe.operators import relational as r
 from smframe.operators import waveform as w
 
@@ -422,6 +422,12 @@ def prism_adaptive_baseline(d: DataFrame, n_iter: int = 100, lead_vel_threshold:
     return in_place(d, kernel, ("split", "highpass"))
 
 
+@step
+def nnet_qa(d: DataFrame, weights: dict, acceptance_threshold: float = 0.5, model_name: str = "CantWell", keys=("record_id",)) -> DataFrame:
+    """Needs what compute_snr gives, split and channel."""
+    return record_quality.nnet_qa(d, weights, acceptance_threshold, model_name, [*keys])
+
+
 @step
 def fit_spectra(d: DataFrame, kappa: float = 0.035, moment_factor: float = 100.0, min_stress: float = 0.1, max_stress: float = 10_000.0) -> DataFrame:
     """A Brune spectrum's moment and stress drop, from the signal's smoothed spectrum within the corners; failed traces get none."""
