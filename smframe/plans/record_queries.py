@@ -272,7 +272,7 @@ def shallow_catalog(spark, sf):
     return catalogs.shallow(quakes(spark, sf).withColumnRenamed("depth", "depth_km")).select("event", F.col("depth_km").alias("depth"))
 
 
-@query(""", t AS (SELECT p_partkey AS trace, p_size % 10 AS station, ['HN1','HN2','HNN','HNE','HNZ','HHZ'][(p_partkey % 6 + 1)::INT] AS channel, 34 + (p_size % 7) * 0.003::DOUBLE AS lat, (p_partkey % 5) AS npts FROM part WHERE p_partkey <= 100000),
+@query(""", t AS (SELECT p_partkey AS trace, p_size % 10 AS station, ['HN1','HN2','HNN','HNE','HNZ','HHZ'][(p_partkey % 6 + 1)::INT] AS channel, 34 + (p_size % 7) * 0.003::DOUBLE AS lat, (p_partkey % 5) AS npts FROM part),
   k AS (SELECT *, substr(channel, 1, 2) AS inst, CASE substr(channel, 3, 1) WHEN '1' THEN 'N' WHEN 'N' THEN 'N' WHEN '2' THEN 'E' WHEN 'E' THEN 'E' ELSE 'Z' END AS way, floor((lat - 34) * 111.19492664455873 / 0.5)::BIGINT AS cell FROM t)
   SELECT station, inst, way, cell, count(*)::BIGINT AS n, min_by(trace, [-npts, trace]) AS kept FROM k GROUP BY ALL""")
 def oriented_duplicates(spark, sf):

@@ -1,4 +1,4 @@
-"""Queries over finite ruptures: a rectangle for each event of the catalog, and the stations near it."""
+"""Queries by true distance: stations near finite ruptures, and duplicate traces."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from smframe.operators import rupture
+from smframe.operators import duplicates, rupture
 from smframe.plans.relational_queries import r6
-from smframe.sources.adapters import SQL, quakes, stations
+from smframe.sources import names
+from smframe.sources.adapters import SQL, quakes, stations, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +60,24 @@ ORACLE["rupture_distances"] = "WITH " + SQL + f""",
   f AS (SELECT event, station, flat, CASE WHEN den > 1e-9 * bb * cc AND v >= 0 AND w >= 0 AND v + w <= den THEN least(edge, pp - 2 * v / den * pb - 2 * w / den * pc + v / den * v / den * bb + 2 * v / den * w / den * bc + w / den * w / den * cc) ELSE edge END AS sq FROM e),
   g AS (SELECT event, station, sqrt(greatest(min(sq) FILTER (flat = 0), 0)) AS rrup, sqrt(greatest(min(sq) FILTER (flat = 1), 0)) AS rjb FROM f GROUP BY event, station)
   SELECT event, station, round(rrup, 4) AS rrup_km, round(rjb, 4) AS rjb_km FROM g WHERE rjb <= {NEAR}"""
+
+
+def duplicate_traces(spark, sf):
+    """Parts as traces that arrive in order of their keys: of each site, at places up to 400 m apart across cells, the one kept and how many went."""
+    p = F.col("p_partkey")
+    d = table(spark, sf, "part").select(
+        p.alias("n"), F.lit(1).alias("event"), (F.col("p_size") % 10).cast("string").alias("station"), F.concat(F.lit("L"), p.cast("string")).alias("location"), F.lit("NC").alias("network"),
+        F.get(F.array(*map(F.lit, ("HN1", "HN2", "HNN", "HNE", "HNZ", "HHZ"))), (p % 6).cast("int")).alias("channel"), (34 + (p % 50) * 0.1 + (p % 4) * 0.001).alias("lat"), (179.999 + (p % 3) * 0.001).alias("east"),
+        F.lit("V1").alias("process_level"), F.lit("knet").alias("source_format"), F.lit(1).alias("start"), (p * 7 % 11).cast("int").alias("npts"), (100.0 + p % 2).alias("sampling_rate"), (p % 50).alias("site"),
+    )
+    d = d.withColumn("lon", F.when(F.col("east") > 180, F.col("east") - 360).otherwise(F.col("east"))).drop("east")
+    left = duplicates.without_duplicates(d, ["event"], "n")
+    keys = ["station", "site", F.substring("channel", 1, 2).alias("inst"), names.orientation_class(F.col("channel")).alias("way")]
+    return left.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"), F.min("n").alias("n")).join(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")), ["station", "site", "inst", "way"])
+
+
+QUERIES["duplicate_traces"] = duplicate_traces
+# sites are far apart, their traces near, so the rule leaves one of each: most samples, highest rate, least location, the last that arrived
+ORACLE["duplicate_traces"] = """WITH t AS (SELECT p_partkey AS n, (p_size % 10)::VARCHAR AS station, p_partkey % 50 AS site, ['HN1','HN2','HNN','HNE','HNZ','HHZ'][(p_partkey % 6 + 1)::INT] AS channel, p_partkey * 7 % 11 AS npts, p_partkey % 2 AS rate, 'L' || p_partkey AS location FROM part),
+  k AS (SELECT *, substr(channel, 1, 2) AS inst, CASE WHEN channel[3] IN ('1', 'N') THEN 'N' WHEN channel[3] IN ('2', 'E') THEN 'E' ELSE 'Z' END AS way FROM t)
+  SELECT station, site, inst, way, 1::BIGINT AS kept, first(n ORDER BY npts DESC, rate DESC, location) AS n, count(*) AS total FROM k GROUP BY ALL"""
