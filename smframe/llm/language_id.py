@@ -251,15 +251,14 @@ class Scorer:
         self.rows = np.zeros((0, len(model.languages)))
 
     def _learn(self, words: set[str]) -> None:
-        new = [*words]
-        if len(self.known) + len(new) > self.remembered:
-            self.known, self.rows = {}, self.rows[:0]
-        parts = []
+        new, n = [*words], len(self.known)
+        if n + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:n], np.zeros((n + 2 * len(new), len(self.model.languages)))])
         for run in runs(new):
-            self.known.update(zip(run, range(len(self.known), len(self.known) + len(run))))
+            k = len(self.known)
+            self.known.update(zip(run, range(k, k + len(run))))
             short = len(run[-1]) < self.SHORT
-            parts.append(self._short(run) if short else Lattice(self.model.trie, run, len(self.model.log_p) - 1).scores(self.model.log_p))
-        self.rows = np.concatenate([self.rows, *parts])
+            self.rows[k : k + len(run)] = self._short(run) if short else Lattice(self.model.trie, run, len(self.model.log_p) - 1).scores(self.model.log_p)
 
     def _short(self, words: list[str]) -> np.ndarray:
         """The logarithm of each word's probability, all words a character at a time: what begins at one place lies together."""
@@ -292,20 +291,31 @@ class Scorer:
                     out[s + length * n] += out[s] * self.scaled[piece[i:j]]
         return np.log(out[size * n + np.arange(n)]) - self.SCALE * size[:, None]
 
-    def score(self, text: str) -> np.ndarray:
-        words, out = text.split(), np.zeros(len(self.model.languages))
-        for k in range(0, len(words), 100_000):
-            part = words[k : k + 100_000]
-            new = {w for w in part if w not in self.known}
-            if new:
-                if len(self.known) + len(new) > self.remembered:
-                    new = {*part}
-                self._learn(new)
-            out += self.rows[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))].sum(0)
-            if len(self.known) > self.remembered or sum(map(len, new)) > 1 << 22:
-                self.known, self.rows = {}, self.rows[:0]
+    def score(self, texts: list[str], block: int = 200_000) -> np.ndarray:
+        """(texts, languages): the texts' log probabilities; what is new in about a block of words is learned at once."""
+        out, held, size = np.zeros((len(texts), len(self.model.languages))), [], 0
+        for i, t in enumerate(texts):
+            words = t.split()
+            for k in range(0, len(words), block):
+                held.append((i, words[k : k + block]))
+                size += len(held[-1][1])
+                if size >= block:
+                    self._add(held, out)
+                    held, size = [], 0
+        self._add(held, out)
         return out
 
+    def _add(self, parts: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+        words = set().union(*(w for _, w in parts))
+        new = words.difference(self.known)
+        if new and len(self.known) + len(new) > self.remembered:
+            self.known, new = {}, words
+        self._learn(new)
+        for i, w in parts:
+            out[i] += self.rows[np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))].sum(0)
+        if sum(map(len, new)) > 1 << 22:  # very long words aren't kept
+            self.known = {}
+
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
@@ -315,14 +325,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            texts, letters, lang, score = b.column("text"), b.column("letters").to_pylist(), [], []
-            for i in range(b.num_rows):
-                if not scorer or not letters[i]:
-                    lang.append(UNKNOWN_LANGUAGE), score.append(0.0)
-                    continue
-                s = scorer.score(texts[i].as_py()) + model.prior
-                k = int(np.argmax(s))
-                lang.append(model.languages[k]), score.append(float(1 / np.exp(s - s[k]).sum()))
+            known = np.flatnonzero(b.column("letters").to_numpy(zero_copy_only=False)) if scorer else np.zeros(0, np.int64)
+            lang, score = [UNKNOWN_LANGUAGE] * b.num_rows, np.zeros(b.num_rows)
+            texts = b.column("text")
+            for k in range(0, len(known), 512):
+                rows = known[k : k + 512]
+                s = scorer.score([texts[i].as_py() for i in rows.tolist()]) + model.prior
+                best = s.argmax(1)
+                score[rows] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
+                for i, j in zip(rows.tolist(), best.tolist()):
+                    lang[i] = model.languages[j]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     text = F.col("text").cast("string")

@@ -58,8 +58,10 @@ def test_very_long_words_and_runs_of_words_do_not_change_scores():
     model = li.Model(["x"], np.zeros(1), log_p, li.Trie.of(vocabulary))
     text = " ".join(["the", "a" * 3000, "löwe", "日本"] * 50)
     whole, short = li.Scorer(model), li.Scorer(model, remembered=2)
-    a, b = whole.score(text), short.score(text)
-    assert np.allclose(a, b) and np.allclose(a, 50 * whole.score("the " + "a" * 3000 + " löwe 日本")) and np.isfinite(a).all()
+    a, b = whole.score([text]), short.score([text], 7)
+    assert np.allclose(a, b) and np.allclose(a, 50 * whole.score(["the " + "a" * 3000 + " löwe 日本"])) and np.isfinite(a).all()
+    many = ["", "the", text, "löwe the"]
+    assert np.allclose(whole.score(many), [whole.score([t])[0] for t in many]) and np.allclose(whole.score(many, 3), whole.score(many))
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
