@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from smframe.operators.recurrence import one_pole
 from smframe.operators.waveform import samples_of, steps_of
 
 OUT = "clip_max boolean, n_ping int, clip_ping boolean, n_std int, clip_std boolean, n_jerk int, clip_jerk boolean, n_hist int, clip_hist boolean"
@@ -69,11 +70,7 @@ def jerks(x: np.ndarray, dt: float, factor: float) -> int:
 def exponential_smoothing(y: np.ndarray, alpha: float) -> np.ndarray:
     """One-step forecasts of simple exponential smoothing; the first level is that of least squared errors."""
     keep = 1 - alpha
-    level = np.empty(len(y))
-    at = 0.0
-    for k, v in enumerate(y):
-        level[k] = at
-        at = alpha * v + keep * at
+    level = one_pole(np.concatenate(([0.0], alpha * y[:-1])), keep)
     weight = keep ** np.arange(len(y))
     return level + weight * float((weight * (y - level)).sum() / (weight * weight).sum())
 
@@ -97,10 +94,14 @@ def grows(x: np.ndarray, peaks: np.ndarray, most: float) -> bool:
 
     def reach(side: np.ndarray) -> int:
         """How many samples beside the first belong; none where the trace ends before one does not."""
-        n = np.arange(1, len(side) + 1)
-        bad = (np.abs(np.cumsum(side) / n - side) > most) | (np.abs(np.diff(side, prepend=side[0])) > most)
-        at = np.flatnonzero(bad[1:])
-        return int(at[0]) if len(at) else 0
+        for most_at in (256, len(side)):  # most end soon
+            part = side[:most_at]
+            n = np.arange(1, len(part) + 1)
+            bad = (np.abs(np.cumsum(part) / n - part) > most) | (np.abs(np.diff(part, prepend=part[0])) > most)
+            at = np.flatnonzero(bad[1:])
+            if len(at):
+                return int(at[0])
+        return 0
 
     return any(reach(size[p:0:-1]) or reach(size[p:]) for p in peaks)
 

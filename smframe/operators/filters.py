@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from smframe.operators.recurrence import second_order
 from smframe.operators.waveform import mapped
 
 
@@ -44,17 +45,8 @@ def sections(dt: float, low: float | None, high: float | None, order: int) -> li
 
 
 def run_section(x: np.ndarray, n: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """One section over a trace, from rest (transposed direct form)."""
-    n, d = np.pad(n, (0, 3 - len(n))), np.pad(d, (0, 3 - len(d)))
-    b0, b1, b2, a1, a2 = n[0], n[1], n[2], d[1], d[2]
-    s = t = 0.0
-    out = np.empty(len(x))
-    for k, v in enumerate(x.tolist()):
-        y = b0 * v + s
-        s = b1 * v - a1 * y + t
-        t = b2 * v - a2 * y
-        out[k] = y
-    return out
+    """One section over a trace, from rest."""
+    return second_order(np.asarray(x, float), n, d)
 
 
 def butterworth_td(x: np.ndarray, dt: float, low: float | None, high: float | None, order: int = 5, zero_phase: bool = False) -> np.ndarray:

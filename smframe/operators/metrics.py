@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from smframe.functions.physics import GAL_TO_PCTG
 from smframe.operators import waveform as w
+from smframe.operators.recurrence import two_states
 
 SPECTRAL = ("sa", "psa", "sv", "psv", "sd")
 SCALAR = ("pga", "pgv", "arias", "cav")
@@ -66,11 +67,10 @@ def oscillate(x: np.ndarray, dt: float, period: float, damping: float) -> tuple[
     y = np.stack([finer(r, times) for r in x])
     a11, a12, a21, a22, b11, b12, b21, b22 = w.oscillator_step(period, damping, dt / times)
     om = 2 * np.pi / period
-    d, v = np.zeros_like(y), np.zeros_like(y)
-    for k in range(1, y.shape[1]):
-        p, q = y[:, k - 1], y[:, k]
-        d[:, k] = a11 * d[:, k - 1] + a12 * v[:, k - 1] + b11 * p + b12 * q
-        v[:, k] = a21 * d[:, k - 1] + a22 * v[:, k - 1] + b21 * p + b22 * q
+    f = [np.zeros_like(y), np.zeros_like(y)]
+    for g, b0, b1 in ((f[0], b11, b12), (f[1], b21, b22)):
+        g[:, 1:] = b0 * y[:, :-1] + b1 * y[:, 1:]
+    d, v = two_states(np.array([[a11, a12], [a21, a22]]), f)
     return d, v, -(2 * damping * om * v + om * om * d)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from smframe.functions import physics
 from smframe.operators.filters import butterworth_td
 from smframe.operators.pickers import ar_picks, baer_pick, power_pick
+from smframe.operators.recurrence import two_states
 from smframe.operators.relational import failed
 from smframe.operators.waveform import amplitude, konno_ohmachi, measured, samples_of
 
@@ -46,11 +47,9 @@ def kalkan_pick(x: np.ndarray, dt: float, damping: float = 0.6, low: float = 0.1
     a11, a12, a21, a22 = e * (c + damping * w * s), e * s, -w * w * e * s, e * (c - damping * w * s)
     # the response to a load held over a step, with unit mass
     b1, b2 = (1 - a11) / (w * w), e * s
-    d = v = 0.0
-    energy = np.zeros(len(y))
-    for k, load in enumerate(y.tolist()[1:], 1):
-        d, v = a11 * d + a12 * v + b1 * load, a21 * d + a22 * v + b2 * load
-        energy[k] = 2 * damping * w * v * v
+    load = np.append(0.0, y[1:])
+    _, v = two_states(np.array([[a11, a12], [a21, a22]]), (b1 * load, b2 * load))
+    energy = 2 * damping * w * v * v
     bins = int(np.ceil(2 / dt))
     for n in (bins, (bins + 1) // 2):
         beyond = np.flatnonzero(energy > state_level(energy, n))
