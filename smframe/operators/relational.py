@@ -49,8 +49,10 @@ def dedup(traces: DataFrame, keys: list[str], rank: list[Column]) -> DataFrame:
 def select_colocated(records: DataFrame, station: list[str], preference: list[str], far_preference: list[str] | None = None, far_km: Column | None = None) -> DataFrame:
     """Fails all passed records of a station but the one whose instrument comes first in the preference.
 
-    Where far_km is given, stations beyond it use far_preference. A record alone at its station always stays.
+    Where far_km is given, stations beyond it use far_preference. A record alone at its station always stays. Records that
+    failed before, which column reason (where there is one) tells, take no part and keep their reason.
     """
+    earlier = F.col("reason") if "reason" in records.columns else F.lit(None).cast("string")
 
     def order(prefs: list[str]) -> Column:
         out = F.lit(None).cast("int")
@@ -59,12 +61,12 @@ def select_colocated(records: DataFrame, station: list[str], preference: list[st
         return out
 
     rank = order(preference) if far_preference is None else F.when(F.col("dist_km") > far_km, order(far_preference)).otherwise(order(preference))
-    w = Window.partitionBy(*station)
-    d = records.withColumn("_o", rank).withColumn("_n", F.count(F.lit(1)).over(w))
+    w = Window.partitionBy(*station, "_failed")
+    d = records.withColumn("_failed", earlier.isNotNull()).withColumn("_o", rank).withColumn("_n", F.count(F.lit(1)).over(w))
     d = d.withColumn("_best", F.first("instrument").over(w.orderBy(F.col("_o").asc_nulls_last(), "instrument").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     d = d.withColumn("_any", F.min("_o").over(w))
     reason = F.when((F.col("_n") > 1) & F.col("_any").isNull(), "no preferred instrument").when((F.col("_n") > 1) & (F.col("instrument") != F.col("_best")), F.concat(F.lit("colocated with "), F.col("_best")))
-    return d.withColumn("reason", reason).drop("_o", "_n", "_best", "_any")
+    return d.withColumn("reason", F.when(F.col("_failed"), earlier).otherwise(reason)).drop("_o", "_n", "_best", "_any", "_failed")
 
 
 def epoch_join(rows: DataFrame, epochs: DataFrame, key: str, at: str) -> DataFrame:

@@ -108,3 +108,9 @@ def test_nearest_event_reaches_over_narrow_cells(spark):
         c = spark.createDataFrame([(i, y, x, 0.0, 0.0, 5.0) for i, (_, _, y, x) in enumerate(pairs)], "event long, lat double, lon double, time_s double, depth double, magnitude double")
         got = r.nearest_event(t, c, "station", 1200.0, 60.0, 30.0, 1.0, cell)
         assert {x.station for x in got.select("station").collect()} == {*range(len(pairs))}
+
+
+def test_colocated_records_that_failed_before_take_no_part(spark):
+    d = spark.createDataFrame([("A", "HN", "noisy"), ("A", "BH", None), ("B", "HN", None), ("B", "BH", None), ("C", "XX", "late"), ("C", "YY", "late")], "station string, instrument string, reason string")
+    got = {(x.station, x.instrument): x.reason for x in r.select_colocated(d, ["station"], ["HN?", "BH?"]).collect()}
+    assert got == {("A", "HN"): "noisy", ("A", "BH"): None, ("B", "HN"): None, ("B", "BH"): "colocated with HN", ("C", "XX"): "late", ("C", "YY"): "late"}
