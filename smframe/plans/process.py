@@ -358,27 +358,41 @@ def response_of(freq: np.ndarray, poles: list[dict], zeros: list[dict]) -> np.nd
     return shape(freq) / abs(shape(np.array([1.0]))[0])
 
 
+def cosine_band(freq: np.ndarray, f1: float, f2: float, f3: float, f4: float) -> np.ndarray:
+    """1 from f2 to f3, 0 outside f1 to f4, half cosines between."""
+    up = 0.5 * (1 - np.cos(np.pi * np.clip((freq - f1) / (f2 - f1), 0, 1)))
+    return up * 0.5 * (1 + np.cos(np.pi * np.clip((freq - f3) / (f4 - f3), 0, 1)))
+
+
 @step
-def remove_response(d: DataFrame, output_as_acceleration: bool = True, custom_pre_filt: dict | None = None, water_level: float | None = 60.0) -> DataFrame:
+def remove_response(d: DataFrame, output_as_acceleration: bool = True, custom_pre_filt: dict | None = None, water_level: float | None = 60.0, sensitivity_threshold: float = 10.0,
+                    pre_filt: bool = True, f1: float = 0.001, f2: float = 0.005, f3: float | None = None, f4: float | None = None) -> DataFrame:
     """Counts to cm/s^2 (accelerometers, N) or cm/s (seismometers, H; accelerations if wished), by sensitivity and, where known, poles and zeros.
 
     Columns: channel, sensitivity (counts for m/s^2 or m/s), response_rate, poles and zeros (array<struct<re, im>>, null where
     unknown). Without them an accelerometer is divided by its sensitivity, a seismometer fails. The divisor's amplitude is at
-    least water_level decibels below its largest. custom_pre_filt: options of pre_filter.
+    least water_level decibels below its largest. custom_pre_filt: options of pre_filter; without it, and unless pre_filt is false, the spectrum
+    is held to a band of cosine flanks f1 to f2 and f3 to f4 (0.9 of half the sampling rate, and half of it).
+
+    Column stage_sensitivity (the product of the stages), where known, is held against sensitivity: where they differ by more than
+    sensitivity_threshold percent of their mean, an accelerometer is divided by its sensitivity alone, and a seismometer fails.
     """
     kind = F.substring("channel", 2, 1)
     for c, t in (("response_rate", "double"), ("poles", "array<struct<re:double,im:double>>"), ("zeros", "array<struct<re:double,im:double>>")):
         if c not in d.columns:
             d = d.withColumn(c, F.lit(None).cast(t))
     known = (F.size("poles") > 0) | (F.size("zeros") > 0)
+    stage = F.col("stage_sensitivity") if "stage_sensitivity" in d.columns else F.lit(None).cast("double")
+    differs = F.coalesce(200 * F.abs(F.col("sensitivity") - stage) > sensitivity_threshold * (F.col("sensitivity") + stage), F.lit(False))
     reason = (
         F.when(~kind.isin("N", "H"), "The instrument type is not supported.")
         .when(F.col("response_rate") != F.col("sampling_rate"), "Sample rate is not consistent between data and metadata")
         .when((kind == "H") & ~F.coalesce(known, F.lit(False)), "Instrument is a seismometer and does not have poles and zeros for response.")
         .when(F.col("sensitivity").isNull() | (F.col("sensitivity") == 0), "No sensitivity in the metadata")
+        .when((kind == "H") & differs, "Total and stage sensitivity mismatch.")
     )
     d = r.failed(d, "remove_response", reason, reason.isNotNull())
-    d = d.withColumn("_gain", 100 / F.col("sensitivity")).withColumn("_known", F.coalesce(known, F.lit(False))).withColumn("_vel", kind == "H")
+    d = d.withColumn("_gain", 100 / F.col("sensitivity")).withColumn("_known", F.coalesce(known, F.lit(False)) & ~differs).withColumn("_vel", kind == "H")
     d = d.withColumn("_p", F.coalesce("poles", F.array().cast("array<struct<re:double,im:double>>"))).withColumn("_z", F.coalesce("zeros", F.array().cast("array<struct<re:double,im:double>>")))
 
     def kernel(x: np.ndarray, dt: float, gain: float, known: bool, vel: bool, poles: list, zeros: list) -> np.ndarray:
@@ -391,6 +405,9 @@ def remove_response(d: DataFrame, output_as_acceleration: bool = True, custom_pr
             if water_level is not None:
                 floor = size.max() * 10 ** (-water_level / 20)
                 h = np.where(size < floor, np.where(size > 0, h / np.where(size > 0, size, 1.0), 1.0) * floor, h)
+            if pre_filt and not custom_pre_filt:
+                freq, nyquist = np.fft.rfftfreq(len(y), dt), 0.5 / dt
+                y = np.fft.irfft(np.fft.rfft(y) * cosine_band(freq, f1, f2, 0.9 * nyquist if f3 is None else f3, nyquist if f4 is None else f4), len(y))
             s = np.divide(np.fft.rfft(y), h, out=np.zeros(len(h), complex), where=np.abs(h) > 0)
             s[0] = 0.0
             y = np.fft.irfft(s, len(y))

@@ -103,7 +103,7 @@ def capped_corners(spark, sf):
 @query(""" SELECT trace_id, round(list_max(list_transform(x, lambda v: abs(v * 100 / (50.0 + record_id % 7)))), 6) AS pga, CASE WHEN record_id % 5 = 0 THEN 'Sample rate is not consistent between data and metadata' END AS reason FROM tr""")
 def remove_sensitivity(spark, sf):
     d = records(spark, sf).withColumn("sensitivity", 50.0 + F.col("record_id") % 7).withColumn("response_rate", F.when(F.col("record_id") % 5 == 0, 50.0).otherwise(100.0))
-    d = process.remove_response(d)
+    d = process.remove_response(d, pre_filt=False)
     scaled = F.when(F.col("failure").isNull(), F.lit(1.0)).otherwise(100 / F.col("sensitivity"))
     return d.select("trace_id", r6(arrays.max_abs(F.col("x")) * scaled).alias("pga"), F.col("failure.reason").alias("reason"))
 

@@ -142,3 +142,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     w = spark.read.parquet(f"{tmp_path}/trig").select(F.col("window.start").alias("s"), "stations", "pga").orderBy("s").collect()
     assert w[0]["stations"] == 1 and w[0]["pga"] == 4.0
+
+
+def test_sensitivities_that_differ_and_the_band_of_the_response(spark):
+    paz = [{"re": -50.0, "im": 40.0}, {"re": -50.0, "im": -40.0}]
+    x = record(100.0, 2000, 5.0)
+    rows = [("same", "HNE", 1000.0, 1040.0), ("off", "HNE", 1000.0, 1200.0), ("off", "HHE", 1000.0, 1200.0), ("unknown", "HHE", 1000.0, None)]
+    d = spark.createDataFrame([(k, c, s, g, 100.0, x, paz, []) for k, c, s, g in rows], "id string, channel string, sensitivity double, stage_sensitivity double, sampling_rate double, x array<double>, poles array<struct<re:double,im:double>>, zeros array<struct<re:double,im:double>>")
+    got = {(r["id"], r["channel"]): r for r in process.run(d, [{"remove_response": {"output_as_acceleration": False}}]).collect()}
+    assert got["off", "HHE"]["failure"]["reason"] == "Total and stage sensitivity mismatch." and got["unknown", "HHE"]["failure"] is None
+    # an accelerometer in doubt is divided by its sensitivity alone
+    assert np.allclose(got["off", "HNE"]["x"], 0.1 * np.array(x)) and not np.allclose(got["same", "HNE"]["x"], 0.1 * np.array(x))
+    band = process.cosine_band(np.array([0.0, 0.001, 0.003, 0.005, 10.0, 45.0, 47.5, 50.0]), 0.001, 0.005, 45.0, 50.0)
+    assert np.allclose(band, [0, 0, 0.5, 1, 1, 1, 0.5, 0])
+    s = np.abs(np.fft.rfft(got["same", "HNE"]["x"]))
+    assert s[-1] < 1e-6 * s.max()
