@@ -158,7 +158,7 @@ def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = gone.groupBy(F.col("rk").alias("_rk"), F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("p"))
     gone = stored(gone.select("_rk", "_doc", marks(F.col("p")).alias("_gone"), F.size("p").alias("_n")))
     discard(found, at, first)
-    d = docs.select(packed(docs).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), row_key(docs).alias("_k"))
+    d = docs.select(packed(docs.drop("text")).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), row_key(docs).alias("_k"))
     d = d.join(gone, (F.col("_k") == F.col("_rk")) & F.col("_id").eqNullSafe(F.col("_doc")), "left")
     parts = F.split("_text", "\n", -1)
     left = let(F.col("_gone"), lambda g: F.array_join(F.filter(parts, lambda s, i: F.substring(g, i + 1, F.lit(1)) != F.lit(b"1")), "\n"))
