@@ -116,9 +116,9 @@ def cosmos_round_trip(spark, sf):
     given = {"start": F.timestamp_micros(F.col("trace_id") * 1_000_000), "sampling_rate": F.lit(100.0), "lat": F.col("record_id") / 100.0, "lon": F.lit(-120.5), "elevation": F.lit(10.0), "units": F.lit("cm/s^2"), "structure": F.lit("Building"), "lowcut": F.lit(0.1), "highcut": F.lit(40.0)}
     t = traces(spark, sf).withColumns(given)
     d = records.parse(records.sniffed(cosmos_writer.written(t).where("problem is null").select(F.col("record").alias("path"), "text")))
-    return d.select("network", "station", "location", F.right("channel", F.lit(1)).alias("way"), (F.unix_micros("start") / 1_000_000).cast("long").alias("second"), "sampling_rate", r6("lat").alias("lat"), "structure", "lowcut", "highcut", F.size("x").alias("npts"), r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"), r6(F.element_at("x", -1)).alias("last"))
+    return d.select("network", "station", "location", F.right("channel", F.lit(1)).alias("way"), (F.unix_micros("start") / 1_000_000).cast("long").alias("second"), "sampling_rate", r6("lat").alias("lat"), "structure", "lowcut", "highcut", F.size("x").alias("npts"), r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("total"), r6(F.element_at("x", -1), 4).alias("last"))
 
 
 QUERIES["cosmos_round_trip"] = cosmos_round_trip
 ORACLE["cosmos_round_trip"] = "WITH " + SQL + """
-  SELECT network, station, location, channel[3] AS way, trace_id AS second, 100.0::DOUBLE AS sampling_rate, round(record_id / 100.0::DOUBLE, 6) AS lat, 'Building' AS structure, 0.1::DOUBLE AS lowcut, 40.0::DOUBLE AS highcut, npts::INTEGER AS npts, round(list_sum(x), 6) AS total, round(x[-1], 6) AS last FROM tr"""
+  SELECT network, station, location, channel[3] AS way, trace_id AS second, 100.0::DOUBLE AS sampling_rate, round(record_id / 100.0::DOUBLE, 6) AS lat, 'Building' AS structure, 0.1::DOUBLE AS lowcut, 40.0::DOUBLE AS highcut, npts::INTEGER AS npts, round(list_sum(x), 4) AS total, round(x[-1], 4) AS last FROM tr"""
