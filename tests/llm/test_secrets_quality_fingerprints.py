@@ -164,3 +164,14 @@ def test_the_fit_does_not_depend_on_the_order_of_rows(spark):
     one = quality.fit(docs, labels)
     two = quality.fit(docs.orderBy(F.rand(3)).repartition(7), labels.orderBy(F.rand(4)))
     assert (one.weights == two.weights).all() and one.threshold == two.threshold
+
+
+def test_quality_fit_reads_one_row_of_each_id(spark):
+    """Rows given a thousand times don't change the ranking, nor does their number grow what is collected."""
+    from smframe.llm import quality
+
+    docs = spark.createDataFrame([(i, "good words of the text and more." if i % 2 else "BAD!! BAD!! $$$") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    many = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(1000)).drop("id"))
+    a, b = quality.fit(docs, labels), quality.fit(many, labels)
+    assert (a.weights == b.weights).all() and (a.mean == b.mean).all()
