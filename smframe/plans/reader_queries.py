@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from smframe.functions import arrays
 from smframe.plans.relational_queries import r6
-from smframe.sources import cosmos_writer, miniseed, records
+from smframe.sources import cosmos_writer, metric_xml, miniseed, records
 from smframe.sources.adapters import SQL, traces
 
 QUERIES: dict = {}
@@ -122,3 +123,20 @@ def cosmos_round_trip(spark, sf):
 QUERIES["cosmos_round_trip"] = cosmos_round_trip
 ORACLE["cosmos_round_trip"] = "WITH " + SQL + """
   SELECT network, station, location, channel[3] AS way, trace_id AS second, 100.0::DOUBLE AS sampling_rate, round(record_id / 100.0::DOUBLE, 6) AS lat, 'Building' AS structure, 0.1::DOUBLE AS lowcut, 40.0::DOUBLE AS highcut, npts::INTEGER AS npts, round(list_sum(x), 4) AS total, round(x[-1], 4) AS last FROM tr"""
+
+
+def metric_xml_round_trip(spark, sf):
+    """Each channel's peak and the larger one of both horizontals written as one XML document a record and parsed again."""
+    peak = traces(spark, sf).select("record_id", "component", "channel", arrays.max_abs(F.col("x")).alias("value"))
+    none = F.lit(None)
+    one = peak.select("record_id", "component", F.col("channel").alias("original_channel"), "value")
+    two = peak.where("component <> 'Z'").groupBy("record_id").agg(F.max("value").alias("value")).select("record_id", F.lit("GreaterOfTwoHorizontals").alias("component"), none.cast("string").alias("original_channel"), "value")
+    m = one.unionByName(two).select("record_id", F.lit("PGA").alias("type"), F.lit("cm/s^2").alias("units"), none.cast("double").alias("period"), none.cast("double").alias("damping"), "component", "original_channel", none.cast("double").alias("percentile"), "value")
+    d = metric_xml.waveform_metrics(metric_xml.waveform_documents(m, ["record_id"]), ["record_id"])
+    return d.select("record_id", "type", "units", "component", "original_channel", r6("value", 5).alias("value"))
+
+
+QUERIES["metric_xml_round_trip"] = metric_xml_round_trip
+ORACLE["metric_xml_round_trip"] = "WITH " + SQL + """, p AS (SELECT record_id, component, channel, list_max(list_transform(x, lambda v: abs(v))) AS v FROM tr)
+  SELECT record_id, 'pga' AS type, 'cm/s^2' AS units, component, channel AS original_channel, round(v, 5) AS value FROM p
+  UNION ALL SELECT record_id, 'pga', 'cm/s^2', 'GreaterOfTwoHorizontals', NULL, round(max(v), 5) FROM p WHERE component <> 'Z' GROUP BY record_id"""
