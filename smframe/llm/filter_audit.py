@@ -81,7 +81,10 @@ def counts_by_part(failed: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """part, filter_order, step and what the filter of that step does there; 600 rows for each part."""
+    """part, filter_order, step and what the filter of that step does there; 600 rows for each part.
+
+    docs: a table or what is made of one; Spark can't tell the file of a join's rows, so store a join first.
+    """
     failed = failures(docs, labels)
     per = stored(counts_by_part(failed))
     discard(*failed.needs)
