@@ -141,7 +141,7 @@ def line_components(docs: DataFrame, percent: int = 80, block: int = 1024, most:
     texts = lines(docs).groupBy(F.col("cid").alias("id")).agg(F.min("line").alias("text"))
     texts = stored(texts.join(alive.hint("merge"), "id"))
     pairs = seats.where("a <> b").select("a", "b").distinct()
-    linked = links(seats, pairs, None, texts, sets_of, percent, block, most)
+    linked = links(seats, pairs, False, texts, sets_of, percent, block, most)
     found = components(linked)
     discard(seats, texts, linked)
     return found

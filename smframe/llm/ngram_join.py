@@ -168,9 +168,8 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024,
     side = stored(side.select("id", "x", "n", "counts").dropDuplicates(["id"]))
     # the table of texts outgrows any broadcast, and so does the list of ids: both are sorted, whatever the input's size
     texts = stored(named_apart(with_text(docs), other).join(side.select("id", "x").hint("merge"), ["id", "x"]).select("id", "text").dropDuplicates(["id"]))
-    slight = side.drop("x")
-    pairs = possible(seats.where("a <> b").select("a", "b").distinct(), slight, percent)
-    linked = links(seats, pairs, slight, texts, lambda lines: (shingles(x or "", words) for x in lines), percent, block, most)
+    pairs = possible(seats.where("a <> b").select("a", "b").distinct(), side.drop("x"), percent)
+    linked = links(seats, pairs, True, texts, lambda lines: (shingles(x or "", words) for x in lines), percent, block, most)
     found = components(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).union(linked).union(other.select("id", "own")))
     discard(raw, other, rep, named, to, seats, side, texts, linked)
     out = slim.join(found, "id", "left")

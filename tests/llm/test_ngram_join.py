@@ -130,3 +130,38 @@ def test_representatives_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z"), (4, "", "z")], "doc_id long, text string, sig string")
     assert sorted(r.doc_id for r in nj.representatives(df).collect()) == [1, 3, 4]
     assert nj.join(df.limit(0)).count() == 0
+
+
+def test_a_cluster_just_below_the_threshold_sends_few_pairs(spark, monkeypatch):
+    """150 edits of one text, each two at 0.85: their 11,175 pairs stay in the tasks that hold sketches. One link among them is found."""
+    from smframe.llm import links
+
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(402)]
+    docs = []
+    for k in range(150):
+        d = [*base]
+        at = r.randrange(388)
+        d[at : at + 14] = [f"e{k}x{j}" for j in range(14)]
+        docs.append(" ".join(d))
+    docs.append(docs[77] + " more")
+    sent, verified = [], links.verified
+    monkeypatch.setattr(links, "verified", lambda pairs, *a: sent.append(pairs.count()) or verified(pairs, *a))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in nj.join(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute(docs, 3, 90))) and got[150][1] == got[77][1]
+    assert sum(sent) < 1500, sent
+
+
+def test_sketches_bound_the_differences_at_any_width():
+    from smframe.llm import links
+
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        n, k = int(r.integers(1, 3000)), int(r.integers(0, 400))
+        s = np.unique(nj.mix(r.integers(0, 1 << 62, n).astype(np.uint64)))
+        t = np.unique(np.concatenate((s[min(k, n - 1) :], nj.mix(r.integers(0, 1 << 62, k).astype(np.uint64)))))
+        x, y = (np.frombuffer(links.sketch(v), np.uint64)[None] for v in (s, t))
+        w = min(x.shape[1], y.shape[1])
+        d = int(np.bitwise_count(links.folded(x, w) ^ links.folded(y, w)).sum())
+        true = len(np.setxor1d(s, t))
+        assert d <= true and (d > 0.8 * true or true > len(s) / 4 or true < 20)
