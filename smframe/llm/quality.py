@@ -1,19 +1,22 @@
 """Quality classifier: Bradley-Terry ranking of documents, thresholded by score quantile.
 
 A document's strength is linear in features of its text. From labelled rows, preference pairs (a row of label 1
-over one of label 0) give the weights by logistic loss on feature differences. The threshold is the quantile of the
-training scores at the share of label 0 among all labelled rows that aren't held out, where each sampled score weighs
-as many rows of its label as it stands for; the score is the logistic of strength less threshold, so 0.5 is the cut.
-
-Features come from the text alone; a null text counts as empty and has a score. The fit uses a bounded sample of
-labelled rows (`most` of each label, by a hash of doc_id; conflicting labels of one doc_id count as 0; of several texts of a doc_id the least) and `pairs` seeded preference pairs (30,000); scoring reads every row. Without rows of both labels every score is 0.5.
+over one of label 0) give the weights by logistic loss on feature differences. The threshold is the exact quantile of the
+strengths of all labelled rows that aren't held out, at the share of label 0 among them; the score is the logistic of
+strength less threshold, so 0.5 is the cut.
+
+Features come from the text alone; a null text counts as empty and has a score. The fit reads every labelled row (conflicting
+labels of one doc_id count as 0; of several texts of a doc_id that of the least features). Rows are dealt into cells by a hash of
+doc_id, 8 * `most` rows of the commoner label in each, and all pairs within a cell count. Of a label too rare to give each cell
+`most` rows, each row is in as many cells as it takes. A Newton step is a job over the cells, whose sums alone reach the
+driver, in whole numbers, so that no order matters. Without rows of both labels every score is 0.5.
 Rows are independent; ties and repeated rows get equal scores; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from smframe.llm.common import discard, stored
+
 # Frequent function words of four languages.
 COMMON = frozenset("the of and to in is for with that are was this by as on be have from die der und den das ist von mit zu ein eine nicht auf le la les et de des en un une que qui pour dans est el los las y del por con no se".split())
 WORD_END = re.compile(r"[^\w\s]+$")
@@ -62,7 +67,7 @@ def expand(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Ranking:
-    """What rank() learns: strength = weights . (x - mean) / spread; scores are logistic in (strength - threshold) * steepness."""
+    """What fit() learns: strength = weights . (x - mean) / spread; scores are logistic in (strength - threshold) * steepness."""
 
     mean: np.ndarray
     spread: np.ndarray
@@ -70,9 +75,15 @@ class Ranking:
     threshold: float
     steepness: float
 
+    def strengths(self, x: np.ndarray) -> np.ndarray:
+        return standard(x, self.mean, self.spread) @ self.weights
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((expand(x) - self.mean) / self.spread, -8, 8) @ self.weights
-        return 1 / (1 + np.exp(-np.clip((z - self.threshold) * self.steepness, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((self.strengths(x) - self.threshold) * self.steepness, -30, 30)))
+
+
+def standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((expand(x) - mean) / spread, -8, 8)
 
 
 def weighted_quantile(s: np.ndarray, w: np.ndarray, q: float) -> float:
@@ -82,33 +93,65 @@ def weighted_quantile(s: np.ndarray, w: np.ndarray, q: float) -> float:
     return float(np.interp(q, (at - at[0]) / (at[-1] - at[0]), s[order]))
 
 
-def rank(x: np.ndarray, y: np.ndarray, total: dict[int, int] | None = None, pairs: int = 30_000, penalty: float = 20.0, rounds: int = 25, seed: int = 3) -> Ranking | None:
-    """Bradley-Terry by Newton's method on the logistic loss of feature differences, over seeded preference pairs.
-
-    total: how many rows of each label the sample stands for; by default its own.
-    """
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return None
-    x = expand(x)
-    mean, spread = x.mean(0), x.std(0) + 1e-9
-    z = np.clip((x - mean) / spread, -8, 8)
-    r = np.random.default_rng(seed)
-    d = z[r.choice(good, pairs)] - z[r.choice(bad, pairs)]
-    w = np.zeros(d.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        g = d.T @ p - penalty * w
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + penalty * np.eye(len(w)), g)
-        w += step
-        if np.abs(step).max() < 1e-8:
+def quantile(table: DataFrame, q: float) -> float:
+    """The quantile q of column s of a stored table that has rows, linear between values; all rows are counted, in bins that narrow until two neighbours are told."""
+    r = table.agg(F.count("s").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).first()
+    lo, hi, at = r["lo"], r["hi"], q * (r["n"] - 1)
+    k, frac = int(at), at - int(at)
+    if k == r["n"] - 1:
+        return hi
+    while lo < hi:
+        place = F.least(F.floor((F.col("s") - lo) / (hi - lo) * 4096), F.lit(4095))
+        bins = table.where(F.col("s").between(lo, hi)).groupBy(place.alias("bin")).agg(F.count("s").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).orderBy("bin").collect()
+        i = 0
+        while k >= bins[i]["n"]:
+            k -= bins[i]["n"]
+            i += 1
+        if k == bins[i]["n"] - 1:  # of two values the one ends a bin, the other begins the next; past the last, its equals follow
+            lo, hi = bins[i]["hi"], bins[i + 1]["lo"] if i + 1 < len(bins) else bins[i]["hi"]
             break
-    s = z @ w
-    total = total or {0: len(bad), 1: len(good)}
-    weight = np.where(y == 1, total[1] / len(good), total[0] / len(bad))
-    share = total[0] / (total[0] + total[1])
-    spread_s = np.sqrt(np.average((s - np.average(s, weights=weight)) ** 2, weights=weight))
-    return Ranking(mean, spread, w, weighted_quantile(s, weight, share), float(4 / (spread_s + 1e-9)))
+        lo, hi = bins[i]["lo"], bins[i]["hi"]
+    return lo + frac * (hi - lo)
+
+
+Cell = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def of_cells(cells: DataFrame, f: Callable[[Cell], np.ndarray], out: str, whole: bool = False) -> DataFrame:
+    """f of the (labels, features, whether a row's first copy) of each cell as column v; with whole, a task's sum of what f gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for y, x, own in zip(b.column("y"), b.column("x"), b.column("own")):
+                y = y.values.to_numpy()
+                v = f((y, x.values.to_numpy().reshape(len(y), -1), own.values.to_numpy(zero_copy_only=False)))
+                if whole:
+                    total = v if total is None else total + v
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.float64()))], ["v"])
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["v"])
+
+    return cells.select("y", "x", "own").mapInArrow(run, f"v array<{out}>")
+
+
+def summed(cells: DataFrame, f: Callable[[Cell], np.ndarray], quantum: float) -> np.ndarray:
+    """The sum of f over all cells; each cell's share is rounded to quanta, which add up alike in any order."""
+    each = of_cells(cells, lambda c: np.rint(f(c) / quantum).astype(np.int64), "bigint", whole=True)
+    got = each.select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    return np.array([r["v"] for r in sorted(got)]) * quantum
+
+
+def pair_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and curvature (its upper triangle) of the logistic loss of all pairs of a cell, one after the other."""
+    good, bad = z[y == 1], z[y == 0]
+    p = 1 / (1 + np.exp(np.clip((good @ w)[:, None] - bad @ w, -30, 30)))
+    g = good.T @ p.sum(1) - bad.T @ p.sum(0)
+    p *= 1 - p
+    cross = good.T @ p @ bad
+    h = (good.T * p.sum(1)) @ good + (bad.T * p.sum(0)) @ bad - cross - cross.T
+    return np.concatenate([g, h[np.triu_indices(len(w))]])
 
 
 def _with_features(df: DataFrame, extra: list[str], then=None, out: str = "x array<double>") -> DataFrame:
@@ -131,21 +174,51 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Ranking | None:
-    """The ranking of `most` labelled rows of each label, never held-out ones."""
-    key = F.xxhash64(F.lit("sample"), "doc_id")
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("_y"))
+def fit(docs: DataFrame, labels: DataFrame, most: int = 64, weight: float = 30_000, penalty: float = 20.0, rounds: int = 25) -> Ranking | None:
+    """Bradley-Terry by Newton's method over all labelled rows, never held-out ones.
+
+    most: see above; more rows in a cell are more pairs. weight: what all pairs together weigh, against the penalty.
+    """
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("_y"))
     known = known.where("_y in (0, 1)").groupBy("doc_id").agg(F.min("_y").alias("_y"))
-    some = known.where("_y = 1").orderBy(key, "doc_id").limit(most).union(known.where("_y = 0").orderBy(key, "doc_id").limit(most))
-    # 2 * most rows, and two numbers over all labelled rows of docs
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-    sample = sample.groupBy("doc_id", "_y").agg(F.min("text").alias("text"))  # one row for each id, however often it is given
-    rows = _with_features(sample, ["_y"]).collect()
-    rows.sort(key=lambda r: (r["_y"], r["x"]))  # the fit doesn't depend on the order of arrival
-    if not rows:
+    # features before the join, which then moves no text
+    x = _with_features(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text"), ["doc_id"])
+    rows = stored(x.join(known, "doc_id").groupBy("doc_id", "_y").agg(F.min("x").alias("x")))
+    total = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(total) < 2:
+        discard(rows)
         return None
-    total = {r["_y"]: r["n"] for r in docs.select("doc_id").join(known, "doc_id").groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return rank(np.array([r["x"] for r in rows]), np.array([r["_y"] for r in rows]), total)
+    n, rare = sum(total.values()), min(total, key=lambda y: (total[y], y))
+    number = max(1, total[1 - rare] // (8 * most))
+    copies = min(number, -(-number * most // total[rare]))
+    at = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.when(F.col("_y") == rare, copies - 1).otherwise(0))))
+    at = at.withColumn("_cell", F.pmod(F.xxhash64(F.lit("cell"), "doc_id") + F.col("_copy"), F.lit(number)))
+    member = F.struct("_y", "x", (F.col("_copy") == 0).alias("own"), "doc_id")
+    at = at.groupBy("_cell").agg(F.sort_array(F.collect_list(member)).alias("m"))  # a cell's order is the same, however rows arrive
+    cells = stored(at.select(F.col("m._y").alias("y"), F.flatten("m.x").alias("x"), F.col("m.own").alias("own")))
+    firsts = lambda c: expand(c[1][c[2]])
+    largest = of_cells(cells, lambda c: np.abs(expand(c[1])).max(0), "double").select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.max("v").alias("v")).collect()
+    scale = np.array([r["v"] for r in sorted(largest)]) + 1e-9
+    mean = summed(cells, lambda c: (firsts(c) / scale).sum(0) / n, 2.0**-60)
+    spread = np.sqrt(summed(cells, lambda c: ((firsts(c) / scale - mean) ** 2).sum(0) / n, 2.0**-60)) * scale + 1e-9
+    mean = mean * scale
+    pairs = float(summed(cells, lambda c: np.array([(c[0] == 1).sum() * (c[0] == 0).sum()]), 1.0)[0])
+    w = np.zeros(len(mean))
+    for _ in range(rounds):
+        v = summed(cells, lambda c, w=w: pair_sums(standard(c[1], mean, spread), c[0], w) * (weight / pairs), 2.0**-36)
+        h = np.zeros((len(w), len(w)))
+        h[np.triu_indices(len(w))] = v[len(w) :]
+        h = h + np.triu(h, 1).T
+        step = np.linalg.solve(h + penalty * np.eye(len(w)), v[: len(w)] - penalty * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    learned = Ranking(mean, spread, w, 0.0, 1.0)
+    s = stored(of_cells(cells, lambda c: learned.strengths(c[1][c[2]]), "double").select(F.explode("v").alias("s")))
+    threshold = quantile(s, total[0] / n)
+    steepness = 4 / (s.agg(F.stddev_pop("s")).first()[0] + 1e-9)
+    discard(rows, cells, s)
+    return Ranking(mean, spread, w, threshold, float(steepness))
 
 
 def classify(docs: DataFrame, ranking: Ranking | None, keep: list[str] | None = None) -> DataFrame:

@@ -175,3 +175,32 @@ def test_quality_fit_reads_one_row_of_each_id(spark):
     many = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(1000)).drop("id"))
     a, b = quality.fit(docs, labels), quality.fit(many, labels)
     assert (a.weights == b.weights).all() and (a.mean == b.mean).all()
+
+
+def test_the_fit_counts_every_labelled_row(spark):
+    """Means and the cut are those of all rows, in few cells or many, and so are the weights where a label is rare and its rows are in several cells."""
+    good, _ = junk_and_prose(900)
+    docs = spark.createDataFrame(list(enumerate(good)), "doc_id long, text string")
+    held = {r.doc_id for r in docs.where(quality.held_out(F.col("doc_id"))).collect()}
+    for every, most in ((6, 20), (60, 20), (6, 1000)):
+        labels = spark.createDataFrame([(i, int(i % every > 0)) for i in range(900)], "doc_id long, quality int")
+        got = quality.fit(docs, labels, most=most)
+        at = [i for i in range(900) if i not in held]
+        x, y = np.array([quality.features(good[i]) for i in at]), np.array([int(i % every > 0) for i in at])
+        e = quality.expand(x)
+        assert np.allclose(got.mean, e.mean(0), rtol=1e-6, atol=1e-9) and np.allclose(got.spread, e.std(0), rtol=1e-4, atol=1e-8)
+        assert np.isclose(got.threshold, np.quantile(got.strengths(x), np.mean(y == 0)), rtol=1e-9)
+        if most == 1000:  # one cell: the gradient over all pairs is nil
+            z = quality.standard(x, got.mean, got.spread)
+            g = quality.pair_sums(z, y, got.weights)[: len(got.weights)] * 30_000 / (y.sum() * (y == 0).sum())
+            assert np.abs(g - 20 * got.weights).max() < 1e-3
+
+
+def test_quantile_counts_all_rows_and_ties(spark):
+    from smframe.llm.common import stored
+
+    r = np.random.default_rng(5)
+    for v in (r.normal(size=1001), np.repeat([1.0, 2.0, 2.5], [40, 3, 90]), np.full(7, 3.0), np.array([4.0])):
+        t = stored(spark.createDataFrame([(float(k),) for k in v], "s double"))
+        for q in (0.0, 0.14, 0.5, 0.9, 1.0):
+            assert np.isclose(quality.quantile(t, q), np.quantile(v, q)), (len(v), q)
