@@ -50,6 +50,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has the driver's JVM look for what nothing refers to: Spark then deletes the shuffle files of jobs that are done, which else stay until the driver's heap fills."""
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id of edges (a, b): component is the smallest id that links reach.
 

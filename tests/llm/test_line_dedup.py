@@ -138,3 +138,40 @@ def test_callers_columns_keep_their_values_and_long_texts_are_linear(spark):
     got = {r.doc_id: r for r in ld.dedup(df).collect()}
     assert got[1].text == "the same line of text\nanother" and got[1].n_removed == 29_999 and got[2].text == ""
     assert all(tuple(r)[2:9] == tuple(range(5, 12)) for r in got.values())
+
+
+def test_no_python_runs_on_executors_and_hashes_equal_numpy(spark):
+    r = random.Random(11)
+    line = lambda n: "".join(r.choice("abcdefghijklmnop é日🙂") for _ in range(n)).strip() or "a"
+    texts = sorted({line(n) for n in (*range(1, 45), 100, 1000, 20_000)})
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    banded = ld.banded(df)
+    for plan in (banded, ld.dedup(df), ld.verified(spark.range(3).selectExpr("id a", "id b"), ld.unique(df), 80, 4)):
+        assert not any(x in plan._jdf.queryExecution().toString() for x in ("InArrow", "InPandas", "PythonUDF", "EvalPython"))
+    got = {x.text: x.bands for x in banded.join(ld.unique(df), "id").collect()}
+    assert [got[x] for x in texts] == ld.bands(texts).tolist()
+    sets = {x.text: x.s for x in df.select("text", ld.shingles_of(df["text"]).alias("s")).collect()}
+    assert all(sorted(sets[x]) == np.sort(s.view(np.int64)).tolist() for x, s in zip(texts, ld.sets_of(texts)))
+
+
+def test_no_job_of_line_dedup_runs_python(spark, monkeypatch):
+    def stop(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(1)), name, stop)
+    df = spark.createDataFrame(corpus(3, 40), "doc_id long, text string")
+    assert ld.dedup(df).where("n_removed > 0").count() > 0
+
+
+def test_sketches_bound_differences_and_pairs_of_a_group_meet_once(spark):
+    rows = corpus(9, 40)
+    texts = ld.unique(spark.createDataFrame(rows, "doc_id long, text string"))
+    line = {x.id: x.text for x in texts.collect()}
+    members = ld.sketched(texts).selectExpr("*", "id as c", "'g' as s")
+    for block in (3, 1000):
+        met = ld.meeting(ld.dealt(members, "s", block), 80).collect()
+        assert len(met) == len({*met}) and all(x.a > x.b for x in met)
+        s = {i: grams(x) for i, x in line.items()}
+        near = {(a, b) for a in s for b in s if a > b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
+        assert near and near <= {(x.a, x.b) for x in met} and len(met) < len(s) * (len(s) - 1) / 2
