@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from smframe.functions import physics
+from smframe.functions import arrays, physics
 
 
 def failed(df: DataFrame, module: str, reason: Column | str, when: Column) -> DataFrame:
@@ -154,11 +154,29 @@ def merge_intervals(rows: DataFrame, keys: list[str], start: str, end: str) -> D
     return d.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
-def pick_combine(picks: DataFrame, keys: list[str], method: str = "median") -> DataFrame:
-    """One pick a trace from several pickers: median, mean, or the one of largest snr; missing picks (null or NaN) don't count."""
+def added_in_order(rows: DataFrame, keys: list[str], order: list[str], **values: Column) -> DataFrame:
+    """keys and each aggregate over their rows, taken in the order given: sums of floats are the same to the last bit however rows are dealt over partitions.
+
+    A key's rows pass through one task, sorted, as in any window.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    running = [v.over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name) for name, v in values.items()]
+    return rows.select(*keys, *running, F.lead(F.lit(True)).over(w).isNull().alias("_last")).where("_last").drop("_last")
+
+
+def pick_combine(picks: DataFrame, keys: list[str], method: str | tuple[str, ...] = "median") -> DataFrame:
+    """One pick a trace from several pickers: median, mean, or the one of max_snr (of equals the earliest); missing picks (null or NaN) don't count.
+
+    Of several methods each gives a column of its name in place of pick. A trace's picks, one a picker, are sorted before
+    they are added, as sums of floats hang on the order.
+    """
     d = picks.withColumn("pick", F.when(~F.isnan("pick"), F.col("pick")))
-    agg = {"median": F.median("pick"), "mean": F.avg("pick"), "max_snr": F.max_by("pick", F.when(F.col("pick").isNotNull(), F.col("snr")))}[method]
-    return d.groupBy(*keys).agg(agg.alias("pick"), F.count("pick").alias("n"))
+    best = F.max_by("pick", F.when(F.col("pick").isNotNull() & F.col("snr").isNotNull(), F.struct("snr", -F.col("pick"))))
+    a, n = F.col("_picks"), F.size("_picks")
+    low, high = (F.get(a, F.floor(k / 2).cast("int")) for k in (n - 1, n))
+    of = {"median": low + (high - low) / 2, "mean": F.when(n > 0, arrays.mean(a)), "max_snr": F.col("_best")}
+    out = [of[method].alias("pick")] if isinstance(method, str) else [of[m].alias(m) for m in method]
+    return d.groupBy(*keys).agg(F.sort_array(F.collect_list("pick")).alias("_picks"), best.alias("_best")).select(*keys, *out, n.cast("long").alias("n"))
 
 
 def corners_by_magnitude(mag: Column, least=(-999.0, 3.5, 5.5), highpass=(0.5, 0.3, 0.1), lowpass=(25.0, 35.0, 40.0)) -> Column:

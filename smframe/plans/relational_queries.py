@@ -184,10 +184,9 @@ def rolling_std(spark, sf):
   SELECT station, round(median(pick), 6) AS pick, count(pick)::BIGINT AS n, round(avg(pick), 6) AS mean, round(arg_max(pick, snr), 6) AS best FROM p GROUP BY station""")
 def pick_combine(spark, sf):
     x = F.when((F.col("station") % 3 < 2) | (F.col("channel") < "m"), F.col("x"))  # other pickers find nothing
-    p = samples(spark, sf).groupBy("station", "channel").agg(F.avg(x).alias("pick"), F.max("x").alias("snr"))
-    got = [r.pick_combine(p, ["station"], m) for m in ("median", "mean", "max_snr")]
-    a, b, c = got[0].select("station", r6(F.col("pick")).alias("pick"), "n"), got[1].select("station", r6(F.col("pick")).alias("mean")), got[2].select("station", r6(F.col("pick")).alias("best"))
-    return a.join(b, "station").join(c, "station")
+    p = r.added_in_order(samples(spark, sf), ["station", "channel"], ["event_id", "x"], pick=F.avg(x), snr=F.max("x"))
+    d = r.pick_combine(p, ["station"], ("median", "mean", "max_snr"))
+    return d.select("station", r6(F.col("median")).alias("pick"), "n", r6(F.col("mean")).alias("mean"), r6(F.col("max_snr")).alias("best"))
 
 
 @query(""" SELECT station, CASE WHEN magnitude > 5.5 THEN 0.1 WHEN magnitude > 3.5 THEN 0.3 ELSE 0.5 END AS highpass, least(CASE WHEN magnitude > 5.5 THEN 40.0 WHEN magnitude > 3.5 THEN 35.0 ELSE 25.0 END, 0.75 * 50, 40.0) AS lowpass FROM st""")
