@@ -86,7 +86,9 @@ def compute_snr(spark, sf):
 def snr_corners_of_records(spark, sf):
     from smframe.plans.relational_queries import samples
 
-    s = samples(spark, sf).groupBy("station", "channel", (F.col("event_id") % 24).cast("int").alias("k")).agg((F.avg("x") / 20).alias("s"))
+    # a ratio may lie at the threshold, so sums are added in a fixed order
+    s = samples(spark, sf).withColumn("k", (F.col("event_id") % 24).cast("int"))
+    s = r.added_in_order(s, ["station", "channel", "k"], ["event_id", "x"], s=F.avg("x")).withColumn("s", F.col("s") / 20)
     s = s.groupBy("station", "channel").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("z"))  # 24 frequencies at most
     freq, snr = F.transform("z", lambda z: 0.1 * F.pow(F.lit(1.3), z["k"])), F.transform("z", lambda z: z["s"])
     d = s.select("station", "channel", freq.alias("snr_freq"), snr.alias("snr"), F.lit(1.0).alias("snr_threshold"), F.lit(1.0).alias("snr_min_freq"), F.lit(3.0).alias("snr_max_freq"), F.lit(1e9).alias("split"), F.lit(1.0).alias("sampling_rate"), F.lit(1e9).alias("signal_end"))

@@ -16,11 +16,11 @@ def added(x):
     return total
 
 
-def values(seed, n, wanted):
+def values(seed, n, wanted, most=50_000):
     """n values of two decimals, whose sums in order and in reverse are as wanted."""
     r = random.Random(seed)
     while True:
-        x = [r.randrange(1, 50_000) / 100 for _ in range(n)]
+        x = [r.randrange(1, most) / 100 for _ in range(n)]
         if wanted(added(x), added(x[::-1])):
             return x
 
@@ -61,3 +61,21 @@ def test_combined_picks(spark):
     assert got == {1: (2.0, pytest.approx(7 / 3), 1.0, 3), 2: (None, None, None, 0), 3: (5.0, 5.0, None, 1), 4: (1.5, 1.5, 2.0, 2)}
     for m in ("median", "mean", "max_snr"):
         assert {x["k"]: x["n"] for x in r.pick_combine(d, ["k"], m).collect()} == {1: 3, 2: 0, 3: 1, 4: 2}
+
+
+def test_corners_hang_on_no_order_of_rows(spark, tmp_path):
+    """The first frequency's ratio is 1 exactly, so the band begins at the next; added in reverse it is more than 1, or less."""
+    rows = []
+    for u in range(4):
+        x, n = [], 24
+        while not x:
+            part = values(100 * u + n, 11, lambda a, b: True, 4_000)
+            rest = round(20 * 12 - sum(part), 2)
+            if rest > 0 and added([*part, rest]) == 240 and added([rest, *part[::-1]]) > 240:
+                x = [*part, rest]
+            n += 1
+        rows += [(24 * (1000 * u + i), u, "click", v) for i, v in enumerate(x)]
+        rows += [(24 * (1000 * u + 100) + k, u, "click", 50.0) for k in range(1, 20)]
+    one, two, sql = answers(spark, tmp_path, "snr_corners_of_records", sorted(rows))
+    assert [tuple(r) for r in one] == [tuple(r) for r in two] == sql
+    assert {r["low"] for r in one} == {0.13}
