@@ -63,3 +63,26 @@ def test_equals_a_search_over_points_and_cells_lose_nothing(spark):
     sure = {k for k, v in want.items() if v[1] <= 119}
     assert len(sure) > 100 and sure <= {*got} <= {*want}
     assert all(abs(got[k][0] - want[k][0]) < 0.3 and abs(got[k][1] - want[k][1]) < 0.3 and got[k][0] <= want[k][0] + 1e-6 for k in got)
+
+
+def test_pairs_are_met_by_compiled_steps_alone(spark):
+    """One join; above it no lambda, which Spark evaluates by interpretation for each pair, and each step written once."""
+    s, q = spark.createDataFrame([("a", 0.0, 0.0)], "station string, lat double, lon double"), spark.createDataFrame([(1, [(0.0, 0.0, 1.0)] * 4)], f"event long, corners {CORNERS}")
+    lines = ru.within(s, q, 100.0)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [k for k, line in enumerate(lines) if "Join" in line]
+    assert len(joins) == 1
+    assert not any("lambda" in line for line in lines[: joins[0] + 1])
+    assert max(map(len, lines[: joins[0] + 1])) < 5000
+
+
+def test_events_of_several_quads_and_stations_of_two_places(spark):
+    """The nearest by Rrup may be beyond km by Rjb; a station's two places count as one; what isn't known gives no row."""
+    deep, shallow = [(0.0, lon, 60.0) for lon in (0.0, 0.01, 0.01, 0.0)], [(1.0, lon, 0.0) for lon in (0.0, 0.01, 0.01, 0.0)]
+    quads = [(1, deep), (1, shallow), (2, deep), (3, shallow), (4, None), (5, [(0.0, 0.0, None)] * 4)]
+    places = [("a", 0.44, 0.0), ("b", 0.44, 0.0), ("b", 0.7, 0.0), ("b", 0.7, 0.0), ("c", 5.0, 0.0), ("d", None, 0.0)]
+    s, q = spark.createDataFrame(places, "station string, lat double, lon double"), spark.createDataFrame(quads, f"event long, corners {CORNERS}")
+    got = {(r["event"], r["station"]): (r["rrup_km"], r["rjb_km"]) for r in ru.within(s, q, 50.0).collect()}
+    want = {(1, "a"): (0.56 * KM, 0.44 * KM), (1, "b"): (0.3 * KM, 0.3 * KM), (2, "a"): (math.hypot(0.44 * KM, 60), 0.44 * KM), (2, "b"): (math.hypot(0.44 * KM, 60), 0.44 * KM), (3, "b"): (0.3 * KM, 0.3 * KM)}
+    got = {k: v for k, v in got.items() if k[0] != 5}  # its projection is known, its depth is not
+    assert {*got} == {*want}
+    assert all(got[k] == pytest.approx(v, abs=0.5) for k, v in want.items())
