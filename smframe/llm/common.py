@@ -50,6 +50,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored_in_turns(parts: list[DataFrame]) -> DataFrame:
+    """The union of parts as one stored table; the shuffle files of one are gone before the next is made."""
+    spark = parts[0].sparkSession
+    path = f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        swept(spark)
+    out = spark.read.schema(parts[0].schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
 def swept(spark: SparkSession) -> None:
     """Has the driver's JVM look for what nothing refers to: Spark then deletes the shuffle files of jobs that are done, which else stay until the driver's heap fills."""
     spark._jvm.System.gc()

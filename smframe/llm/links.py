@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smframe.llm.common import components, discard, stored
+from smframe.llm.common import components, discard, stored, swept
 
 def regions(s: np.ndarray, bits: int = 6) -> bytes:
     """How many of the distinct 64-bit elements each of the 2 ** bits equal parts of their domain has, 255 at most: the sum of differences bounds those of two sets from below."""
@@ -270,12 +270,14 @@ def links(seats: DataFrame, pairs: DataFrame, long: bool, texts: DataFrame, sets
     """
     tried = stored(pairs)
     found = stored(verified(tried, texts, sets_of, percent, most))
+    swept(texts.sparkSession)
     joined = components(found)
     at = stored(seats.select("s", F.col("a").alias("id")).distinct().join(joined, "id", "left").select("s", "id", F.coalesce("component", "id").alias("c")))
     per = at.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
     # of two rows the one pair has been tried
     open_ = stored(per.where("k > 1 and all > 2").select("s", F.col("top.c").alias("main")))
     rows = stored(at.join(open_, "s"))
+    swept(texts.sparkSession)
     if not long:
         more = stored(across(dealt(rows.drop("main").join(texts, "id"), "s", block), percent, sets_of).distinct())
         out = stored(found.union(more))
@@ -286,6 +288,7 @@ def links(seats: DataFrame, pairs: DataFrame, long: bool, texts: DataFrame, sets
     drawn = stored(sketched(texts.join(rows.select("id").distinct().hint("merge"), "id"), sets_of))
     members = stored(members.join(drawn, "id"))
     discard(cluster, drawn, at, open_, rows)
+    swept(texts.sparkSession)
     for forest in (True, False):
         rest = stored(meeting(dealt(members, "cluster", block), percent, forest).join(tried, ["a", "b"], "left_anti"))
         more = stored(verified(rest, texts, sets_of, percent, most))
@@ -294,4 +297,5 @@ def links(seats: DataFrame, pairs: DataFrame, long: bool, texts: DataFrame, sets
             tried, joined = stored(tried.union(rest)), components(found)
             members = stored(members.drop("c").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "cluster", "n", "sketch"))
         discard(*before, rest, more)
+        swept(texts.sparkSession)
     return found

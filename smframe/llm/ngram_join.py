@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from smframe.llm.common import components, discard, stored
+from smframe.llm.common import components, discard, stored, stored_in_turns, swept
 from smframe.llm.links import links, possible, regions
 
 U = np.uint64
@@ -143,11 +143,12 @@ def named_apart(t: DataFrame, other: DataFrame) -> DataFrame:
     return t.join(other, ["id", "x"], "left").withColumn("id", F.coalesce("own", "id")).select(t.columns)
 
 
-def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024, most: int = 256) -> DataFrame:
+def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024, most: int = 256, turns: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     words: a shingle's length; percent: the least 100 * intersection / union; block: rows that a signature's other rows
-    pass in one group; most: partners of one document that are verified in one group, on average.
+    pass in one group; most: partners of one document that are verified in one group, on average; turns: parts of the
+    signatures that meet one after another, as their shuffle files would outgrow all else on disk.
     """
     raw = stored(sets(docs, words, percent))
     slim = raw.select("id", "n")
@@ -161,17 +162,27 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 1024,
     # a task gives a set's signatures under any one id that has it, so an id stands for the sets of all its rows
     to = stored(t.where("n > 0 and id is not null").select("id", "n", "d1", "d2").join(rep, ["d1", "d2", "n"]).select("id", "rep").distinct())
     w = Window.partitionBy("s")
-    seats = t.select("id", F.explode("sig").alias("s")).repartition("s").select("s", "id", F.min("id").over(w).alias("lead"), F.max("id").over(w).alias("hi"))
-    seats = seats.where("lead < hi").select("s", "id", "lead").join(to, "id").select("s", "lead", F.col("rep").alias("a"))
-    seats = stored(seats.join(to.withColumnRenamed("id", "lead"), "lead").select("s", "a", F.col("rep").alias("b")).distinct())
+
+    def seated(turn: int) -> DataFrame:
+        seats = t.select("id", F.explode("sig").alias("s")).where(F.pmod("s", F.lit(turns)) == turn)
+        seats = seats.repartition("s").select("s", "id", F.min("id").over(w).alias("lead"), F.max("id").over(w).alias("hi"))
+        seats = seats.where("lead < hi").select("s", "id", "lead").join(to, "id").select("s", "lead", F.col("rep").alias("a"))
+        return seats.join(to.withColumnRenamed("id", "lead"), "lead").select("s", "a", F.col("rep").alias("b")).distinct()
+
+    seats = stored_in_turns([seated(k) for k in range(turns)])
+    kept = stored(raw.drop("sig"))
+    discard(raw)  # signatures are most of it
+    t = named_apart(kept, other)
     side = named.where("id = rep").join(seats.select(F.col("a").alias("id")).distinct(), "id").join(t.select("id", "x", "counts"), ["id", "x"])
     side = stored(side.select("id", "x", "n", "counts").dropDuplicates(["id"]))
     # the table of texts outgrows any broadcast, and so does the list of ids: both are sorted, whatever the input's size
-    texts = stored(named_apart(with_text(docs), other).join(side.select("id", "x").hint("merge"), ["id", "x"]).select("id", "text").dropDuplicates(["id"]))
+    texts = stored(named_apart(with_text(docs), other).join(side.select("id", "x").hint("merge"), ["id", "x"]).dropDuplicates(["id", "x"]).select("id", "text"))  # an id has one x in side, and rows meet by both: no second shuffle
+    swept(docs.sparkSession)
     pairs = possible(seats.where("a <> b").select("a", "b").distinct(), side.drop("x"), percent)
     linked = links(seats, pairs, True, texts, lambda lines: (shingles(x or "", words) for x in lines), percent, block, most)
     found = components(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).union(linked).union(other.select("id", "own")))
-    discard(raw, other, rep, named, to, seats, side, texts, linked)
+    discard(kept, other, rep, named, to, seats, side, texts, linked)
+    swept(docs.sparkSession)
     out = slim.join(found, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -1,5 +1,6 @@
 """PartEnum finds every link that brute force finds."""
 
+import os
 import random
 
 import numpy as np
@@ -165,3 +166,25 @@ def test_sketches_bound_the_differences_at_any_width():
         d = int(np.bitwise_count(links.folded(x, w) ^ links.folded(y, w)).sum())
         true = len(np.setxor1d(s, t))
         assert d <= true and (d > 0.8 * true or true > len(s) / 4 or true < 20)
+
+
+def test_signatures_meet_in_turns_and_go_before_texts_are_read(spark, monkeypatch):
+    """What takes most of the disk never lies there at once: parts of the signatures, and the texts after all of them."""
+    r = random.Random(8)
+    base = [" ".join(r.choice("abcdefghij") + str(r.randrange(500)) for _ in range(60)) for _ in range(20)]
+    rows = [(k, base[k % 20] + (" more" if k % 3 else "")) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, left = [], []
+
+    def watched(df, keep=nj.stored):
+        if df.columns == ["id", "text"]:
+            left.extend(p for p, columns in made if "sig" in columns and os.path.exists(p))
+        out = keep(df)
+        made.append((out.stored_at.removeprefix("file:"), df.columns))
+        return out
+
+    monkeypatch.setattr(nj, "stored", watched)
+    got = sorted(map(tuple, nj.join(docs, 3, 90).collect()))
+    assert any("sig" in columns for _, columns in made) and not left
+    assert {c for _, _, c in got} == {*range(20)} and all(c == i % 20 for i, _, c in got)
+    assert got == sorted(map(tuple, nj.join(docs, 3, 90, turns=1).collect()))
